@@ -11,7 +11,7 @@ import hashlib
 import json
 import re
 from collections.abc import Mapping
-from dataclasses import dataclass, field as _field
+from dataclasses import dataclass, field as _field, replace
 from typing import Any
 
 from pyspark.sql import types as T
@@ -219,6 +219,12 @@ class Edge:
         index = self.index if self.index in kept else None
         return Edge(name, self.label, self.description, {**kept, **extra}, index)
 
+    def typed(self) -> "Edge":
+        """The same contract for data already under its declared names."""
+        bare = {n: replace(f, source_key=None) if isinstance(f, Field)
+                else f.typed() if isinstance(f, Edge) else Many(f.edge.typed()) for n, f in self.fields.items()}
+        return replace(self, fields=bare)
+
     def failed(self) -> str:
         return f"Failed<{self.name}>"
 

@@ -31,7 +31,7 @@ def instance_id(cause: Column, node: Column, edge: Column, ordinal: Column) -> C
     return F.sha2(F.concat_ws("|", cause.cast("string"), node, edge, ordinal.cast("string")), 256)
 
 
-def share(part: Column, whole: Column, digits: int = 6) -> Column:
-    """part/whole in units of 10^-digits, rounded down: an exact whole number."""
-    scale = 10 ** digits
-    return F.floor(part.cast("decimal(20,0)") * scale / whole.cast("decimal(20,0)")).cast("bigint")
+def share(part: Column, whole: Column, scale: int = 1_000_000) -> Column:
+    """part/whole in units of 1/scale, rounded down, by whole-number arithmetic."""
+    scaled = part.cast("bigint") * F.lit(scale)
+    return F.round((scaled - scaled % whole) / whole).cast("bigint")

@@ -204,14 +204,14 @@ def _table_check(df: DataFrame, edge: Edge, level: str, column: str | None = Non
     if column is None:
         return _check_fields(lambda n: F.col(_quoted(n)), edge, df.schema, None, level)
     schema = df.schema[column].dataType
-    return _check_fields(lambda n: F.col(column)[n], edge, schema, None, level)
+    return _check_fields(lambda n: F.col(column)[n], edge.typed(), schema, None, level)
 
 
 def violations(df: DataFrame, edge: Edge, level: str = "shape", column: str | None = None) -> Column:
     """All faults of each row as an array of {path, rule, actual}.
 
     ``shape``: missing columns, wrong types, nulls.  ``domain`` adds ranges and
-    declared bounds.  ``column`` checks a struct column instead of the row.
+    declared bounds.  ``column`` checks a payload struct (declared names) instead of the row.
     """
     return _table_check(df, edge, level, column)[0]
 
@@ -315,7 +315,7 @@ def migrate_or_refuse(log: DataFrame, edge: Edge, rules: Mapping[str, Callable[[
     Current rows pass through their fields; hashes with no rule are refused.
     """
     current = edge.schema_hash
-    shape = edge.struct_type()
+    shape = edge.struct_type().simpleString()
     old = F.col(body)
     identity = {current: lambda p: p}
     known = {**identity, **dict(rules)}

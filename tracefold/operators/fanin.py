@@ -83,9 +83,8 @@ def every_checked(log: DataFrame, contracts: Mapping[str, Edge],
     for name in contracts:
         opened = opened.withColumn(PAYLOAD, F.col(f"`{name}`.{PAYLOAD}"))
         found, good = parts[name]
-        tagged = F.transform(found, lambda v, n=name: F.struct(
-            F.concat(F.lit(n + "."), v["path"]).alias("path"), v["rule"].alias("rule"), v["actual"].alias("actual")))
-        opened = opened.withColumns({f"__ok_{name}": F.coalesce(good, F.lit(False)), f"__bad_{name}": tagged})
+        opened = opened.withColumns({f"__ok_{name}": F.coalesce(good, F.lit(False)),
+                                     f"__bad_{name}": _prefixed(found, name)})
     opened = opened.drop(PAYLOAD)
     fine = all_true([F.col(f"`__ok_{n}`") for n in contracts])
     helpers = [f"__{k}_{n}" for n in contracts for k in ("ok", "bad")]
@@ -97,6 +96,11 @@ def every_checked(log: DataFrame, contracts: Mapping[str, Edge],
     return ok, failed
 
 
+def _prefixed(found: Column, name: str) -> Column:
+    return F.transform(found, lambda v: F.struct(
+        F.concat(F.lit(name + "."), v["path"]).alias("path"), v["rule"].alias("rule"), v["actual"].alias("actual")))
+
+
 def any_of(log: DataFrame, edges: list[str]) -> DataFrame:
     """The earliest instance per correlation among several edges."""
     rows = log.filter(F.col("edge").isin(*edges))

@@ -229,7 +229,7 @@ def erase(logs: Iterable[DataFrame], shared: list[str], into: Edge, node: str) -
 def check_output(log: DataFrame, edge: Edge, level: str = "domain") -> tuple[DataFrame, DataFrame]:
     """Split rows by whether their payload meets the output contract."""
     good = is_valid(log, edge, level, PAYLOAD)
-    ok = log.filter(good).withColumn(PAYLOAD, F.col(PAYLOAD).cast(edge.struct_type()))
+    ok = log.filter(good).withColumn(PAYLOAD, F.col(PAYLOAD).cast(edge.struct_type().simpleString()))
     failed = log.filter(~F.coalesce(good, F.lit(False))).select(
         *child_envelope("check_output", F.lit(edge.failed()), F.lit(None).cast("string")),
         F.struct(F.col(PAYLOAD).alias("input"), violations(log, edge, level, PAYLOAD).alias("reason")).alias(PAYLOAD))
