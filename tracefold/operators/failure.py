@@ -68,7 +68,7 @@ def dead_letter(retried: DataFrame) -> DataFrame:
 
 def unhandled_failures(log: DataFrame, is_failure: Column) -> DataFrame:
     """Failure rows that caused nothing: nobody consumed them."""
-    consumed = log.filter(F.col("causation_id").isNotNull()).select(F.col("causation_id").alias("id"))
+    consumed = log.filter(F.col("causation_id").isNotNull()).select(F.col("causation_id").alias("id")).distinct()
     return log.filter(is_failure).join(consumed, "id", "left_anti")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +12,9 @@ from tracefold.functions.columns import all_true
 from tracefold.operators.conform import is_valid, violations
 from tracefold.operators.nodes import PAYLOAD, collect_many
 from tracefold.session import materialize
+from tracefold.sources.log import child_envelope
 
 CORR = "correlation_id"
-MAX_ROUNDS = 64
 
 
 def _at() -> Column:
@@ -31,7 +31,7 @@ def latest(log: DataFrame, edge: str | None = None) -> DataFrame:
 
 
 def _present(rows: DataFrame, edges: list[str]) -> DataFrame:
-    picked = F.struct("id", "step", PAYLOAD)
+    picked = F.struct("id", "step", *[c for c in (PAYLOAD, "ts", "identity") if c in rows.columns])
     return rows.groupBy(CORR).agg(*[
         F.max_by(picked, F.when(F.col("edge") == e, _at())).alias(e) for e in edges])
 
@@ -39,7 +39,7 @@ def _present(rows: DataFrame, edges: list[str]) -> DataFrame:
 def every(log: DataFrame, edges: list[str], at: str = "latest") -> DataFrame:
     """One row per correlation in which all ``edges`` are present.
 
-    Each edge becomes a column {id, step, payload}.  ``at="latest"`` reads the
+    Each edge becomes a column {id, step, payload, ts, identity}.  ``at="latest"`` reads the
     last instances; ``at="fire"`` reads them as they stood when the last
     missing edge first arrived.  ``step`` is the step at which that holds,
     ``causation_id`` the latest contributing row, ``parents`` all of them.
@@ -63,6 +63,24 @@ def every(log: DataFrame, edges: list[str], at: str = "latest") -> DataFrame:
                       F.transform(parents, lambda p: p["id"]).alias("parents"))
 
 
+def apply_every(log: DataFrame, edges: list[str], node: str, output: Edge,
+                body: Callable[[Mapping[str, Column]], Mapping[str, Column]], at: str = "latest",
+                impl_version: str = "1") -> DataFrame:
+    """A multi-input node: one output row per ready correlation.
+
+    ``body`` gets the payload columns keyed by edge name.  The latest
+    contributing row is the cause; ``parents`` lists all of them.
+    """
+    bag = every(log, edges, at)
+    out = body({e: F.col(f"`{e}`.{PAYLOAD}") for e in edges})
+    last = F.element_at(F.array_sort(F.array(*[
+        F.struct(F.col(f"`{e}`.step"), F.col(f"`{e}`.id"), F.col(f"`{e}`.ts"), F.col(f"`{e}`.identity")) for e in edges])), -1)
+    caused = bag.withColumns({"id": F.col("causation_id"), "ts": last["ts"], "identity": last["identity"]})
+    return caused.select(
+        *child_envelope(node, F.lit(output.name), F.lit(output.schema_hash), impl_version=impl_version),
+        F.struct(*[out[n].alias(n) for n in output.fields]).alias(PAYLOAD), "parents")
+
+
 def not_ready(log: DataFrame, edges: list[str]) -> DataFrame:
     """Correlations with some but not all of ``edges``, and which are missing."""
     seen = (log.filter(F.col("edge").isin(*edges)).groupBy(CORR).agg(*[
@@ -158,18 +176,20 @@ def pulse(instances: DataFrame, deps: DataFrame) -> DataFrame:
     counted = deps.groupBy("id").agg(F.count(F.lit(1)).alias("inputs"), F.first("parent").alias("only"))
     chain = materialize(counted.filter(F.col("inputs") == 1).select(
         "id", F.col("only").alias("anchor"), F.lit(1).alias("dist")), "pulse-chain")
-    for _ in range(MAX_ROUNDS):
+    before = None
+    while True:
         up = chain.select(F.col("id").alias("anchor"), F.col("anchor").alias("__up"), F.col("dist").alias("__d"))
-        moving = chain.join(up.select("anchor"), "anchor", "left_semi")
-        if moving.isEmpty():
+        moving = chain.join(up.select("anchor"), "anchor", "left_semi").count()
+        if moving == 0:
             break
+        if before is not None and moving >= before:
+            raise ValueError("dependencies contain a cycle")
+        before = moving
         chain = materialize(chain.join(up, "anchor", "left").select(
             "id", F.coalesce("__up", "anchor").alias("anchor"),
             (F.col("dist") + F.coalesce("__d", F.lit(0))).alias("dist")), "pulse-chain")
-    else:
-        raise ValueError("dependencies contain a cycle")
 
-    roots = instances.join(deps.select("id"), "id", "left_anti").select("id", F.lit(1).alias("pulse"))
+    roots = instances.join(counted.select("id"), "id", "left_anti").select("id", F.lit(1).alias("pulse"))
     joints = counted.filter(F.col("inputs") > 1).select("id")
     hop = chain.select(F.col("id").alias("parent"), "anchor", "dist")
     edges = (deps.join(joints, "id", "left_semi").join(hop, "parent", "left")
@@ -180,7 +200,7 @@ def pulse(instances: DataFrame, deps: DataFrame) -> DataFrame:
     if not joints.isEmpty():
         edges, known = materialize(edges, "pulse-edges"), materialize(roots, "pulse-known")
         pieces, open_ids = [known], joints
-        for _ in range(10_000):
+        while True:
             solved = (edges.join(open_ids, "id", "left_semi")
                       .join(known.select(F.col("id").alias("anchor"), "pulse"), "anchor", "left")
                       .groupBy("id").agg(F.max(F.col("w") + F.col("pulse")).alias("pulse"),

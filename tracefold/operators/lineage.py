@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracefold.contract import Edge
 from tracefold.functions.columns import share
 from tracefold.functions.ordered import Ordered
+from tracefold.session import materialize
 
 CORR = "correlation_id"
 ORDER = ["step", "id"]
@@ -19,7 +20,7 @@ def edge_stats(log: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Instances, correlations, hashes and time range per edge (and node)."""
     return log.groupBy(*(by or ["edge", "node"])).agg(
         F.count(F.lit(1)).alias("instances"), F.countDistinct(CORR).alias("correlations"),
-        F.countDistinct("schema_hash").alias("hashes"),
+        F.size(F.collect_set("schema_hash")).alias("hashes"),  # one entry per contract version
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
@@ -106,15 +107,17 @@ def bypass(log: DataFrame, target: str, guard: str) -> DataFrame:
 
 
 def routes(log: DataFrame, max_depth: int = 32, top_k: int | None = None,
-           success: Column | None = None) -> DataFrame:
+           success: Column | None = None, chained: bool = False) -> DataFrame:
     """Recorded step sequences with their frequency and successes.
 
     A route is identified over its whole length by an order-aware hash; only
     its printed form stops after ``max_depth`` steps.  Equal edges at one step
-    of a run count once, so fan-out does not lengthen a route.
+    of a run count once, so fan-out does not lengthen a route.  ``chained``
+    states that steps are unique in a run, which saves that merge.
     """
-    ok = F.lit(False) if success is None else success
-    steps = log.groupBy(CORR, "step", "edge").agg(F.max(F.coalesce(ok, F.lit(False))).alias("__ok"))
+    ok = F.coalesce(F.lit(False) if success is None else success, F.lit(False))
+    steps = (log.select(CORR, "step", "edge", ok.alias("__ok")) if chained
+             else log.groupBy(CORR, "step", "edge").agg(F.max(ok).alias("__ok")))
     shown = F.array_sort(F.collect_list(F.when(F.col("step") < max_depth, F.struct("step", "edge"))))
     runs = steps.groupBy(CORR).agg(
         F.bit_xor(F.xxhash64("step", "edge")).alias("__whole"), F.max("step").alias("__last"),
@@ -181,9 +184,9 @@ def latency(log: DataFrame, seconds, quantiles: Iterable[float] = (0.5, 0.9, 0.9
     """
     causes = log.select(F.col("id").alias("causation_id"), F.col("edge").alias("source"), F.col("ts").alias("__t"))
     effects = log.filter(F.col("causation_id").isNotNull()).select("causation_id", F.col("edge").alias("target"), "ts")
-    hist = (effects.join(causes, "causation_id")
-            .groupBy("source", "target", seconds(F.col("ts"), F.col("__t")).alias("s"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    hist = materialize(effects.join(causes, "causation_id")
+                       .groupBy("source", "target", seconds(F.col("ts"), F.col("__t")).alias("s"))
+                       .agg(F.count(F.lit(1)).alias("n")), "latency")
     upto = Ordered(hist, ["source", "target"], ["s"]).running({"__cum": ("sum", F.col("n"))}).df
     total = hist.groupBy("source", "target").agg(F.sum("n").alias("instances"), F.sum(F.col("n") * F.col("s")).alias("sum_s"))
     joined = upto.join(total, ["source", "target"])

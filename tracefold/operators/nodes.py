@@ -56,6 +56,15 @@ def env_apply(log: DataFrame, node: str, output: Edge, body: Callable[[DataFrame
     return with_envelope(log, body(log), node, output)
 
 
+def compose(name: str, *nodes: Node) -> Node:
+    """A chain as one node: the first input, the last output, nothing logged between."""
+    def body(p: Column) -> Mapping[str, Column]:
+        for node in nodes:
+            p = node.payload(p)
+        return {n: p[n] for n in nodes[-1].output.fields}
+    return Node(name, nodes[0].input, nodes[-1].output, body)
+
+
 def pipe(log: DataFrame, *nodes: Node, opaque: bool = False) -> DataFrame:
     """Run nodes in sequence.  Every stage is logged, or only the last if ``opaque``."""
     stages, current = [], log

@@ -40,12 +40,12 @@ def grant_audit(log: DataFrame, declared: DataFrame, scopes: str = "identity.sco
 
 def scope_rows(df: DataFrame, entitlement: DataFrame, on: list[str]) -> DataFrame:
     """Filter to the identity once, at entry."""
-    return df.join(entitlement.select(*on), on, "left_semi")
+    return df.join(entitlement.select(*on).distinct(), on, "left_semi")
 
 
 def exit_filter(df: DataFrame, grants: DataFrame, on: list[str]) -> DataFrame:
     """Rows that a principal may receive: (edge, principal) pairs are granted."""
-    return df.join(grants.select(*on), on, "left_semi")
+    return df.join(grants.select(*on).distinct(), on, "left_semi")
 
 
 # -- redaction --------------------------------------------------------------
@@ -94,7 +94,7 @@ def check_tokens(result: DataFrame, token_map: DataFrame, field: str) -> DataFra
 
 def erase_subject(token_map: DataFrame, subjects: DataFrame, key: str = "value") -> DataFrame:
     """The token map without the subjects' rows; the log itself is unchanged."""
-    return token_map.join(subjects.select(key), key, "left_anti")
+    return token_map.join(subjects.select(key).distinct(), key, "left_anti")
 
 
 def declassify(df: DataFrame, public: Iterable[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracefold.contract import INTEGER_RANGES, TEXT, Edge, Field, Many
 from tracefold.functions.columns import all_true, any_true
-from tracefold.operators.nodes import PAYLOAD, Node
+from tracefold.operators.nodes import PAYLOAD, Node, compose
 
 # Domain used where a contract declares no bound of its own.
 FLOAT_RANGE = (-1.0e6, 1.0e6)
@@ -170,10 +170,7 @@ def check_property(node: Node, df: DataFrame, predicate: Callable[[Column, Colum
 
 def check_chain(nodes: list[Node], df: DataFrame, predicate, column: str = PAYLOAD) -> DataFrame:
     """The same for a chain of nodes taken as one node."""
-    value = df.withColumn("output", F.col(column))
-    for node in nodes:
-        value = value.withColumn("output", node.payload(F.col("output")))
-    return value.filter(~F.coalesce(predicate(F.col(column), F.col("output")), F.lit(False)))
+    return check_property(compose("chain", *nodes), df, predicate, column)
 
 
 def compare_impls(f: Node, g: Node, df: DataFrame, column: str = PAYLOAD) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from tracefold.contract import Edge, Field
 from tracefold.functions.columns import cents
 from tracefold.operators.conform import is_valid, violations
-from tracefold.operators.fanin import every
+from tracefold.operators.failure import failed_rows
+from tracefold.operators.fanin import apply_every
 from tracefold.plans.fixtures import EVENT, LOG, event_log
 from tracefold.plans.registry import query
-from tracefold.sources.log import instance_id
 
 BOUNDED = Edge("Bounded", "Bounded event", "An event of at most 100", {
     "value": Field("f64", "Value", "Amount", nullable=False, max=100), "k": EVENT.fields["k"]})
@@ -31,16 +31,11 @@ FROM log WHERE value > 100""")
 def flagship(spark, sf):
     log = event_log(spark, sf)
     fits = is_valid(log, BOUNDED, "domain", "payload")
-    bag = every(log.filter(fits), ["signup", "purchase"])
-    cause, node = F.col("causation_id"), F.lit("add")
-    total = cents(F.col("signup.payload.value")) + cents(F.col("purchase.payload.value"))
-    paired = bag.select(
-        instance_id(cause, node, F.lit(PAIRED.name), F.lit(0)).alias("id"), "correlation_id",
-        cause.cast("string").alias("causation_id"), (F.col("step") + 1).alias("step"),
-        F.lit(PAIRED.name).alias("edge"), total.alias("cents"), F.lit(None).cast("string").alias("reason"))
+    paired = apply_every(
+        log.filter(fits), ["signup", "purchase"], "add", PAIRED,
+        lambda bag: {"cents": cents(bag["signup"]["value"]) + cents(bag["purchase"]["value"])})
+    columns = ["id", "correlation_id", "causation_id", "step", "edge"]
     why = F.transform(violations(log, BOUNDED, "domain", "payload"), lambda v: F.concat(v["path"], F.lit(":"), v["rule"]))
-    failed = log.filter(~F.coalesce(fits, F.lit(False))).select(
-        instance_id(F.col("id"), node, F.lit(BOUNDED.failed()), F.lit(0)).alias("id"), "correlation_id",
-        F.col("id").cast("string").alias("causation_id"), (F.col("step") + 1).alias("step"),
-        F.lit(BOUNDED.failed()).alias("edge"), F.lit(None).cast("bigint").alias("cents"), F.array_join(why, ",").alias("reason"))
-    return paired.unionByName(failed)
+    failed = failed_rows(log.filter(~F.coalesce(fits, F.lit(False))), BOUNDED, F.array_join(why, ","), "add")
+    return paired.select(*columns, "payload.cents", F.lit(None).cast("string").alias("reason")).unionByName(
+        failed.select(*columns, F.lit(None).cast("bigint").alias("cents"), "payload.reason"))

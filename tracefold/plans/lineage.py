@@ -70,7 +70,7 @@ _ROUTES = f"""{LOG}, r AS (SELECT corr, string_agg(edge, '>' ORDER BY step) AS r
 
 @query("j7_routes", f"WITH {_ROUTES} SELECT route, steps, count(*) AS runs, sum(ok) AS successes FROM r GROUP BY 1, 2")
 def routes(spark, sf):
-    return ops.routes(event_log(spark, sf), success=F.col("edge") == "purchase")
+    return ops.routes(event_log(spark, sf), success=F.col("edge") == "purchase", chained=True)
 
 
 @query("j7_routes_top", f"""
