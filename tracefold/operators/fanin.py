@@ -30,16 +30,17 @@ def latest(log: DataFrame, edge: str | None = None) -> DataFrame:
                 .select(CORR, "edge", "__row.*"))
 
 
-def _present(rows: DataFrame, edges: list[str]) -> DataFrame:
-    picked = F.struct("id", "step", *[c for c in (PAYLOAD, "ts", "identity") if c in rows.columns])
+def _present(rows: DataFrame, edges: list[str], carry: tuple[str, ...]) -> DataFrame:
+    picked = F.struct("id", "step", *carry)
     return rows.groupBy(CORR).agg(*[
         F.max_by(picked, F.when(F.col("edge") == e, _at())).alias(e) for e in edges])
 
 
-def every(log: DataFrame, edges: list[str], at: str = "latest") -> DataFrame:
+def every(log: DataFrame, edges: list[str], at: str = "latest", carry: tuple[str, ...] = (PAYLOAD,)) -> DataFrame:
     """One row per correlation in which all ``edges`` are present.
 
-    Each edge becomes a column {id, step, payload, ts, identity}.  ``at="latest"`` reads the
+    Each edge becomes a column {id, step, payload}; ``carry`` names what else
+    to take along than the payload.  ``at="latest"`` reads the
     last instances; ``at="fire"`` reads them as they stood when the last
     missing edge first arrived.  ``step`` is the step at which that holds,
     ``causation_id`` the latest contributing row, ``parents`` all of them.
@@ -55,7 +56,7 @@ def every(log: DataFrame, edges: list[str], at: str = "latest") -> DataFrame:
         rows = rows.join(fire, CORR).filter(F.col("step") <= F.col("__fire"))
     elif at != "latest":
         raise ValueError(f"unknown reading {at!r}")
-    bag = _present(rows, edges).filter(all_true([F.col(f"`{e}`").isNotNull() for e in edges]))
+    bag = _present(rows, edges, carry).filter(all_true([F.col(f"`{e}`").isNotNull() for e in edges]))
     parents = F.array_sort(F.array(*[F.struct(F.col(f"`{e}`.step"), F.col(f"`{e}`.id")) for e in edges]))
     return bag.select(CORR, *[F.col(f"`{e}`") for e in edges],
                       F.element_at(parents, -1)["step"].alias("step"),
@@ -71,7 +72,7 @@ def apply_every(log: DataFrame, edges: list[str], node: str, output: Edge,
     ``body`` gets the payload columns keyed by edge name.  The latest
     contributing row is the cause; ``parents`` lists all of them.
     """
-    bag = every(log, edges, at)
+    bag = every(log, edges, at, (PAYLOAD, "ts", "identity"))
     out = body({e: F.col(f"`{e}`.{PAYLOAD}") for e in edges})
     last = F.element_at(F.array_sort(F.array(*[
         F.struct(F.col(f"`{e}`.step"), F.col(f"`{e}`.id"), F.col(f"`{e}`.ts"), F.col(f"`{e}`.identity")) for e in edges])), -1)

@@ -44,6 +44,7 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def _with_rocksdb(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Start a query whose state needs column families."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, ROCKSDB)
@@ -53,6 +54,11 @@ def _with_rocksdb(spark: SparkSession, start: Callable[[], StreamingQuery]) -> S
         spark.conf.set(key, before)
 
 
+def _to_table(df: DataFrame, path: str, checkpoint: str, trigger) -> StreamingQuery:
+    return (df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+            .option("path", path).trigger(**(trigger or AVAILABLE_NOW)).start())
+
+
 def stream_conform(stream: DataFrame, edge: Edge, ok_path: str, failed_path: str, checkpoint: str,
                    level: str = "domain", keep: tuple[str, ...] = (), trigger=None) -> StreamingQuery:
     """Valid rows to one sink, Failed rows to another."""
@@ -75,8 +81,7 @@ def stream_dedupe(stream: DataFrame, path: str, checkpoint: str, delay: str, ts:
                   trigger=None) -> StreamingQuery:
     """One row per id among copies that arrive within the delay."""
     once = stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["id"])
-    return (once.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-            .option("path", path).trigger(**(trigger or AVAILABLE_NOW)).start())
+    return _to_table(once, path, checkpoint, trigger)
 
 
 def stream_fold(stream: DataFrame, keys: list[str], aggregates: dict[str, Column], path: str,
@@ -112,13 +117,10 @@ def stream_every(stream: DataFrame, edges: list[str], path: str, checkpoint: str
         CORR, "edge", F.col("step").cast("int").alias("step"), F.col("id").cast("string").alias("id"),
         F.to_json("payload").alias("body"))
     key = stream.schema[CORR].dataType.simpleString()
-    ready = rows.groupBy(CORR).transformWithStateInPandas(
-        statefulProcessor=EveryProcessor(tuple(edges), ttl_ms),
-        outputStructType=every_schema(edges, key),
+    ready = rows.groupBy(CORR).transformWithState(
+        statefulProcessor=EveryProcessor(tuple(edges), ttl_ms), outputStructType=every_schema(edges, key),
         outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None")
-    return _with_rocksdb(stream.sparkSession, lambda: (
-        ready.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-        .option("path", path).trigger(**(trigger or AVAILABLE_NOW)).start()))
+    return _with_rocksdb(stream.sparkSession, lambda: _to_table(ready, path, checkpoint, trigger))
 
 
 def every_schema(edges: list[str], key_type: str) -> str:
@@ -133,15 +135,12 @@ def timeout_race(stream: DataFrame, edges: list[str], within_ms: int, path: str,
     The span starts at the earliest row among the edges, in event time.
     """
     rows = (stream.filter(F.col("edge").isin(*edges)).select(CORR, "edge", F.col("ts").cast("timestamp").alias("ts"))
-            .withWatermark("ts", delay))
+            .withWatermark("ts", delay).withColumn("micros", F.unix_micros("ts")))
     key = stream.schema[CORR].dataType.simpleString()
-    decided = rows.groupBy(CORR).transformWithStateInPandas(
-        statefulProcessor=TimeoutProcessor(tuple(edges), within_ms),
-        outputStructType=f"{CORR} {key}, outcome string",
+    decided = rows.groupBy(CORR).transformWithState(
+        statefulProcessor=TimeoutProcessor(tuple(edges), within_ms), outputStructType=f"{CORR} {key}, outcome string",
         outputMode="append", timeMode="EventTime")
-    return _with_rocksdb(stream.sparkSession, lambda: (
-        decided.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-        .option("path", path).trigger(**(trigger or AVAILABLE_NOW)).start()))
+    return _with_rocksdb(stream.sparkSession, lambda: _to_table(decided, path, checkpoint, trigger))
 
 
 def stream_effects(requests: DataFrame, results: DataFrame, bound: str, delay: str, path: str, checkpoint: str,
@@ -158,5 +157,4 @@ def stream_effects(requests: DataFrame, results: DataFrame, bound: str, delay: s
     near = ((F.col("for_id") == F.col("request_id")) & (F.col("result_ts") >= F.col("request_ts"))
             & (F.col("result_ts") <= F.col("request_ts") + F.expr(f"INTERVAL {bound}")))
     joined = left.join(right, near, "leftOuter" if how == "left" else "inner").drop("for_id")
-    return (joined.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-            .option("path", path).trigger(**(trigger or AVAILABLE_NOW)).start())
+    return _to_table(joined, path, checkpoint, trigger)

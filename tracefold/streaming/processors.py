@@ -1,100 +1,112 @@
-"""Per-correlation state machines behind the stateful streams."""
+"""Per-correlation state machines behind the stateful streams.
+
+Spark shuffles the rows by correlation, keeps the state and calls these per
+group.  Each keeps a single value, so a group costs one read and one write.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 class EveryProcessor(StatefulProcessor):
-    """Fires once, at the first step at which every edge has been seen."""
+    """Fires once, at the first step at which every edge has been seen.
+
+    State: a fired flag, then (step, id, body) of the latest row per edge.
+    Batches are taken to follow the order of steps; inside one batch rows may
+    come in any order.  Rows of one batch are held until the correlation fires,
+    so the trigger's input limit bounds the memory of a busy correlation.
+    """
 
     def __init__(self, edges: tuple[str, ...], ttl_ms: int | None):
         self.edges, self.ttl_ms = edges, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.fired = handle.getValueState("fired", "fired boolean", self.ttl_ms)
-        self.held = handle.getMapState("held", "edge string", "step int, id string, body string", self.ttl_ms)
+        columns = ", ".join(f"step_{i} int, id_{i} string, body_{i} string" for i in range(len(self.edges)))
+        self.state = handle.getValueState("state", f"fired boolean, {columns}", self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.fired.exists():
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.state.get()
+        if before is not None and before[0]:
             return
-        # Rows of earlier batches: the latest one per edge is all that can matter.
-        seen = pd.DataFrame(
-            [(edge[0], *value) for edge, value in self.held.iterator()], columns=["edge", "step", "id", "body"])
+        seen: dict[str, list[tuple]] = {}
+        if before is not None:
+            for i, edge in enumerate(self.edges):
+                if before[3 * i + 1] is not None:
+                    seen[edge] = [tuple(before[3 * i + 1:3 * i + 4])]
+        firsts = {edge: found[0][0] for edge, found in seen.items()}
         fire = None
-        for chunk in rows:
-            seen = pd.concat([seen, chunk[["edge", "step", "id", "body"]]], ignore_index=True)
-            firsts = seen.groupby("edge")["step"].min()
+        for row in rows:
+            if fire is not None and row.step > fire:
+                continue
+            seen.setdefault(row.edge, []).append((row.step, row.id, row.body))
+            firsts[row.edge] = min(row.step, firsts.get(row.edge, row.step))
             if len(firsts) == len(self.edges):
-                # The firing step can only fall as more rows come in.
-                fire = int(firsts.max())
-                seen = seen[seen["step"] <= fire]
-        last = seen.sort_values(["step", "id"]).groupby("edge").tail(1).set_index("edge")
+                fire = max(firsts.values())  # more rows can only make it smaller
         if fire is None:
-            for edge, row in last.iterrows():
-                self.held.updateValue((edge,), (int(row["step"]), row["id"], row["body"]))
+            last = {edge: max(found, key=lambda r: r[:2]) for edge, found in seen.items()}
+            self.state.update((False, *[v for e in self.edges for v in last.get(e, (None, None, None))]))
             return
-        self.fired.update((True,))
-        self.held.clear()
-        out = {"correlation_id": [key[0]], "step": [fire]}
+        self.state.update((True, *[None] * (3 * len(self.edges))))
+        out = {"correlation_id": key[0], "step": fire}
         for i, edge in enumerate(self.edges):
-            row = last.loc[edge]
-            out |= {f"id_{i}": [row["id"]], f"step_{i}": [int(row["step"])], f"body_{i}": [row["body"]]}
-        yield pd.DataFrame(out)
+            at, row_id, body = max((r for r in seen[edge] if r[0] <= fire), key=lambda r: r[:2])
+            out |= {f"id_{i}": row_id, f"step_{i}": at, f"body_{i}": body}
+        yield Row(**out)
 
     def close(self) -> None:
         pass
 
 
 class TimeoutProcessor(StatefulProcessor):
-    """Decides each correlation once: Ready in time, or TimedOut at the deadline."""
+    """Decides each correlation once: Ready in time, or TimedOut at the deadline.
+
+    State: a decided flag, then the first arrival (microseconds) per edge.
+    """
 
     def __init__(self, edges: tuple[str, ...], within_ms: int):
         self.edges, self.within_ms = edges, within_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.decided = handle.getValueState("decided", "decided boolean")
-        self.firsts = handle.getMapState("firsts", "edge string", "micros bigint")
+        columns = ", ".join(f"first_{i} bigint" for i in range(len(self.edges)))
+        self.state = handle.getValueState("state", f"decided boolean, {columns}")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.decided.exists():
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.state.get()
+        if before is not None and before[0]:
             return
-        firsts = {edge[0]: value[0] for edge, value in self.firsts.iterator()}
-        before = min(firsts.values()) if firsts else None
-        for chunk in rows:
-            micros = chunk["ts"].astype("datetime64[us]").astype("int64")
-            for edge, value in micros.groupby(chunk["edge"]).min().items():
-                firsts[edge] = min(int(value), firsts.get(edge, int(value)))
-        start = min(firsts.values())
-        deadline = start + self.within_ms * 1000
+        firsts = {} if before is None else {e: v for e, v in zip(self.edges, before[1:]) if v is not None}
+        timer = self._closes(firsts) if firsts else None
+        for row in rows:
+            firsts[row.edge] = min(row.micros, firsts.get(row.edge, row.micros))
+        closes = self._closes(firsts)
+        if timer is not None and timer != closes:
+            self.handle.deleteTimer(timer)
         if len(firsts) == len(self.edges):
-            outcome = "Ready" if max(firsts.values()) <= deadline else "TimedOut"
-            yield self._decide(key, outcome)
-            return
-        for edge, value in firsts.items():
-            self.firsts.updateValue((edge,), (value,))
-        if before is not None and before != start:
-            self.handle.deleteTimer(self._timer(before))
-        if before != start:
-            self.handle.registerTimer(self._timer(start))
-
-    def _timer(self, start_micros: int) -> int:
-        return -(-start_micros // 1000) + self.within_ms
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.decided.exists():
+            in_time = max(firsts.values()) - min(firsts.values()) <= self.within_ms * 1000
+            yield self._decide(key, "Ready" if in_time else "TimedOut")
+        elif closes <= timerValues.getCurrentWatermarkInMs():
+            yield self._decide(key, "TimedOut")
+        else:
+            self.state.update((False, *[firsts.get(e) for e in self.edges]))
+            if timer != closes:
+                self.handle.registerTimer(closes)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        before = self.state.get()
+        if before is not None and not before[0]:
             yield self._decide(key, "TimedOut")
 
-    def _decide(self, key, outcome: str) -> pd.DataFrame:
-        self.decided.update((True,))
-        self.firsts.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        return pd.DataFrame({"correlation_id": [key[0]], "outcome": [outcome]})
+    def _closes(self, firsts: dict[str, int]) -> int:
+        return -(-min(firsts.values()) // 1000) + self.within_ms
+
+    def _decide(self, key, outcome: str) -> Row:
+        self.state.update((True, *[None] * len(self.edges)))
+        return Row(correlation_id=key[0], outcome=outcome)
 
     def close(self) -> None:
         pass
