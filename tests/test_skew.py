@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracefold.functions import ordered
-from tracefold.operators import lineage, replay, state
+from tracefold.operators import fanin, lineage, replay, state
 from tracefold.plans import fixtures
 
 
@@ -103,6 +103,19 @@ def test_run_statistics_on_a_hot_run(log, small_limits):
         e: (n, runs) for e, n in passing.items()}
 
 
+def test_firing_reading_of_a_hot_run(log, small_limits):
+    got = fanin.every(log, ["a", "c"], at="fire", carry=("v",)).collect()
+    want = {}
+    for key, rows in groups():
+        held = {}
+        for r in rows:
+            held[r[3]] = (r[2], r[4])
+            if "a" in held and "c" in held:
+                want[key] = (r[1], held["a"], held["c"])
+                break
+    assert {r.correlation_id: (r.step, (r.a.id, r.a.v), (r.c.id, r.c.v)) for r in got} == want
+
+
 def test_routes_are_identified_beyond_their_printed_part(spark):
     rows = [(c, i, f"{c}{i}", e) for c, path in {"x": "aabbc", "y": "aabbd", "z": "aabbc"}.items() for i, e in enumerate(path)]
     log = spark.createDataFrame(rows, "correlation_id string, step int, id string, edge string")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracefold.contract import Edge
 from tracefold.functions.columns import all_true
+from tracefold.functions.ordered import Ordered
 from tracefold.operators.conform import is_valid, violations
 from tracefold.operators.nodes import PAYLOAD, collect_many
 from tracefold.session import materialize
@@ -30,33 +31,42 @@ def latest(log: DataFrame, edge: str | None = None) -> DataFrame:
                 .select(CORR, "edge", "__row.*"))
 
 
-def _present(rows: DataFrame, edges: list[str], carry: tuple[str, ...]) -> DataFrame:
-    picked = F.struct("id", "step", *carry)
-    return rows.groupBy(CORR).agg(*[
-        F.max_by(picked, F.when(F.col("edge") == e, _at())).alias(e) for e in edges])
+def _picked(carry: tuple[str, ...]) -> Column:
+    return F.struct("id", "step", *carry)
+
+
+def _latest_bag(rows: DataFrame, edges: list[str], carry: tuple[str, ...]) -> DataFrame:
+    bag = rows.groupBy(CORR).agg(*[
+        F.max_by(_picked(carry), F.when(F.col("edge") == e, _at())).alias(e) for e in edges])
+    return bag.filter(all_true([F.col(f"`{e}`").isNotNull() for e in edges]))
+
+
+def _firing_bag(rows: DataFrame, edges: list[str], carry: tuple[str, ...]) -> DataFrame:
+    """The last values seen per edge, at the first step where none is lacking.
+
+    One ordered pass; each edge is tested by itself, since greatest() skips nulls.
+    """
+    held = Ordered(rows, [CORR], ["step", "id"]).running({
+        f"__{i}": ("last", F.when(F.col("edge") == e, _picked(carry))) for i, e in enumerate(edges)})
+    ready = held.df.filter(all_true([F.col(f"__{i}").isNotNull() for i in range(len(edges))]))
+    first = F.struct(-F.col("step"), "id")  # the last row of the first ready step
+    return ready.groupBy(CORR).agg(*[
+        F.max_by(F.col(f"__{i}"), first).alias(e) for i, e in enumerate(edges)])
 
 
 def every(log: DataFrame, edges: list[str], at: str = "latest", carry: tuple[str, ...] = (PAYLOAD,)) -> DataFrame:
     """One row per correlation in which all ``edges`` are present.
 
-    Each edge becomes a column {id, step, payload}; ``carry`` names what else
-    to take along than the payload.  ``at="latest"`` reads the
-    last instances; ``at="fire"`` reads them as they stood when the last
-    missing edge first arrived.  ``step`` is the step at which that holds,
-    ``causation_id`` the latest contributing row, ``parents`` all of them.
+    Each edge becomes a column {id, step, payload}; ``carry`` names what to
+    take along.  ``at="latest"`` reads the last instances; ``at="fire"`` reads
+    them as they stood when the last missing edge first arrived.  ``step`` is
+    the step at which that holds, ``causation_id`` the latest contributing
+    row, ``parents`` all of them.
     """
-    rows = log.filter(F.col("edge").isin(*edges))
-    if at == "fire":
-        firsts = rows.groupBy(CORR).agg(*[
-            F.min(F.when(F.col("edge") == e, F.col("step"))).alias(f"__{i}") for i, e in enumerate(edges)])
-        # greatest() skips nulls, so presence is tested edge by edge.
-        ready = all_true([F.col(f"__{i}").isNotNull() for i in range(len(edges))])
-        steps = [F.col(f"__{i}") for i in range(len(edges))]
-        fire = firsts.filter(ready).select(CORR, (F.greatest(*steps) if len(steps) > 1 else steps[0]).alias("__fire"))
-        rows = rows.join(fire, CORR).filter(F.col("step") <= F.col("__fire"))
-    elif at != "latest":
+    readings = {"latest": _latest_bag, "fire": _firing_bag}
+    if at not in readings:
         raise ValueError(f"unknown reading {at!r}")
-    bag = _present(rows, edges, carry).filter(all_true([F.col(f"`{e}`").isNotNull() for e in edges]))
+    bag = readings[at](log.filter(F.col("edge").isin(*edges)), edges, carry)
     parents = F.array_sort(F.array(*[F.struct(F.col(f"`{e}`.step"), F.col(f"`{e}`.id")) for e in edges]))
     return bag.select(CORR, *[F.col(f"`{e}`") for e in edges],
                       F.element_at(parents, -1)["step"].alias("step"),
