@@ -127,7 +127,7 @@ class Ordered:
         type; that is what lets segments be folded apart and joined later.
         """
         def combine(rows: Column) -> Column:
-            values = F.transform(F.array_sort(rows), lambda r: r["v"])
+            values = F.transform(F.sort_array(rows), lambda r: r["v"])
             return F.aggregate(F.slice(values, 2, F.size(values)), F.element_at(values, 1), merge)
 
         entry = F.collect_list(F.struct(*self.order, lift.alias("v")))

@@ -67,7 +67,7 @@ def every(log: DataFrame, edges: list[str], at: str = "latest", carry: tuple[str
     if at not in readings:
         raise ValueError(f"unknown reading {at!r}")
     bag = readings[at](log.filter(F.col("edge").isin(*edges)), edges, carry)
-    parents = F.array_sort(F.array(*[F.struct(F.col(f"`{e}`.step"), F.col(f"`{e}`.id")) for e in edges]))
+    parents = F.sort_array(F.array(*[F.struct(F.col(f"`{e}`.step"), F.col(f"`{e}`.id")) for e in edges]))
     return bag.select(CORR, *[F.col(f"`{e}`") for e in edges],
                       F.element_at(parents, -1)["step"].alias("step"),
                       F.element_at(parents, -1)["id"].alias("causation_id"),
@@ -84,7 +84,7 @@ def apply_every(log: DataFrame, edges: list[str], node: str, output: Edge,
     """
     bag = every(log, edges, at, (PAYLOAD, "ts", "identity"))
     out = body({e: F.col(f"`{e}`.{PAYLOAD}") for e in edges})
-    last = F.element_at(F.array_sort(F.array(*[
+    last = F.element_at(F.sort_array(F.array(*[
         F.struct(F.col(f"`{e}`.step"), F.col(f"`{e}`.id"), F.col(f"`{e}`.ts"), F.col(f"`{e}`.identity")) for e in edges])), -1)
     caused = bag.withColumns({"id": F.col("causation_id"), "ts": last["ts"], "identity": last["identity"]})
     return caused.select(

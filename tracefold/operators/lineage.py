@@ -118,7 +118,7 @@ def routes(log: DataFrame, max_depth: int = 32, top_k: int | None = None,
     ok = F.coalesce(F.lit(False) if success is None else success, F.lit(False))
     steps = (log.select(CORR, "step", "edge", ok.alias("__ok")) if chained
              else log.groupBy(CORR, "step", "edge").agg(F.max(ok).alias("__ok")))
-    shown = F.array_sort(F.collect_list(F.when(F.col("step") < max_depth, F.struct("step", "edge"))))
+    shown = F.sort_array(F.collect_list(F.when(F.col("step") < max_depth, F.struct("step", "edge"))))
     runs = steps.groupBy(CORR).agg(
         F.bit_xor(F.xxhash64("step", "edge")).alias("__whole"), F.max("step").alias("__last"),
         shown.alias("__shown"), F.max("__ok").alias("__ok"))
@@ -143,7 +143,7 @@ def rank_routes(log: DataFrame, start: str, end: str, max_depth: int, top_k: int
     done = (F.col("edge") == end) & (F.col("step") > F.col("__start"))
     runs = steps.groupBy(CORR).agg(
         F.max(F.when(done, F.col("step") - F.col("__start"))).alias("depth"),
-        F.array_sort(F.collect_list(F.struct("step", "edge"))).alias("__path"))
+        F.sort_array(F.collect_list(F.struct("step", "edge"))).alias("__path"))
     found = (runs.filter(F.col("depth").isNotNull())
              .withColumn("__edges", F.transform("__path", lambda s: s["edge"]))
              .groupBy("__edges", "depth").agg(F.count(F.lit(1)).alias("runs")))

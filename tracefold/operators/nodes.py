@@ -178,7 +178,7 @@ def collect_many(parents: DataFrame, key: str, children: DataFrame, child_key: s
         numbered = rows.join(marks, child_key, "left_anti").withColumn(
             "part", F.lit(0).cast("bigint")).unionByName(cut)
     packed = (numbered.groupBy(F.col(child_key).alias("__key"), "part")
-              .agg(F.array_sort(F.collect_list(F.struct(*order, F.col("__element")))).alias("__packed")))
+              .agg(F.sort_array(F.collect_list(F.struct(*order, F.col("__element")))).alias("__packed")))
     empty = F.array().cast(f"array<{rows.schema['__element'].dataType.simpleString()}>")
     return (parents.join(packed, parents[key] == F.col("__key"), "left")
             .withColumns({
@@ -249,27 +249,25 @@ def python_node(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], outpu
                 keep: list[str], inputs: list[str]) -> DataFrame:
     """A body that needs Python, run on Arrow batches.
 
-    ``fn`` maps a frame of ``inputs`` to a frame of the output columns.  If a
-    batch raises, its rows are tried one by one; a row that raises keeps its
-    ``keep`` columns, null outputs, and the message in ``reason``.
+    ``fn`` maps a frame of ``inputs`` to a frame of the output columns.  A batch
+    that raises is halved until the rows at fault stand alone; such a row keeps
+    its ``keep`` columns, gets null outputs, and the message in ``reason``.
     """
     names = [part.strip().split()[0] for part in output.split(",")]
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
 
-    def one(row: pd.DataFrame) -> pd.DataFrame:
+    def attempt(rows: pd.DataFrame) -> list[pd.DataFrame]:
         try:
-            return fn(row)[names].assign(reason=None)
+            return [fn(rows.reset_index(drop=True))[names].assign(reason=None)]
         except Exception as e:  # any fault of the body becomes data
-            return pd.DataFrame({n: [None] for n in names} | {"reason": [f"{type(e).__name__}: {e}"]})
+            if len(rows) == 1:
+                return [pd.DataFrame({n: [None] for n in names} | {"reason": [f"{type(e).__name__}: {e}"]})]
+            middle = len(rows) // 2
+            return attempt(rows.iloc[:middle]) + attempt(rows.iloc[middle:])
 
     def run(batches):
         for batch in batches:
-            args = batch[inputs].reset_index(drop=True)
-            try:
-                out = fn(args)[names].assign(reason=None)
-            except Exception:
-                out = pd.concat([one(args.iloc[[i]].reset_index(drop=True)) for i in range(len(args))])
-            out = out.reset_index(drop=True)
+            out = pd.concat(attempt(batch[inputs]), ignore_index=True)
             out["reason"] = out["reason"].astype(object)
             yield pd.concat([batch[keep].reset_index(drop=True), out], axis=1)
 

@@ -68,7 +68,7 @@ def stream_dedupe(spark, sf):
     return spark.read.schema(events.schema).parquet(out).select("id")
 
 
-@query("k5_stream_append", f"WITH {LOG} SELECT edge, count(*) AS instances, sum(k) AS k FROM log GROUP BY 1")
+@query("k5_stream_append", f"WITH {LOG} SELECT edge, count(*) AS instances, CAST(sum(k) AS BIGINT) AS k FROM log GROUP BY 1")
 def stream_append(spark, sf):
     out, state = _folders(spark, "appended", "checkpoint")
     stream = live_log(spark, sf)

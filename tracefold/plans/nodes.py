@@ -52,7 +52,7 @@ def all_of(spark, sf):
 
 
 @query("c3_all_of_mixed", """
-SELECT 'Invoice' AS edge, count(*) AS instances, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS total FROM orders
+SELECT 'Invoice' AS edge, count(*) AS instances, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total FROM orders
 UNION ALL SELECT 'Reserve', count(*), NULL FROM orders""")
 def all_of_mixed(spark, sf):
     invoice = Edge("Invoice", fields={"price": PLACED.fields["price"]})
@@ -120,7 +120,7 @@ def nested(spark, sf):
 
 
 @query("c8_array_aggregate", """
-SELECT o_orderkey AS order_key, count(l_orderkey) AS n_lines, coalesce(sum(CAST(l_quantity AS BIGINT)), 0) AS quantity,
+SELECT o_orderkey AS order_key, count(l_orderkey) AS n_lines, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)), 0) AS BIGINT) AS quantity,
        coalesce(bool_or(l_returnflag = 'R'), false) AS any_returned
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def array_aggregate(spark, sf):
@@ -182,8 +182,8 @@ def parallel(spark, sf):
 
 @query("c13_copy_discard", f"""
 WITH {LOG}
-SELECT 'k' AS consumer, edge, sum(k) AS total FROM log WHERE edge <> 'error' GROUP BY 2
-UNION ALL SELECT 'step', edge, sum(step) FROM log WHERE edge <> 'error' GROUP BY 2""")
+SELECT 'k' AS consumer, edge, CAST(sum(k) AS BIGINT) AS total FROM log WHERE edge <> 'error' GROUP BY 2
+UNION ALL SELECT 'step', edge, CAST(sum(step) AS BIGINT) FROM log WHERE edge <> 'error' GROUP BY 2""")
 def copy_discard(spark, sf):
     def total(name, column):
         return lambda log: log.groupBy("edge").agg(F.sum(column).alias("total")).select(
@@ -209,7 +209,7 @@ def activity(spark, sf):
 
 @query("c15_erase", """
 SELECT event_type AS source_edge, 'Activity' AS edge, count(*) AS instances,
-       sum(CAST(regexp_extract(props, '[0-9]+') AS INT)) AS k FROM events GROUP BY 1""")
+       CAST(sum(CAST(regexp_extract(props, '[0-9]+') AS INT)) AS BIGINT) AS k FROM events GROUP BY 1""")
 def erase(spark, sf):
     return activity(spark, sf).groupBy("source_edge", "edge").agg(
         F.count(F.lit(1)).alias("instances"), F.sum("payload.k").alias("k"))

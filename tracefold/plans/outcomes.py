@@ -74,7 +74,7 @@ def unhandled_failures(spark, sf):
 
 @query("e7_failure_stats", f"""
 WITH {LOG}
-SELECT day(ts) AS day, edge, count(*) AS instances, sum(CASE WHEN value > 100 THEN 1 ELSE 0 END) AS failures,
+SELECT day(ts) AS day, edge, count(*) AS instances, CAST(sum(CASE WHEN value > 100 THEN 1 ELSE 0 END) AS BIGINT) AS failures,
        grouping(day(ts)) * 2 + grouping(edge) AS level FROM log GROUP BY ROLLUP (day(ts), edge)""")
 def failure_stats(spark, sf):
     log = event_log(spark, sf).withColumn("day", F.dayofmonth("ts"))
@@ -92,7 +92,7 @@ SIGNED_SQL = """(CASE edge WHEN 'purchase' THEN CAST(round(value * 100) AS BIGIN
 
 @query("f1_fold", f"""
 WITH {LOG}
-SELECT corr AS correlation_id, sum({SIGNED_SQL}) AS balance, count(*) AS instances FROM log GROUP BY 1""")
+SELECT corr AS correlation_id, CAST(sum({SIGNED_SQL}) AS BIGINT) AS balance, count(*) AS instances FROM log GROUP BY 1""")
 def fold(spark, sf):
     return state.fold(event_log(spark, sf), balance=F.sum(signed()), instances=F.count(F.lit(1)))
 
@@ -113,7 +113,7 @@ def ordered_fold(spark, sf):
 
 @query("f2_running_fold", f"""
 WITH {LOG}
-SELECT id, sum(k) OVER w AS total, max(k) OVER w AS highest, last_value(CASE WHEN edge = 'purchase' THEN id END IGNORE NULLS) OVER w AS last_purchase
+SELECT id, CAST(sum(k) OVER w AS BIGINT) AS total, max(k) OVER w AS highest, last_value(CASE WHEN edge = 'purchase' THEN id END IGNORE NULLS) OVER w AS last_purchase
 FROM log WINDOW w AS (PARTITION BY corr ORDER BY step ROWS UNBOUNDED PRECEDING)""")
 def running_fold(spark, sf):
     rows = state.running_fold(event_log(spark, sf), {
@@ -153,7 +153,7 @@ def refresh_state(spark, sf):
 
 
 @query("f6_scoped_view", """
-SELECT o_orderstatus AS status, count(*) AS orders, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS total FROM orders
+SELECT o_orderstatus AS status, count(*) AS orders, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total FROM orders
 WHERE o_custkey IN (SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_name = 'NATION_7') GROUP BY 1""")
 def scoped_view(spark, sf):
     nation = read(spark, sf, "nation").filter(F.col("n_name") == "NATION_7")

@@ -40,7 +40,7 @@ WEIGHT = Edge("Weight", "Weight", "Weight of a segment", {
 
 
 @query("b2_literal", """
-SELECT c_mktsegment AS segment, sum(CASE c_mktsegment WHEN 'MACHINERY' THEN 3 ELSE 1 END) AS weight
+SELECT c_mktsegment AS segment, CAST(sum(CASE c_mktsegment WHEN 'MACHINERY' THEN 3 ELSE 1 END) AS BIGINT) AS weight
 FROM customer WHERE c_mktsegment IN ('MACHINERY', 'HOUSEHOLD') GROUP BY 1""")
 def literal(spark, sf):
     weights = ops.literal(spark, WEIGHT, [{"segment": "MACHINERY", "weight": 3}, {"segment": "HOUSEHOLD", "weight": 1}])
@@ -57,7 +57,7 @@ def written_log(spark, sf) -> str:
 
 @query("b3_read_log", f"""
 WITH {LOG}
-SELECT edge, count(*) AS instances, sum(step) AS steps, sum(k) AS k FROM log WHERE edge IN ('signup', 'purchase') GROUP BY 1""")
+SELECT edge, count(*) AS instances, CAST(sum(step) AS BIGINT) AS steps, CAST(sum(k) AS BIGINT) AS k FROM log WHERE edge IN ('signup', 'purchase') GROUP BY 1""")
 def read_log(spark, sf):
     log = ops.read_log(spark, written_log(spark, sf), edges=["signup", "purchase"])
     return log.groupBy("edge").agg(F.count(F.lit(1)).alias("instances"), F.sum("step").alias("steps"),
@@ -83,9 +83,9 @@ def dedupe(spark, sf):
 
 
 @query("b6_unified", """
-SELECT event_type AS edge, count(*) AS instances, sum(CAST(round(value * 100) AS BIGINT)) AS total FROM events GROUP BY 1
-UNION ALL SELECT 'Placed', count(*), sum(CAST(round(o_totalprice * 100) AS BIGINT)) FROM orders
-UNION ALL SELECT 'Line', count(*), sum(CAST(round(l_quantity * 100) AS BIGINT)) FROM lineitem""")
+SELECT event_type AS edge, count(*) AS instances, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1
+UNION ALL SELECT 'Placed', count(*), CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) FROM orders
+UNION ALL SELECT 'Line', count(*), CAST(sum(CAST(round(l_quantity * 100) AS BIGINT)) AS BIGINT) FROM lineitem""")
 def unified(spark, sf):
     lines = read(spark, sf, "lineitem")
     key = F.xxhash64(*lines.columns)
