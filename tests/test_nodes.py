@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tracefold.contract import FAIL, PASS, Edge, Field, Many
+from tracefold.contract import ContractError, Edge, Field, Many
 from tracefold.operators import fanin, nodes as ops, verify
+from tracefold.operators.conform import conform
 from tracefold.operators.failure import guard
 from tracefold.sources import log as src
 
@@ -115,6 +116,27 @@ def test_compose_and_pipe_agree(spark):
     assert sorted((r.step, r.payload.age) for r in logged.collect()) == [(1, 2), (1, 21), (2, 3), (2, 22), (3, 4), (3, 23)]
 
 
+def test_wires_fit_by_shape(spark):
+    dog = Edge("Dog", fields={"age": PERSON.fields["age"], "name": Field("utf8", "N", "N", nullable=False)})
+    cat = Edge("Cat", fields={"weight": Field("f64", "W", "W", nullable=False)})
+    assert PERSON.accepts(dog) and not dog.accepts(PERSON) and not PERSON.accepts(cat)
+    to_dog = ops.Node("to_dog", PERSON, dog, lambda p: {"age": p["age"], "name": F.lit("Rex")})
+    to_cat = ops.Node("to_cat", PERSON, cat, lambda p: {"weight": F.lit(4.0)})
+    assert ops.pipe(people(spark, 3), to_dog, BIRTHDAY, opaque=True).first().payload.age == 4
+    with pytest.raises(ContractError, match="to_cat"):
+        ops.pipe(people(spark, 3), to_cat, BIRTHDAY)
+
+
+def test_readme_example(spark):
+    person = Edge("Person", "Person", "Someone", {
+        "age": Field("uint8", "Age", "Age in years", nullable=False, min=0, max=150)})
+    grow = ops.Node("birthday", person, person, lambda p: {"age": p["age"] + 1})
+    table = spark.createDataFrame([(1, 41), (2, 151)], "key bigint, age bigint").withColumn("ts", F.current_timestamp())
+    ok, failed = conform(table, person, keep=["key", "ts"])
+    log = src.origin(ok, person, F.col("key"), F.col("key"), F.col("ts"))
+    assert [r.payload.age for r in ops.apply(grow, log).collect()] == [42] and failed.first().input.age == 151
+
+
 def test_output_contract(spark):
     ok, failed = ops.check_output(ops.apply(BIRTHDAY, people(spark, 254, 255)), PERSON)
     assert [r.payload.age for r in ok.collect()] == [255]

@@ -31,11 +31,21 @@ def groups():
 
 
 def test_only_large_groups_are_hot(log, small_limits):
-    found = ordered.hot_groups(log, ["correlation_id"]).collect()
-    assert [r.correlation_id for r in found] == ["hot"]
+    found = ordered.hot_groups(log, ["correlation_id"])
+    assert [r.correlation_id for r in found.table.collect()] == ["hot"] and found.total() == 400
     assert ordered.hot_groups(log, ["correlation_id"], 1000) is None
 
 
+def test_too_many_hot_keys_are_joined_as_a_table(log, monkeypatch):
+    monkeypatch.setattr(ordered, "HOT_ROWS", 5)
+    monkeypatch.setattr(ordered, "SEGMENT_ROWS", 30)
+    monkeypatch.setattr(ordered, "HOT_GROUPS", 3)
+    found = ordered.hot_groups(log, ["correlation_id"])
+    assert not found.few and found.table.count() == 15
+    out = ordered.Ordered(log, ["correlation_id"], ["step"]).numbered("n").df
+    assert out.filter(F.col("n") != F.col("step")).count() == 0 and out.count() == len(ROWS)
+
+
 @pytest.mark.parametrize("inclusive", [True, False])
 def test_running_values(log, small_limits, inclusive):
     seen = ordered.Ordered(log, ["correlation_id"], ["step", "id"])

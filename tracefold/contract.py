@@ -219,6 +219,10 @@ class Edge:
         index = self.index if self.index in kept else None
         return Edge(name, self.label, self.description, {**kept, **extra}, index)
 
+    def accepts(self, other: "Edge") -> bool:
+        """Structural fit: ``other`` has every field of this contract, with the same type."""
+        return all(n in other.fields and _fits(f, other.fields[n]) for n, f in self.fields.items())
+
     def typed(self) -> "Edge":
         """The same contract for data already under its declared names."""
         bare = {n: replace(f, source_key=None) if isinstance(f, Field)
@@ -229,6 +233,15 @@ class Edge:
         return f"Failed<{self.name}>"
 
 
+def _fits(wanted, given) -> bool:
+    if isinstance(wanted, Many) and isinstance(given, Many):
+        return wanted.edge.accepts(given.edge)
+    if isinstance(wanted, Edge) and isinstance(given, Edge):
+        return wanted.accepts(given)
+    return (isinstance(wanted, Field) and isinstance(given, Field) and wanted.type == given.type
+            and (wanted.optional or not given.optional))
+
+
 def _spark_type(f) -> T.DataType:
     if isinstance(f, Many):
         return T.ArrayType(f.edge.struct_type(), containsNull=False)

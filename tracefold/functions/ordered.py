@@ -10,31 +10,56 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.session import materialize
 
-HOT_ROWS = 2_000_000      # a group of this size still fits one task
-HOT_GROUPS = 10_000       # most keys that ever reach the driver
-SEGMENT_ROWS = 1_000_000  # aimed size of a segment
+HOT_ROWS = 1_000_000      # a group of this size still fits one task
+HOT_GROUPS = 10_000       # most keys that are broadcast
+SEGMENT_ROWS = 500_000    # aimed size of a segment
 
 _SEG = "__segment"
 
 
-def hot_groups(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame | None:
-    """The keys of groups larger than ``rows``, or None when there are none.
+@dataclass(frozen=True)
+class HotGroups:
+    """The keys of large groups, and how to tell their rows from the others."""
 
-    One map-side combined count.  At most HOT_GROUPS keys are taken, largest
-    first; a group left out then holds less than 1/HOT_GROUPS of the table.
+    keys: list[str]
+    table: DataFrame  # the keys, with ``rows`` per group
+    few: bool         # whether the table is known to be small
+
+    def _marks(self) -> DataFrame:
+        marks = self.table.select(*self.keys)
+        return F.broadcast(marks) if self.few else marks
+
+    def of(self, df: DataFrame) -> DataFrame:
+        return df.join(self._marks(), self.keys, "left_semi")
+
+    def others(self, df: DataFrame) -> DataFrame:
+        return df.join(self._marks(), self.keys, "left_anti")
+
+    def total(self) -> int:
+        return self.table.agg(F.sum("rows")).first()[0]
+
+
+def hot_groups(df: DataFrame, keys: list[str], rows: int | None = None) -> HotGroups | None:
+    """The groups larger than ``rows``, or None when there are none.
+
+    One map-side combined count.  Up to HOT_GROUPS keys come to the driver and
+    are broadcast; more than that are written out and joined as a table.
     """
     limit = HOT_ROWS if rows is None else rows
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > limit)
-    found = counts.orderBy(F.desc("__rows"), *keys).limit(HOT_GROUPS).collect()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit)
+    found = counts.limit(HOT_GROUPS + 1).collect()
     if not found:
         return None
-    return df.sparkSession.createDataFrame(found, counts.schema)
+    if len(found) > HOT_GROUPS:
+        return HotGroups(keys, materialize(counts, "hot-groups"), few=False)
+    return HotGroups(keys, df.sparkSession.createDataFrame(found, counts.schema), few=True)
 
 
 class Ordered:
@@ -51,14 +76,11 @@ class Ordered:
         hot = hot_groups(df, self.keys)
         if hot is None:
             return df, None
-        total = hot.agg(F.sum("__rows")).first()[0]
-        segments = max(2, math.ceil(total / SEGMENT_ROWS))
-        marks = F.broadcast(hot.drop("__rows"))  # at most HOT_GROUPS rows
-        rows = (df.join(marks, self.keys, "left_semi")
-                  .repartitionByRange(segments, *self.keys, *self.order)
-                  .withColumn(_SEG, F.spark_partition_id()))
+        segments = max(2, math.ceil(hot.total() / SEGMENT_ROWS))
+        rows = (hot.of(df).repartitionByRange(segments, *self.keys, *self.order)
+                .withColumn(_SEG, F.spark_partition_id()))
         # Written out: the range bounds are sampled anew by every execution.
-        return df.join(marks, self.keys, "left_anti"), materialize(rows, "segments")
+        return hot.others(df), materialize(rows, "segments")
 
     @property
     def df(self) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.contract import Edge
+from tracefold.contract import ContractError, Edge
 from tracefold.functions.ordered import Ordered, hot_groups
 from tracefold.operators.conform import is_valid, violations
 from tracefold.sources.log import child_envelope, with_envelope
@@ -44,9 +44,12 @@ def closure(node: Node, **fixed) -> Node:
     return replace(node, closure={**node.closure, **fixed})
 
 
-def apply(node: Node, log: DataFrame) -> DataFrame:
-    """One row out per input row; rows of other edges are not touched."""
-    inputs = log.filter(F.col("edge") == node.input.name)
+def apply(node: Node, log: DataFrame, wired: bool = False) -> DataFrame:
+    """One row out per input row; rows of other edges are not touched.
+
+    ``wired`` takes every row as input: the caller has chosen the wire.
+    """
+    inputs = log if wired else log.filter(F.col("edge") == node.input.name)
     return with_envelope(inputs, node.payload(F.col(PAYLOAD)), node.name, node.output,
                          impl_version=node.version)
 
@@ -56,8 +59,16 @@ def env_apply(log: DataFrame, node: str, output: Edge, body: Callable[[DataFrame
     return with_envelope(log, body(log), node, output)
 
 
+def _check_wires(nodes) -> None:
+    for before, after in zip(nodes, nodes[1:]):
+        if not after.input.accepts(before.output):
+            raise ContractError(f"{before.name} gives {before.output.name}, which {after.name} cannot take")
+
+
 def compose(name: str, *nodes: Node) -> Node:
     """A chain as one node: the first input, the last output, nothing logged between."""
+    _check_wires(nodes)
+
     def body(p: Column) -> Mapping[str, Column]:
         for node in nodes:
             p = node.payload(p)
@@ -66,11 +77,15 @@ def compose(name: str, *nodes: Node) -> Node:
 
 
 def pipe(log: DataFrame, *nodes: Node, opaque: bool = False) -> DataFrame:
-    """Run nodes in sequence.  Every stage is logged, or only the last if ``opaque``."""
-    stages, current = [], log
-    for node in nodes:
-        current = apply(node, current)
-        stages.append(current)
+    """Run nodes in sequence.  Every stage is logged, or only the last if ``opaque``.
+
+    Neighbours must fit by shape; names may differ, since the wire is explicit.
+    """
+    _check_wires(nodes)
+    stages = [apply(nodes[0], log)]
+    for node in nodes[1:]:
+        stages.append(apply(node, stages[-1], wired=True))
+    current = stages[-1]
     if opaque:
         return current
     whole = stages[0]
@@ -172,11 +187,9 @@ def collect_many(parents: DataFrame, key: str, children: DataFrame, child_key: s
     if big is None:
         numbered = rows.withColumn("part", F.lit(0).cast("bigint"))
     else:
-        marks = F.broadcast(big.drop("__rows"))  # at most HOT_GROUPS rows
-        cut = (Ordered(rows.join(marks, child_key, "left_semi"), [child_key], order).numbered("__at").df
+        cut = (Ordered(big.of(rows), [child_key], order).numbered("__at").df
                .withColumn("part", F.floor(F.col("__at") / limit)).drop("__at"))
-        numbered = rows.join(marks, child_key, "left_anti").withColumn(
-            "part", F.lit(0).cast("bigint")).unionByName(cut)
+        numbered = big.others(rows).withColumn("part", F.lit(0).cast("bigint")).unionByName(cut)
     packed = (numbered.groupBy(F.col(child_key).alias("__key"), "part")
               .agg(F.sort_array(F.collect_list(F.struct(*order, F.col("__element")))).alias("__packed")))
     empty = F.array().cast(f"array<{rows.schema['__element'].dataType.simpleString()}>")
