@@ -13,27 +13,31 @@ from tracefold.session import materialize
 CORR = "correlation_id"
 
 
-def replay(log: DataFrame, node: Node) -> DataFrame:
-    """Outputs recomputed from the recorded inputs; nothing is inverted or performed."""
-    return apply(node, log)
+def replay(log: DataFrame, node: Node, inputs: Column | None = None) -> DataFrame:
+    """Outputs recomputed from the recorded inputs; nothing is inverted or performed.
+
+    ``inputs`` tells which rows fed the node.  By default: rows of its input
+    edge that it did not produce itself.
+    """
+    fed = (F.col("edge") == node.input.name) & (F.col("node") != node.name) if inputs is None else inputs
+    return apply(node, log.filter(fed), wired=True)
 
 
-def replay_diff(log: DataFrame, node: Node, key: list[str] | None = None) -> DataFrame:
+def replay_diff(log: DataFrame, node: Node, inputs: Column | None = None,
+                key: tuple[str, ...] = ("causation_id",)) -> DataFrame:
     """Each recorded or recomputed output as same, changed, missing or extra.
 
     ``missing``: recomputed but not in the log; ``extra``: in the log only.
+    Nodes with several outputs per input need the ordinal in ``key``.
     """
-    key = key or ["causation_id"]
-    recorded = log.filter(F.col("node") == node.name).select(*key, F.col(PAYLOAD).alias("recorded"),
-                                                             F.lit(True).alias("__r"))
-    fresh = replay(log, node).select(*key, F.col(PAYLOAD).alias("recomputed"), F.lit(True).alias("__f"))
-    return diff(recorded, fresh, key, "recorded", "recomputed")
-
-
-def diff(recorded: DataFrame, fresh: DataFrame, key: list[str], left: str, right: str) -> DataFrame:
+    shape = log.schema[PAYLOAD].dataType.simpleString()
+    recorded = log.filter(F.col("node") == node.name).select(
+        *key, F.col(PAYLOAD).alias("recorded"), F.lit(True).alias("__r"))
+    fresh = replay(log, node, inputs).select(
+        *key, F.col(PAYLOAD).cast(shape).alias("recomputed"), F.lit(True).alias("__f"))
     status = (F.when(F.col("__r").isNull(), "missing").when(F.col("__f").isNull(), "extra")
-              .when(F.col(left).eqNullSafe(F.col(right)), "same").otherwise("changed"))
-    return recorded.join(fresh, key, "full").select(*key, left, right, status.alias("status"))
+              .when(F.col("recorded").eqNullSafe(F.col("recomputed")), "same").otherwise("changed"))
+    return recorded.join(fresh, list(key), "full").select(*key, "recorded", "recomputed", status.alias("status"))
 
 
 def replay_pinned(log: DataFrame, recorded: DataFrame, impls: Mapping[str, Node],

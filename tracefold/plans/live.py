@@ -21,6 +21,18 @@ def live_log(spark, sf):
     return ops.stream_log(spark, path, spark.read.parquet(path).schema)
 
 
+def _finish(spark, start):
+    """Run a stream to its end, with no more state partitions than twice the task slots."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        query = start()
+    finally:
+        spark.conf.set(key, before)
+    query.awaitTermination()
+
+
 def _folders(spark, *names):
     return [scratch_path(spark, n) for n in names]
 
@@ -31,7 +43,7 @@ def stream_conform(spark, sf):
     schema = read(spark, sf, "customer").schema
     stream = ops.stream_log(spark, sf, schema, pattern="customer.parquet")
     good, bad, state = _folders(spark, "ok", "failed", "checkpoint")
-    ops.stream_conform(stream, SOLVENT, good, bad, state).awaitTermination()
+    _finish(spark, lambda: ops.stream_conform(stream, SOLVENT, good, bad, state))
     return spark.read.parquet(good).select("id", F.lit(True).alias("passed")).unionByName(
         spark.read.parquet(bad).select(F.col("input.c_custkey").alias("id"), F.lit(False).alias("passed")))
 
@@ -40,7 +52,7 @@ def stream_conform(spark, sf):
 def stream_every(spark, sf):
     out, state = _folders(spark, "every", "checkpoint")
     edges = ["signup", "purchase"]
-    ops.stream_every(live_log(spark, sf), edges, out, state).awaitTermination()
+    _finish(spark, lambda: ops.stream_every(live_log(spark, sf), edges, out, state))
     rows = spark.read.schema(ops.every_schema(edges, "bigint")).parquet(out)
     return rows.select("correlation_id", "step", F.col("id_0").cast("bigint").alias("signup_id"),
                        F.col("id_1").cast("bigint").alias("purchase_id"),
@@ -53,7 +65,7 @@ SELECT corr AS correlation_id, CAST(sum({SIGNED_SQL}) AS BIGINT) AS balance, cou
 def stream_fold(spark, sf):
     out, state = _folders(spark, "fold", "checkpoint")
     aggregates = {"balance": F.sum(signed()), "instances": F.count(F.lit(1))}
-    ops.stream_fold(live_log(spark, sf), ["correlation_id"], aggregates, out, state).awaitTermination()
+    _finish(spark, lambda: ops.stream_fold(live_log(spark, sf), ["correlation_id"], aggregates, out, state))
     shape = T.StructType().add("correlation_id", "long").add("balance", "long").add("instances", "long")
     return ops.newest(ops.read_batches(spark, out, shape), ["correlation_id"])
 
@@ -64,7 +76,7 @@ def stream_dedupe(spark, sf):
     source, out, state = _folders(spark, "redelivered", "dedupe", "checkpoint")
     events = read(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
     events.unionByName(events.filter(F.col("id") % 10 == 0)).write.parquet(source)
-    ops.stream_dedupe(ops.stream_log(spark, source, events.schema), out, state, "1 hour").awaitTermination()
+    _finish(spark, lambda: ops.stream_dedupe(ops.stream_log(spark, source, events.schema), out, state, "1 hour"))
     return spark.read.schema(events.schema).parquet(out).select("id")
 
 
@@ -72,7 +84,7 @@ def stream_dedupe(spark, sf):
 def stream_append(spark, sf):
     out, state = _folders(spark, "appended", "checkpoint")
     stream = live_log(spark, sf)
-    ops.stream_append(stream, out, state).awaitTermination()
+    _finish(spark, lambda: ops.stream_append(stream, out, state))
     return spark.read.schema(stream.schema).parquet(out).groupBy("edge").agg(
         F.count(F.lit(1)).alias("instances"), F.sum("payload.k").alias("k"))
 
@@ -82,7 +94,7 @@ SELECT user_id, max(event_id) AS id, max_by(event_type, event_id) AS edge FROM e
 def stream_view(spark, sf):
     out, state = _folders(spark, "view", "checkpoint")
     stream = live_log(spark, sf).select("user_id", "id", "edge")
-    ops.stream_view(stream, ["user_id"], ["id"], out, state).awaitTermination()
+    _finish(spark, lambda: ops.stream_view(stream, ["user_id"], ["id"], out, state))
     shape = T.StructType().add("user_id", "long").add("row", T.StructType().add("id", "long").add("edge", "string"))
     return ops.newest(ops.read_batches(spark, out, shape), ["user_id"]).select("user_id", "row.id", "row.edge")
 
@@ -95,7 +107,7 @@ SELECT corr AS correlation_id, CASE WHEN greatest(a, b) <= start + INTERVAL 6 HO
 FROM f, mark WHERE (a IS NOT NULL AND b IS NOT NULL) OR start + INTERVAL 6 HOUR < m""")
 def timeout_race(spark, sf):
     out, state = _folders(spark, "race", "checkpoint")
-    ops.timeout_race(live_log(spark, sf), ["signup", "purchase"], 6 * 3600 * 1000, out, state, "1 hour").awaitTermination()
+    _finish(spark, lambda: ops.timeout_race(live_log(spark, sf), ["signup", "purchase"], 6 * 3600 * 1000, out, state, "1 hour"))
     return spark.read.schema("correlation_id bigint, outcome string").parquet(out)
 
 
@@ -106,7 +118,7 @@ WHERE r.edge = 'view'""")
 def stream_effects(spark, sf):
     out, state = _folders(spark, "effects", "checkpoint")
     log = live_log(spark, sf)
-    ops.stream_effects(log.filter(F.col("edge") == "view"), log.filter(F.col("edge") == "purchase"), "12 HOURS", "1 hour",
-                       out, state, how="inner").awaitTermination()
+    _finish(spark, lambda: ops.stream_effects(log.filter(F.col("edge") == "view"), log.filter(F.col("edge") == "purchase"), "12 HOURS", "1 hour",
+                       out, state, how="inner"))
     return spark.read.schema("request_id bigint, request_ts timestamp, result_id bigint, result_ts timestamp").parquet(
         out).select("request_id", "result_id")

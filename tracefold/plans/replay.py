@@ -23,8 +23,7 @@ def recorded(spark, sf):
 WITH {SIZED_SQL} SELECT sha256(id || '|birthday|Sized|0') AS id, id AS causation_id, size + 1 AS size FROM sized""")
 def replay(spark, sf):
     inputs, outputs = recorded(spark, sf)
-    return ops.replay(inputs.unionByName(outputs).filter(F.col("step") == 0), BIRTHDAY).select(
-        "id", "causation_id", "payload.size")
+    return ops.replay(inputs.unionByName(outputs), BIRTHDAY).select("id", "causation_id", "payload.size")
 
 
 @query("g2_replay_diff", f"""
@@ -38,12 +37,7 @@ def replay_diff(spark, sf):
     inputs, outputs = recorded(spark, sf)
     log = inputs.filter(F.col("correlation_id") % 13 != 0).unionByName(
         outputs.filter(F.col("correlation_id") % 11 != 0))
-    inputs_only = log.filter((F.col("node") == "origin_sized") | (F.col("node") == "birthday"))
-    fresh = apply(LEAP, inputs_only.filter(F.col("node") == "origin_sized"))
-    left = log.filter(F.col("node") == LEAP.name).select("causation_id", F.col("payload").alias("recorded"), F.lit(True).alias("__r"))
-    right = fresh.select("causation_id", F.col("payload").alias("recomputed"), F.lit(True).alias("__f"))
-    right = right.withColumn("recomputed", F.col("recomputed").cast(SIZED.struct_type().simpleString()))
-    rows = ops.diff(left, right, ["causation_id"], "recorded", "recomputed")
+    rows = ops.replay_diff(log, LEAP)
     return rows.select("causation_id", "status", F.col("recorded.size").cast("int").alias("recorded"),
                        F.col("recomputed.size").cast("int").alias("recomputed"))
 
