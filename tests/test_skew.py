@@ -36,6 +36,14 @@ def test_only_large_groups_are_hot(log, small_limits):
     assert ordered.hot_groups(log, ["correlation_id"], 1000) is None
 
 
+def test_hot_groups_show_in_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "PROBE", 200)
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 5000).alias("k"))
+    found = ordered.hot_groups(rows, ["k"], 10_000)
+    (hot,) = found.table.collect()
+    assert hot.k == -1 and 15_000 < hot.rows < 25_000
+
+
 def test_too_many_hot_keys_are_joined_as_a_table(log, monkeypatch):
     monkeypatch.setattr(ordered, "HOT_ROWS", 5)
     monkeypatch.setattr(ordered, "SEGMENT_ROWS", 30)

@@ -20,6 +20,7 @@ from tracefold.session import materialize
 HOT_ROWS = 1_000_000      # a group of this size still fits one task
 HOT_GROUPS = 10_000       # most keys that are broadcast
 SEGMENT_ROWS = 500_000    # aimed size of a segment
+PROBE = 2_000             # rows by which a group of the limit's size shows in the sample
 
 _SEG = "__segment"
 
@@ -29,7 +30,7 @@ class HotGroups:
     """The keys of large groups, and how to tell their rows from the others."""
 
     keys: list[str]
-    table: DataFrame  # the keys, with ``rows`` per group
+    table: DataFrame  # the keys, with the (estimated) ``rows`` per group
     few: bool         # whether the table is known to be small
 
     def _marks(self) -> DataFrame:
@@ -49,11 +50,18 @@ class HotGroups:
 def hot_groups(df: DataFrame, keys: list[str], rows: int | None = None) -> HotGroups | None:
     """The groups larger than ``rows``, or None when there are none.
 
-    One map-side combined count.  Up to HOT_GROUPS keys come to the driver and
-    are broadcast; more than that are written out and joined as a table.
+    Above PROBE rows a group shows in a sample of its keys, so only few rows
+    are shuffled for the count; half the limit is asked of the estimate.  A
+    wrong guess changes the plan, never the result.  Up to HOT_GROUPS keys come
+    to the driver and are broadcast; more are written out and joined as a table.
     """
     limit = HOT_ROWS if rows is None else rows
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit)
+    part = min(1.0, PROBE / limit)
+    probe = df.select(*keys)
+    if part < 1.0:
+        probe, limit = probe.filter(F.rand(seed=limit) < part), limit // 2
+    size = F.round(F.count(F.lit(1)) / F.lit(part)).cast("bigint")
+    counts = probe.groupBy(*keys).agg(size.alias("rows")).filter(F.col("rows") > limit)
     found = counts.limit(HOT_GROUPS + 1).collect()
     if not found:
         return None

@@ -26,12 +26,14 @@ def tune(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The folder the cluster shares for intermediate tables.
 
-    ``spark.checkpoint.dir`` names it.  Only where that is unset (a local test
-    session) is a temporary folder made, once per session.
+    ``spark.checkpoint.dir`` names it.  A local session that leaves it unset
+    gets a temporary folder; a cluster must name one that all machines share.
     """
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("tracefold.scratch.dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("tracefold.scratch.dir", root)
     return root.rstrip("/")
