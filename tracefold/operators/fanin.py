@@ -207,24 +207,24 @@ def pulse(instances: DataFrame, deps: DataFrame) -> DataFrame:
              .select("id", F.coalesce("anchor", "parent").alias("anchor"),
                      (F.coalesce("dist", F.lit(0)) + 1).alias("w"))
              .groupBy("id", "anchor").agg(F.max("w").alias("w")))
-    known = roots
-    if not joints.isEmpty():
-        edges, known = materialize(edges, "pulse-edges"), materialize(roots, "pulse-known")
-        pieces, open_ids = [known], joints
-        while True:
-            solved = (edges.join(open_ids, "id", "left_semi")
-                      .join(known.select(F.col("id").alias("anchor"), "pulse"), "anchor", "left")
-                      .groupBy("id").agg(F.max(F.col("w") + F.col("pulse")).alias("pulse"),
-                                         F.max(F.col("pulse").isNull()).alias("waiting"))
-                      .filter(~F.col("waiting")).select("id", "pulse"))
-            solved = materialize(solved, "pulse-round")
-            if solved.isEmpty():
-                raise ValueError("dependencies contain a cycle or an unknown parent")
-            pieces.append(solved)
-            known = known.unionByName(solved)
-            open_ids = materialize(open_ids.join(solved, "id", "left_anti"), "pulse-open")
-            if open_ids.isEmpty():
-                break
+    def solved_by(table: DataFrame, known: DataFrame) -> DataFrame:
+        return table.join(known.select(F.col("id").alias("anchor"), F.col("pulse").alias("__new")), "anchor", "left").select(
+            "id", "anchor", "w", F.coalesce("p", "__new").alias("p"))
+
+    pieces = [roots]
+    waiting = materialize(solved_by(edges.withColumn("p", F.lit(None).cast("int")), roots), "pulse-edges")
+    while not waiting.isEmpty():
+        # An instance is solved once all its anchors are; each round meets only the last one's results.
+        solved = materialize(
+            waiting.groupBy("id").agg(F.max(F.col("w") + F.col("p")).alias("pulse"), F.max(F.col("p").isNull()).alias("open"))
+                   .filter(~F.col("open")).select("id", "pulse"), "pulse-round")
+        if solved.isEmpty():
+            raise ValueError("dependencies contain a cycle or an unknown parent")
+        pieces.append(solved)
+        waiting = materialize(solved_by(waiting.join(solved, "id", "left_anti"), solved), "pulse-edges")
+    known = pieces[0]
+    for piece in pieces[1:]:
+        known = known.unionByName(piece)
     along = (chain.join(known.select(F.col("id").alias("anchor"), "pulse"), "anchor")
              .select("id", (F.col("pulse") + F.col("dist")).alias("pulse")))
     return known.unionByName(along)
