@@ -17,6 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tracefold.llm.common import extended
+
 MEMO = 300_000
 LONG = 1 << 20
 WHITE = regex.compile(r"\p{White_Space}+")
@@ -155,9 +157,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, digest:
     extra = ["n_tokens long"] + (["ids_sha256 string", "decoded_sha256 string"] if digest else ["token_ids array<int>", "decoded_text string"])
     new = [x.split()[0] for x in extra]
     held = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    schema = docs.select(held).schema
-    for x in extra:
-        schema = schema.add(*x.split())
+    schema = extended(docs, held, ", ".join(extra))
     source = docs.select(*held, docs[text].alias("__text"))
 
     def run(batches):
@@ -179,7 +179,7 @@ def decode(df: DataFrame, ids: str = "token_ids", path: str | None = None) -> Da
     """Add decoded_text: the tokens of the ids, joined by one space; null ids decode to nothing."""
     path = path or default_path()
     held = [c for c in df.columns if c != "decoded_text"]
-    schema = df.select(held).schema.add("decoded_text", "string")
+    schema = extended(df, held, "decoded_text string")
 
     def run(batches):
         names = codec(path).names

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -42,3 +43,8 @@ def bounded(df: DataFrame, key: Column, cap: int) -> DataFrame:
 def fixed(values, kind: str) -> Column:
     """A constant array, passed as one literal."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def extended(df: DataFrame, held: list[str], ddl: str) -> StructType:
+    """The schema of the columns ``held`` with the fields of ``ddl`` behind them."""
+    return StructType([*df.select(held).schema.fields, *StructType.fromDDL(ddl).fields])

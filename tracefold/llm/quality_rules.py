@@ -16,7 +16,7 @@ from tracefold.llm.common import SPACE, words
 from tracefold.session import materialize
 
 #: Transformed statistics: name, steps a unit, least spread in units (rare values of a constant statistic stay near).
-VECTOR = [("length", 64, 0.5), ("symbols", 1024, 0.06), ("lines", 1024, 0.12), ("repeats", 1024, 0.12)]
+VECTOR = [("length", 64, 0.6), ("symbols", 1024, 0.05), ("lines", 1024, 0.12), ("repeats", 1024, 0.12)]
 STEPS = 2
 COVERED = 0.75
 #: Of chi-squared with four degrees: what makes the covered part's covariance consistent; the 97.5 % point; the

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import bpe, decontaminate, quality_rules, warc
-from tracefold.llm.common import table
+from tracefold.llm import bpe, decontaminate, language, pii, quality_classifier, quality_rules, toxicity, urls, warc
+from tracefold.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,40 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     v = quality_rules.verdicts(table(spark, sf_dir, "documents"))
     return v.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@query("op2_pii")
+def op2(spark, sf_dir):
+    found = pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("row.doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        pii.listed(F.col("spans")).alias("spans"))
+
+
+@query("op7_url_filter")
+def op7(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+@query("op10_quality_classifier")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(docs, model, ["doc_id"])
+    held = F.coalesce(remainder(F.col("row.doc_id"), 4) == 2, F.lit(False))
+    return scored.select("row.doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op1_toxicity")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    held = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+@query("op4_language")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs), ["doc_id"])
+    return found.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
