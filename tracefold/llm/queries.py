@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import bpe, decontaminate, language, pii, quality_classifier, quality_rules, toxicity, urls, warc
+from tracefold.llm import bpe, decontaminate, jaccard, language, pii, quality_classifier, quality_rules, toxicity, urls, warc
 from tracefold.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs, language.fit(docs), ["doc_id"])
     return found.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_ngram_jaccard")
+def op5(spark, sf_dir):
+    return jaccard.groups(table(spark, sf_dir, "documents"))
