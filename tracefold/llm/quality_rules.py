@@ -148,6 +148,10 @@ def verdicts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns."""
-    params = fit(materialize(_measured(docs, ()), "stats"))
-    return judge(_measured(docs, tuple(docs.columns)), params).filter("kept").select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    """The documents that are kept, with all their columns.
+
+    Documents and statistics are written once: a filter straight above them would be pushed into the scan and work out every
+    statistic anew for each of its uses.
+    """
+    stats = materialize(_measured(docs, tuple(docs.columns)), "stats")
+    return judge(stats, fit(stats)).filter("kept").select(*[F.col(f"row.`{c}`") for c in docs.columns])
