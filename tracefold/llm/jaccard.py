@@ -45,8 +45,9 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(w), seed=len(w))], np.uint64)
     if len(_memo) > MEMO:
         _memo.clear()
-    for x in set(w) - _memo.keys():
-        _memo[x] = xxhash.xxh3_64_intdigest(x)
+    for x in set(w):
+        if x not in _memo:
+            _memo[x] = xxhash.xxh3_64_intdigest(x)
     h = np.fromiter(map(_memo.__getitem__, w), np.uint64, len(w))
     n = len(w) - words + 1
     out = np.zeros(n, np.uint64)

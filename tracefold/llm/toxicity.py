@@ -33,7 +33,7 @@ def _tokens(text: str | None, vocabulary) -> dict[str, int]:
         while end < len(text) and not text[end].isspace():
             end += 1
         part = WORD.findall(text, at, end)
-        for w in vocabulary.keys() & set(part):
+        for w in (x for x in set(part) if x in vocabulary):
             found[w] = found.get(w, 0) + part.count(w)
         at = end
     return found
