@@ -23,7 +23,8 @@ from tracefold.llm.components import components
 from tracefold.session import materialize
 
 WORDS, PERCENT = 4, 85
-BITS = 1024
+#: Bits of a bitmap: the power of two from the number of shingles on, within these bounds.
+LEAST_BITS, MOST_BITS = 1024, 1 << 17
 #: Rows of a tile that one task holds; larger tiles are dealt into blocks, each pair of blocks a task of its own.
 TILE = 4096
 #: The order of shingles: frequent are those seen this often in one document of SAMPLE; the most frequent of them are known.  It
@@ -59,8 +60,15 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 def bitmap(found: np.ndarray) -> bytes:
     """Parity of the shingles that fall on each bit: two bitmaps differ in no more bits than the sets in shingles."""
-    place = ((found * _MIX[1]) >> np.uint64(54)).astype(np.int64)
-    return np.packbits((np.bincount(place, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(found) - 1).bit_length())) if len(found) else LEAST_BITS
+    place = ((found * _MIX[1]) >> np.uint64(40)).astype(np.int64) & (bits - 1)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def fold(sig: np.ndarray) -> np.ndarray:
+    """The bitmap of half as many bits."""
+    half = len(sig) // 2
+    return sig[:half] ^ sig[half:]
 
 
 def _key():
@@ -230,7 +238,7 @@ def _tiles(batches, percent: int, every: bool):
 def _whole(t: pa.Table, bounds: np.ndarray, percent: int, every: bool):
     cid, n, short, label = (t.column(c).to_numpy() for c in ("cid", "n", "short", "label"))
     n = n.astype(np.int64)
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(len(cid), -1)
+    sig = [np.frombuffer(x, np.uint64) for x in t.column("sig").to_pylist()]
     out: list[tuple[np.ndarray, np.ndarray]] = []
     sizes = np.diff(bounds)
     two = bounds[:-1][sizes == 2]
@@ -238,26 +246,39 @@ def _whole(t: pa.Table, bounds: np.ndarray, percent: int, every: bool):
         i, j = two, two + 1
         swap = (n[i] > n[j]) | ((n[i] == n[j]) & (cid[i] > cid[j]))
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        ok = (label[i] != label[j]) & _passes(sig[i], sig[j], n[i], n[j], short[i], percent)
+        may = (label[i] != label[j]) & short[i] & (100 * n[i] >= percent * n[j])
+        i, j = i[may], j[may]
+        apart = np.array([_apart(sig[x], sig[y]) for x, y in zip(i, j)], np.int64)
+        ok = _may_link(apart, n[i], n[j], percent)
         out.append((cid[i[ok]], cid[j[ok]]))
     for lo, size in zip(bounds[:-1][sizes > 2], sizes[sizes > 2]):
         rows = np.arange(lo, lo + size)
         rows = rows[np.lexsort((cid[rows], n[rows]))]
-        out += _tile(cid[rows], n[rows], short[rows], label[rows].copy(), sig[rows], percent, every)
+        out += _tile(cid[rows], n[rows], short[rows], label[rows].copy(), [sig[r] for r in rows], percent, every)
     a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
     yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
 
 
-def _passes(x, y, nx, ny, short, percent):
-    """Whether sets of these sizes (nx <= ny) may link, by their bitmaps."""
-    most = (nx + ny - np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)) // 2
-    return short & (100 * nx >= percent * ny) & ((100 + percent) * most >= percent * (nx + ny))
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two bitmaps differ, folded to the shorter one's length."""
+    while len(y) > len(x):
+        y = fold(y)
+    while len(x) > len(y):
+        x = fold(x)
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
+def _may_link(apart, nx, ny, percent):
+    """Whether sets of these sizes may link, by the bits in which their bitmaps differ."""
+    most = (nx + ny - apart) // 2
+    return (100 + percent) * most >= percent * (nx + ny)
 
 
 def _tile(cid, n, short, label, sig, percent, every):
     out = []
     upto = np.searchsorted(n, 100 * n // percent, side="right")  # sizes in the band of each
+    even = np.stack(sig) if len({len(x) for x in sig}) == 1 else None
     for i in range(len(cid)):
         j = slice(i + 1, int(upto[i]))
         if j.start >= j.stop or not short[i]:
@@ -266,7 +287,11 @@ def _tile(cid, n, short, label, sig, percent, every):
         if not differ.any():
             continue
         at = i + 1 + np.flatnonzero(differ)
-        at = at[_passes(sig[i], sig[at], n[i], n[at], short[i], percent)]
+        if even is not None:
+            apart = np.bitwise_count(even[i] ^ even[at]).sum(-1, dtype=np.int64)
+        else:
+            apart = np.array([_apart(sig[i], sig[x]) for x in at], np.int64)
+        at = at[_may_link(apart, n[i], n[at], percent)]
         if not len(at):
             continue
         if not every:  # one of each part that is new to i's part
