@@ -48,6 +48,7 @@ class Index:
     dense: dict[tuple[int, int], np.ndarray]
     highest: np.ndarray
     prior: float
+    block: int = BLOCK
     slope: float = 1.0
     shift: float = 0.0
     alone: float = 0.0
@@ -69,11 +70,11 @@ class Index:
             if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0]:
                 break
             scores = sum(w * self.dense[t, b] for t, w in zip(at, v) if (t, b) in self.dense)
-            if 0 <= skip - b * BLOCK < BLOCK:
+            if 0 <= skip - b * self.block < self.block:
                 scores = scores.copy()
-                scores[skip - b * BLOCK] = 0
+                scores[skip - b * self.block] = 0
             hits = np.flatnonzero(scores > 0)
-            best = sorted([*best, *((float(scores[i]), int(b * BLOCK + i)) for i in hits)], key=lambda x: (-x[0], x[1]))[:k]
+            best = sorted([*best, *((float(scores[i]), int(b * self.block + i)) for i in hits)], key=lambda x: (-x[0], x[1]))[:k]
         return best
 
     def vote(self, found: list[tuple[float, int]]) -> float:
@@ -107,7 +108,7 @@ def build(examples: list[tuple], terms: int = TERMS, chi: float = CHI, block: in
     idf = np.log((1 + n) / np.array([1 + seen[w][0] for w in kept])) + 1 if kept else np.zeros(0)
     prior = toxic / n if n else 0.0
     blocks = max(1, -(-n // block))
-    index = Index(number, idf, [i for i, _, _ in examples], np.array([y for _, _, y in examples], float), {}, np.zeros((len(kept), blocks)), prior, alone=prior)
+    index = Index(number, idf, [i for i, _, _ in examples], np.array([y for _, _, y in examples], float), {}, np.zeros((len(kept), blocks)), prior, block, alone=prior)
     counts = [_tokens(t, number) for _, t, _ in examples]
     for e, c in enumerate(counts):
         if c:
