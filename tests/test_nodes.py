@@ -161,13 +161,14 @@ def test_python_node_isolates_bad_rows(spark):
     assert rows == {a: ((a // 2, None) if a % 2 == 0 else (None, "ValueError: odd")) for a in range(7)}
 
 
-def test_collect_splits_a_big_parent(spark):
-    children = spark.range(50).select(F.when(F.col("id") < 40, "big").otherwise("small").alias("p"), F.col("id").alias("o"))
-    parents = spark.createDataFrame([("big",), ("small",), ("none",)], "p string")
-    rows = ops.collect_many(parents, "p", children.withColumnRenamed("p", "cp"), "cp", ["o"], F.col("o"), "items", max_elements=15).collect()
-    got = {(r.p, r.part): list(r["items"]) for r in rows}
-    assert got == {("big", 0): list(range(15)), ("big", 1): list(range(15, 30)), ("big", 2): list(range(30, 40)),
-                   ("small", 0): list(range(40, 50)), ("none", 0): []}
+def test_collect_gives_one_row_a_parent(spark):
+    children = spark.range(90).select(F.when(F.col("id") < 40, "big").when(F.col("id") < 50, "small").when(F.col("id") < 60, "stranger").alias("cp"),
+                                      F.col("id").alias("o"))  # the last 30 have no key
+    parents = spark.createDataFrame([("big",), ("small",), ("none",), (None,)], "p string")
+    rows = ops.collect_many(parents, "p", children, "cp", ["o"], F.col("o"), "items").collect()
+    assert {r.p: list(r["items"]) for r in rows} == {"big": list(range(40)), "small": list(range(40, 50)), "none": [], None: []}
+    sums = ops.reduce_many(parents, "p", children, "cp", n=F.count(F.lit(1)), last=F.max("o")).collect()
+    assert {r.p: (r.n, r["last"]) for r in sums} == {"big": (40, 39), "small": (10, 49), "none": (None, None), None: (None, None)}
 
 
 def test_append_to_many(spark):
@@ -238,3 +239,9 @@ def test_pulse_refuses_cycles(spark):
     deps = spark.createDataFrame([("A", "B"), ("B", "A"), ("A", "C"), ("B", "C")], "id string, parent string")
     with pytest.raises(ValueError):
         fanin.pulse(spark.createDataFrame([("A",), ("B",), ("C",)], "id string"), deps)
+
+
+def test_pulse_of_unknown_parents_is_null(spark):
+    ids = spark.createDataFrame([(x,) for x in "ABCDE"], "id string")
+    deps = spark.createDataFrame([("A", "X"), ("B", "A"), ("C", "B"), ("C", "D"), ("E", "D"), ("D", None)], "id string, parent string")
+    assert {r.id: r.pulse for r in fanin.pulse(ids, deps).collect()} == {"A": None, "B": None, "C": None, "D": 1, "E": 2}

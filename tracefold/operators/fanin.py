@@ -182,8 +182,11 @@ def pulse(instances: DataFrame, deps: DataFrame) -> DataFrame:
 
     ``instances(id)``, ``deps(id, parent)``.  Runs of single-input instances
     are shortened by doubling (log2 of their length in joins), so the rounds
-    that follow number only the levels of true multi-input instances.
+    that follow number only the levels of true multi-input instances.  A null
+    parent is no dependency; an instance that rests, however far, on a parent
+    that is no instance has a null pulse.
     """
+    deps = deps.filter(F.col("parent").isNotNull())
     counted = deps.groupBy("id").agg(F.count(F.lit(1)).alias("inputs"), F.first("parent").alias("only"))
     chain = materialize(counted.filter(F.col("inputs") == 1).select(
         "id", F.col("only").alias("anchor"), F.lit(1).alias("dist")), "pulse-chain")
@@ -201,6 +204,8 @@ def pulse(instances: DataFrame, deps: DataFrame) -> DataFrame:
             (F.col("dist") + F.coalesce("__d", F.lit(0))).alias("dist")), "pulse-chain")
 
     roots = instances.join(counted.select("id"), "id", "left_anti").select("id", F.lit(1).alias("pulse"))
+    unknown = (deps.select(F.col("parent").alias("id")).distinct().join(instances.select("id"), "id", "left_anti")
+               .select("id", F.lit(None).cast("int").alias("pulse")))
     joints = counted.filter(F.col("inputs") > 1).select("id")
     hop = chain.select(F.col("id").alias("parent"), "anchor", "dist")
     edges = (deps.join(joints, "id", "left_semi").join(hop, "parent", "left")
@@ -208,26 +213,29 @@ def pulse(instances: DataFrame, deps: DataFrame) -> DataFrame:
                      (F.coalesce("dist", F.lit(0)) + 1).alias("w"))
              .groupBy("id", "anchor").agg(F.max("w").alias("w")))
     def solved_by(table: DataFrame, known: DataFrame) -> DataFrame:
-        return table.join(known.select(F.col("id").alias("anchor"), F.col("pulse").alias("__new")), "anchor", "left").select(
-            "id", "anchor", "w", F.coalesce("p", "__new").alias("p"))
+        found = known.select(F.col("id").alias("anchor"), F.col("pulse").alias("__new"), F.lit(True).alias("__hit"))
+        return table.join(found, "anchor", "left").select(
+            "id", "anchor", "w", F.coalesce("p", "__new").alias("p"), (F.col("met") | F.col("__hit").isNotNull()).alias("met"))
 
-    pieces = [roots]
-    waiting = materialize(solved_by(edges.withColumn("p", F.lit(None).cast("int")), roots), "pulse-edges")
+    pieces = [roots, unknown]
+    start = edges.withColumns({"p": F.lit(None).cast("int"), "met": F.lit(False)})
+    waiting = materialize(solved_by(start, roots.unionByName(unknown)), "pulse-edges")
     while not waiting.isEmpty():
         # An instance is solved once all its anchors are; each round meets only the last one's results.
+        height = F.when(~F.max(F.col("p").isNull()), F.max(F.col("w") + F.col("p")))
         solved = materialize(
-            waiting.groupBy("id").agg(F.max(F.col("w") + F.col("p")).alias("pulse"), F.max(F.col("p").isNull()).alias("open"))
-                   .filter(~F.col("open")).select("id", "pulse"), "pulse-round")
+            waiting.groupBy("id").agg(height.alias("pulse"), F.min("met").alias("all_met"))
+                   .filter("all_met").select("id", "pulse"), "pulse-round")
         if solved.isEmpty():
-            raise ValueError("dependencies contain a cycle or an unknown parent")
+            raise ValueError("dependencies contain a cycle")
         pieces.append(solved)
         waiting = materialize(solved_by(waiting.join(solved, "id", "left_anti"), solved), "pulse-edges")
     known = pieces[0]
     for piece in pieces[1:]:
         known = known.unionByName(piece)
-    along = (chain.join(known.select(F.col("id").alias("anchor"), "pulse"), "anchor")
+    along = (chain.join(known.select(F.col("id").alias("anchor"), "pulse"), "anchor", "left")
              .select("id", (F.col("pulse") + F.col("dist")).alias("pulse")))
-    return known.unionByName(along)
+    return known.join(unknown.select("id"), "id", "left_anti").unionByName(along)
 
 
 def transitive_gaps(log: DataFrame, earlier: str, later: str) -> DataFrame:

@@ -14,12 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.contract import ContractError, Edge
-from tracefold.functions.ordered import Ordered, hot_groups
 from tracefold.operators.conform import is_valid, violations
 from tracefold.sources.log import child_envelope, with_envelope
 
 PAYLOAD = "payload"
-MAX_ELEMENTS = 100_000  # longest array built for one parent row
 
 
 @dataclass(frozen=True)
@@ -174,39 +172,40 @@ def many(log: DataFrame, items: Callable[[Column], Column], node: str, output: E
 
 
 def collect_many(parents: DataFrame, key: str, children: DataFrame, child_key: str,
-                 order: list[str], element: Column, field: str,
-                 max_elements: int | None = None) -> DataFrame:
-    """Parents with their children as an ordered array (empty when there are none).
+                 order: list[str], element: Column, field: str) -> DataFrame:
+    """Parents with their children as an ordered array (empty when there are none): one row per parent.
 
-    A parent with more than ``max_elements`` children gets several rows,
-    numbered by ``part``, so no array grows without bound and no child is lost.
+    Children without a key or without a parent go before anything is grouped.
+    An array is one value, so a parent whose children do not fit a row fails
+    the job; ``reduce_many`` serves where the children are only added up.
     """
-    limit = MAX_ELEMENTS if max_elements is None else max_elements
-    rows = children.withColumn("__element", element)
-    big = hot_groups(rows, [child_key], limit)
-    if big is None:
-        numbered = rows.withColumn("part", F.lit(0).cast("bigint"))
-    else:
-        cut = (Ordered(big.of(rows), [child_key], order).numbered("__at").df
-               .withColumn("part", F.floor(F.col("__at") / limit)).drop("__at"))
-        numbered = big.others(rows).withColumn("part", F.lit(0).cast("bigint")).unionByName(cut)
-    packed = (numbered.groupBy(F.col(child_key).alias("__key"), "part")
-              .agg(F.sort_array(F.collect_list(F.struct(*order, F.col("__element")))).alias("__packed")))
-    empty = F.array().cast(f"array<{rows.schema['__element'].dataType.simpleString()}>")
-    return (parents.join(packed, parents[key] == F.col("__key"), "left")
-            .withColumns({
-                field: F.coalesce(F.transform("__packed", lambda x: x["__element"]), empty),
-                "part": F.coalesce("part", F.lit(0)),
-            }).drop("__key", "__packed"))
+    known = parents.select(F.col(key).alias("__parent"))
+    rows = (children.filter(F.col(child_key).isNotNull())
+            .select(F.col(child_key).alias("__key"), F.struct(*order, element.alias("__element")).alias("__item"))
+            .join(known, F.col("__key") == F.col("__parent"), "left_semi"))
+    packed = rows.groupBy("__key").agg(F.sort_array(F.collect_list("__item")).alias("__packed"))
+    empty = F.array().cast(f"array<{rows.schema['__item'].dataType['__element'].dataType.simpleString()}>")
+    return (parents.withColumn("__parent", F.col(key)).join(packed, F.col("__parent") == F.col("__key"), "left")
+            .withColumn(field, F.coalesce(F.transform("__packed", lambda x: x["__element"]), empty))
+            .drop("__parent", "__key", "__packed"))
+
+
+def reduce_many(parents: DataFrame, key: str, children: DataFrame, child_key: str, **totals: Column) -> DataFrame:
+    """Parents with aggregates over their children (null when there are none); no array is built.
+
+    Merged before the shuffle, so a parent with very many children costs no more than another.
+    """
+    reduced = (children.filter(F.col(child_key).isNotNull()).groupBy(F.col(child_key).alias("__key"))
+               .agg(*[c.alias(n) for n, c in totals.items()]))
+    return (parents.withColumn("__parent", F.col(key)).join(reduced, F.col("__parent") == F.col("__key"), "left")
+            .drop("__parent", "__key"))
 
 
 def append_to_many(parents: DataFrame, key: str, field: str, children: DataFrame, child_key: str,
                    order: list[str], element: Column) -> DataFrame:
     """Each parent's array with the new children added at its end."""
     grown = collect_many(parents, key, children, child_key, order, element, "__new")
-    # Only the first part of a split parent carries the elements already there.
-    before = F.when(F.col("part") == 0, F.col(field)).otherwise(F.slice(field, 1, 0))
-    return grown.withColumn(field, F.concat(before, F.col("__new"))).drop("__new")
+    return grown.withColumn(field, F.concat(field, "__new")).drop("__new")
 
 
 # -- shaping payloads -------------------------------------------------------

@@ -73,11 +73,11 @@ def many(spark, sf):
     return rows.select("correlation_id", "ordinal", "payload.size", "id")
 
 
-def order_with_lines(spark, sf, order=LINE_ORDER):
+def order_with_lines(spark, sf):
     element = F.struct(F.col("l_linenumber").alias("number"), F.col("l_quantity").alias("quantity"),
                        F.col("l_returnflag").alias("flag"))
     return ops.collect_many(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", read(spark, sf, "lineitem"),
-                            "l_orderkey", order, element, "lines")
+                            "l_orderkey", LINE_ORDER, element, "lines")
 
 
 @query("c5_collect_many", f"""
@@ -87,7 +87,7 @@ FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def collect_many(spark, sf):
     quantities = F.transform("lines", lambda x: x["quantity"].cast("int").cast("string"))
     return order_with_lines(spark, sf).select(
-        F.col("o_orderkey").alias("order_key"), "part", F.size("lines").alias("n_lines"),
+        F.col("o_orderkey").alias("order_key"), F.lit(0).alias("part"), F.size("lines").alias("n_lines"),
         F.array_join(quantities, ",").alias("quantities"))
 
 
@@ -103,7 +103,7 @@ def append_to_many(spark, sf):
     late = F.col("l_returnflag") == "R"
     element = F.col("l_quantity").cast("int").cast("string")
     base = ops.collect_many(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", lines.filter(~late),
-                            "l_orderkey", LINE_ORDER, element, "lines").drop("part")
+                            "l_orderkey", LINE_ORDER, element, "lines")
     grown = ops.append_to_many(base, "o_orderkey", "lines", lines.filter(late), "l_orderkey", LINE_ORDER, element)
     return grown.select(F.col("o_orderkey").alias("order_key"), F.array_join("lines", ",").alias("quantities"))
 
@@ -124,10 +124,11 @@ SELECT o_orderkey AS order_key, count(l_orderkey) AS n_lines, CAST(coalesce(sum(
        coalesce(bool_or(l_returnflag = 'R'), false) AS any_returned
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def array_aggregate(spark, sf):
-    total = F.aggregate("lines", F.lit(0).cast("bigint"), lambda acc, x: acc + x["quantity"].cast("bigint"))
-    return order_with_lines(spark, sf, ["l_linenumber"]).select(  # the aggregates do not depend on the order
-        F.col("o_orderkey").alias("order_key"), F.size("lines").alias("n_lines"), total.alias("quantity"),
-        F.exists("lines", lambda x: x["flag"] == "R").alias("any_returned"))
+    found = ops.reduce_many(read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", read(spark, sf, "lineitem"), "l_orderkey",
+                            n=F.count(F.lit(1)), total=F.sum(F.col("l_quantity").cast("bigint")), hit=F.bool_or(F.col("l_returnflag") == "R"))
+    return found.select(
+        F.col("o_orderkey").alias("order_key"), F.coalesce("n", F.lit(0)).alias("n_lines"), F.coalesce("total", F.lit(0)).alias("quantity"),
+        F.coalesce("hit", F.lit(False)).alias("any_returned"))
 
 
 @query("c9_null_aware", """
