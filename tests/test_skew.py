@@ -170,3 +170,37 @@ def test_cycles_are_refused(spark):
     log = spark.createDataFrame([(1, 2), (2, 1)], "id bigint, causation_id bigint")
     with pytest.raises(ValueError):
         replay.ancestors(log, log)
+
+
+def fanned(spark):
+    rows = [("c", 0, "s0", "s"), ("c", 1, "q1", "q"), ("c", 2, "s2", "s"), ("c", 2, "x2", "x"), ("c", 2, "z2", "z"),
+            ("d", 0, "s0d", "s"), ("d", 1, "m1", "m"), ("d", 1, "p1", "p")]
+    return spark.createDataFrame(rows, "correlation_id string, step int, id string, edge string")
+
+
+@pytest.mark.parametrize("hot", [10 ** 6, 1])
+def test_siblings_of_a_fan_out(spark, monkeypatch, hot):
+    monkeypatch.setattr(ordered, "HOT_ROWS", hot)
+    monkeypatch.setattr(ordered, "SEGMENT_ROWS", 2)
+    log = fanned(spark)
+    assert {r.edge: r.distance for r in lineage.reachable(log, "s").collect()} == {"q": 1, "s": 2, "x": 2, "z": 2, "m": 1, "p": 1}
+    assert lineage.must_pass(log, "s", "p").count() == 0  # m stands beside p, not before it
+    assert {r.edge: (r.passing, r.runs) for r in lineage.must_pass(log, "s", "z").collect()} == {"q": (1, 1)}
+    assert [(r.route, r.depth) for r in lineage.rank_routes(log, "s", "z", 5, 3).collect()] == [("s>q>z", 2)]
+
+
+def test_a_hot_null_key_is_one_group(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "HOT_ROWS", 10)
+    monkeypatch.setattr(ordered, "SEGMENT_ROWS", 8)
+    rows = spark.range(60).select(F.when(F.col("id") % 3 == 0, F.col("id") % 2).alias("k"), "id")
+    seen = ordered.Ordered(rows, ["k"], ["id"])
+    assert seen._hot is not None and seen._hot.filter("k is null").count() == 40
+    out = seen.running({"n": ("sum", F.lit(1))}).df
+    assert out.count() == 60 and sorted(r.n for r in out.filter("k is null").collect()) == list(range(1, 41))
+
+
+def test_quantiles_have_their_own_columns(spark):
+    rows = [(0, None, "a", 0)] + [(i, 0, "b", i) for i in range(1, 2001)]
+    log = spark.createDataFrame(rows, "id int, causation_id int, edge string, ts int")
+    got = lineage.latency(log, lambda a, b: (a - b).cast("bigint"), (0.5, 0.995, 0.9995)).first()
+    assert (got.p50, got.p99_5, got.p99_95) == (1000, 1990, 1999)

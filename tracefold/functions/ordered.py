@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracefold.functions.columns import all_true
 from tracefold.session import materialize
 
 HOT_ROWS = 1_000_000      # a group of this size still fits one task
@@ -33,15 +34,16 @@ class HotGroups:
     table: DataFrame  # the keys, with the (estimated) ``rows`` per group
     few: bool         # whether the table is known to be small
 
-    def _marks(self) -> DataFrame:
-        marks = self.table.select(*self.keys)
-        return F.broadcast(marks) if self.few else marks
+    def _met(self, df: DataFrame, how: str) -> DataFrame:
+        marks = self.table.select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(self.keys)])
+        same = all_true([F.col(k).eqNullSafe(F.col(f"__h{i}")) for i, k in enumerate(self.keys)])  # a null key is a group too
+        return df.join(F.broadcast(marks) if self.few else marks, same, how)
 
     def of(self, df: DataFrame) -> DataFrame:
-        return df.join(self._marks(), self.keys, "left_semi")
+        return self._met(df, "left_semi")
 
     def others(self, df: DataFrame) -> DataFrame:
-        return df.join(self._marks(), self.keys, "left_anti")
+        return self._met(df, "left_anti")
 
     def total(self) -> int:
         return self.table.agg(F.sum("rows")).first()[0]
@@ -126,12 +128,13 @@ class Ordered:
             _summary(k, c, self.order).alias(f"__c_{n}") for n, (k, c) in columns.items()])
         across = (Window.partitionBy(*self.keys).orderBy(_SEG)
                   .rowsBetween(Window.unboundedPreceding, -1))
-        carried = totals.select(*where, *[
+        carried = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(where)], *[
             _fold(k, F.col(f"__c_{n}")).over(across).alias(f"__c_{n}") for n, (k, _) in columns.items()])
         # 3. combine
-        hot = hot.join(carried, where, "left").withColumns({
+        same = all_true([F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(where)])
+        hot = hot.join(carried, same, "left").withColumns({
             n: _merge(k, F.col(f"__c_{n}"), F.col(n)) for n, (k, _) in columns.items()
-        }).drop(*[f"__c_{n}" for n in columns])
+        }).drop(*[f"__c_{n}" for n in columns], *[f"__k{i}" for i in range(len(where))])
         return self._next(cold, hot)
 
     def numbered(self, position: str, previous: Mapping[str, str] | None = None) -> "Ordered":

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,15 +45,20 @@ def next_edges(log: DataFrame, current: str, k: int) -> DataFrame:
             .orderBy(F.desc("instances"), "target").limit(k))
 
 
+def _steps(log: DataFrame) -> DataFrame:
+    """One row per step of a run with the set of its edges, so siblings of a fan-out stand side by side."""
+    return log.groupBy(CORR, "step").agg(F.collect_set("edge").alias("edges"))  # at most one entry per edge type
+
+
 def reachable(log: DataFrame, start: str) -> DataFrame:
     """Edges ever seen downstream of ``start`` in a run, with the least distance in steps.
 
-    The nearest earlier start decides the distance, so one running maximum
-    replaces a pairing of rows.
+    The nearest start of a smaller step decides the distance, so one running
+    maximum replaces a pairing of rows.
     """
-    seen = Ordered(log.select(CORR, "step", "id", "edge"), [CORR], ORDER).running(
-        {"__from": ("max", F.when(F.col("edge") == start, F.col("step")))}, inclusive=False)
-    hits = seen.df.filter(F.col("__from").isNotNull() & (F.col("step") > F.col("__from")))
+    at = F.when(F.array_contains("edges", start), F.col("step"))
+    seen = Ordered(_steps(log), [CORR], ["step"]).running({"__from": ("max", at)}, inclusive=False)
+    hits = seen.df.filter(F.col("__from").isNotNull()).select(CORR, "step", "__from", F.explode("edges").alias("edge"))
     return hits.groupBy("edge").agg(F.min(F.col("step") - F.col("__from")).alias("distance"),
                                     F.countDistinct(CORR).alias("correlations"))
 
@@ -64,26 +71,28 @@ def orphans(edges: Iterable[str], log: DataFrame) -> DataFrame:
             .unionByName(seen.join(declared, "edge", "left_anti").withColumn("finding", F.lit("undeclared"))))
 
 
-def _runs(log: DataFrame, start: str, end: str) -> Ordered:
-    """Rows after the first ``start`` up to the first ``end`` that follows it.
+def _runs(log: DataFrame, start: str, end: str) -> DataFrame:
+    """Steps from the first ``start`` to the first step after it that holds ``end``.
 
-    Adds ``__start`` (step of the first start) and keeps that row as well.
+    Adds ``__start`` (step of the first start) and ``__done`` (whether this is the end's step).
     """
-    rows = Ordered(log.select(CORR, "step", "id", "edge"), [CORR], ORDER)
-    rows = rows.running({"__start": ("min", F.when(F.col("edge") == start, F.col("step")))})
-    rows = rows.transform(lambda d: d.filter(F.col("__start").isNotNull()))
-    ends = F.when((F.col("edge") == end) & (F.col("step") > F.col("__start")), F.col("step"))
-    rows = rows.running({"__end": ("min", ends)}, inclusive=False)
-    return rows.transform(lambda d: d.filter(F.col("__end").isNull()))
+    done = F.array_contains("edges", end) & (F.col("step") > F.col("__start"))
+    rows = Ordered(_steps(log), [CORR], ["step"])
+    rows = rows.running({"__start": ("min", F.when(F.array_contains("edges", start), F.col("step")))})
+    rows = rows.transform(lambda d: d.filter(F.col("__start").isNotNull()).withColumn("__done", done))
+    rows = rows.running({"__end": ("min", F.when(F.col("__done"), F.col("step")))}, inclusive=False)
+    return rows.df.filter(F.col("__end").isNull())
 
 
 def must_pass(log: DataFrame, start: str, end: str) -> DataFrame:
-    """Per edge: how many start-to-end runs pass it in between; share 1 is a pinch point."""
-    inside = _runs(log, start, end).df
-    done = (F.col("edge") == end) & (F.col("step") > F.col("__start"))
-    between = (F.col("step") > F.col("__start")) & ~done
+    """Per edge: how many start-to-end runs pass it in between; share 1 is a pinch point.
+
+    Siblings at the step of either end are not in between.
+    """
+    inside = _runs(log, start, end).select(CORR, "step", "__start", "__done", F.explode("edges").alias("edge"))
+    between = (F.col("step") > F.col("__start")) & ~F.col("__done")
     per_run = inside.groupBy(CORR).agg(
-        F.max(F.when(done, True)).alias("complete"),
+        F.max("__done").alias("complete"),
         F.collect_set(F.when(between, F.col("edge"))).alias("passed"))  # at most one entry per edge type
     # The null entry of every run counts the runs themselves.
     marked = F.concat("passed", F.array(F.lit(None).cast("string")))
@@ -138,14 +147,14 @@ def rank_routes(log: DataFrame, start: str, end: str, max_depth: int, top_k: int
     catalog knows about its edges.  Rows beyond the depth are filtered before
     anything is collected.
     """
-    inside = _runs(log, start, end).df.filter(F.col("step") - F.col("__start") <= max_depth)
-    steps = inside.select(CORR, "step", "edge", "__start").distinct()
-    done = (F.col("edge") == end) & (F.col("step") > F.col("__start"))
-    runs = steps.groupBy(CORR).agg(
-        F.max(F.when(done, F.col("step") - F.col("__start"))).alias("depth"),
-        F.sort_array(F.collect_list(F.struct("step", "edge"))).alias("__path"))
+    inside = _runs(log, start, end).filter(F.col("step") - F.col("__start") <= max_depth)
+    shown = (F.when(F.col("step") == F.col("__start"), F.array(F.lit(start))).when(F.col("__done"), F.array(F.lit(end)))
+             .otherwise(F.sort_array("edges")))  # siblings of the two ends lie beside the route
+    runs = inside.groupBy(CORR).agg(
+        F.max(F.when(F.col("__done"), F.col("step") - F.col("__start"))).alias("depth"),
+        F.sort_array(F.collect_list(F.struct("step", shown.alias("edges")))).alias("__path"))
     found = (runs.filter(F.col("depth").isNotNull())
-             .withColumn("__edges", F.transform("__path", lambda s: s["edge"]))
+             .withColumn("__edges", F.flatten(F.transform("__path", lambda s: s["edges"])))
              .groupBy("__edges", "depth").agg(F.count(F.lit(1)).alias("runs")))
     best = found.withColumn("route", F.array_join("__edges", ">")).orderBy(
         F.desc("runs"), "depth", "route").limit(top_k)
@@ -153,7 +162,7 @@ def rank_routes(log: DataFrame, start: str, end: str, max_depth: int, top_k: int
         return best.drop("__edges")
     at = best.select("route", "depth", "runs", F.posexplode("__edges").alias("__i", "edge"))
     known = at.join(flags, "edge", "left")
-    order = Window.partitionBy("route").orderBy("__i")  # at most top_k * (max_depth + 1) rows
+    order = Window.partitionBy("route").orderBy("__i")  # at most top_k routes of bounded depth
     hop = F.when(F.col("zone") != F.lag("zone").over(order), 1).otherwise(0)
     return (known.withColumn("__hop", hop).groupBy("route", "depth", "runs").agg(
         F.max(F.coalesce("lossy", F.lit(False))).alias("lossy"),
@@ -191,11 +200,19 @@ def latency(log: DataFrame, seconds, quantiles: Iterable[float] = (0.5, 0.9, 0.9
     total = hist.groupBy("source", "target").agg(F.sum("n").alias("instances"), F.sum(F.col("n") * F.col("s")).alias("sum_s"))
     joined = upto.join(total, ["source", "target"])
     def rank(q: float) -> Column:  # ceil(q * instances) in whole numbers
-        return F.floor((F.col("instances") * round(q * 1000) + 999) / 1000)
-    picks = [F.min(F.when(F.col("__cum") >= rank(q), F.col("s"))).alias(f"p{round(q * 100)}") for q in quantiles]
+        exact = Fraction(str(q))
+        scaled = F.col("instances") * exact.numerator + (exact.denominator - 1)
+        return ((scaled - scaled % exact.denominator) / exact.denominator).cast("bigint")
+    names = {q: _percent(q) for q in quantiles}
+    picks = [F.min(F.when(F.col("__cum") >= rank(q), F.col("s"))).alias(n) for q, n in names.items()]
     return joined.groupBy("source", "target", "instances", "sum_s").agg(*picks).select(
-        "source", "target", "instances", F.floor(F.col("sum_s") / F.col("instances")).alias("mean_s"),
-        *[f"p{round(q * 100)}" for q in quantiles])
+        "source", "target", "instances", F.floor(F.col("sum_s") / F.col("instances")).alias("mean_s"), *names.values())
+
+
+def _percent(q: float) -> str:
+    """The column of a quantile: p50 for 0.5, p99_95 for 0.9995."""
+    text = f"{Decimal(str(q)) * 100:f}"
+    return "p" + (text.rstrip("0").rstrip(".") if "." in text else text).replace(".", "_")
 
 
 def lossy_audit(erased: DataFrame, catalog: Iterable[Edge], into: Edge) -> DataFrame:
