@@ -67,6 +67,17 @@ def test_redaction_round_trip_and_erasure(spark, sf):
     assert after.filter("c_name is null").count() == 3 and after.count() == table.count()
 
 
+def test_erasing_one_subject_leaves_equal_values_of_others(spark):
+    df = spark.createDataFrame([(1, "Ann", "Rome", 7), (2, "Bob", "Ann", 7)], "who int, name string, city string, n int")
+    hidden, names = privacy.redact(df, ["name", "city", "n"], "s", {"name": "text", "city": "text"}, subject="who")
+    spaces, types = {"name": "text", "city": "text"}, {"n": "int"}
+    whole = privacy.rehydrate(hidden, names, ["name", "city", "n"], spaces, types, "who")
+    assert whole.schema["n"].dataType == df.schema["n"].dataType and same(whole, df)
+    kept = privacy.erase_subject(names, spark.createDataFrame([(1,)], "subject int"), "subject")
+    got = {tuple(r) for r in privacy.rehydrate(hidden, kept, ["name", "city", "n"], spaces, types, "who").collect()}
+    assert got == {(1, None, None, None), (2, "Bob", "Ann", 7)}
+
+
 def test_null_values_stay_null(spark):
     df = spark.createDataFrame([(1, None), (2, "a")], "i int, v string")
     hidden, names = privacy.redact(df, ["v"], "s")

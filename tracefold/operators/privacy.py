@@ -57,26 +57,39 @@ def token(field: str, value: Column, salt: str) -> Column:
 
 
 def redact(df: DataFrame, fields: Iterable[str], salt: str,
-           namespaces: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+           namespaces: Mapping[str, str] | None = None, subject: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(table with tokens, token map).  The map stays in the caller's zone.
 
     Fields sharing a namespace share tokens, which allows equality joins.
+    With ``subject`` (a column that names whose data a row is) the map has a row
+    per subject, so that one subject's values can go and equal ones of others stay.
     """
     fields = list(fields)
     space = {f: (namespaces or {}).get(f, f) for f in fields}
     redacted = df.withColumns({f: token(space[f], F.col(f), salt) for f in fields})
     entries = F.array(*[F.struct(token(space[f], F.col(f), salt).alias("token"), F.lit(space[f]).alias("field"),
-                                 F.col(f).cast("string").alias("value")) for f in fields])
+                                 F.col(f).cast("string").alias("value"),
+                                 *([] if subject is None else [F.col(subject).alias("subject")])) for f in fields])
     token_map = df.select(F.inline(entries)).filter(F.col("token").isNotNull()).distinct()
     return redacted, token_map
 
 
-def rehydrate(result: DataFrame, token_map: DataFrame, fields: Iterable[str]) -> DataFrame:
-    """Put the values back; a token whose map row is gone becomes null."""
+def rehydrate(result: DataFrame, token_map: DataFrame, fields: Iterable[str], namespaces: Mapping[str, str] | None = None,
+              types: Mapping[str, str] | None = None, subject: str | None = None) -> DataFrame:
+    """Put the values back; a token whose map row is gone becomes null.
+
+    Each field meets only the map rows of its namespace.  ``types`` gives the
+    type of fields that were no text; ``subject`` is the column of ``redact``.
+    """
     out = result
     for f in fields:
-        names = token_map.select(F.col("token").alias(f), F.col("value").alias("__value"))
-        out = out.join(names, f, "left").withColumn(f, F.col("__value")).drop("__value")
+        names = token_map.filter(F.col("field") == (namespaces or {}).get(f, f)).select(
+            F.col("token").alias("__token"), F.col("value").cast((types or {}).get(f, "string")).alias("__value"),
+            *([] if subject is None else [F.col("subject").alias("__subject")]))
+        met = F.col(f) == F.col("__token")
+        if subject is not None:
+            met = met & F.col(subject).eqNullSafe(F.col("__subject"))
+        out = out.join(names, met, "left").withColumn(f, F.col("__value")).drop("__token", "__value", "__subject")
     return out.select(*result.columns)
 
 
@@ -92,9 +105,17 @@ def check_tokens(result: DataFrame, token_map: DataFrame, field: str) -> DataFra
     return lost.withColumn("finding", F.when(F.col(field).rlike(TOKEN_PATTERN), "unknown").otherwise("mangled"))
 
 
-def erase_subject(token_map: DataFrame, subjects: DataFrame, key: str = "value") -> DataFrame:
-    """The token map without the subjects' rows; the log itself is unchanged."""
-    return token_map.join(subjects.select(key).distinct(), key, "left_anti")
+def erase_subject(token_map: DataFrame, subjects: DataFrame, key: str = "value", fields: Iterable[str] | None = None) -> DataFrame:
+    """The token map without the subjects' rows; the log itself is unchanged.
+
+    ``key="subject"`` erases by the subject that ``redact`` recorded, and leaves
+    equal values of others.  ``fields`` narrows it to these namespaces.
+    """
+    gone = subjects.filter(F.col(key).isNotNull()).select(F.col(key).alias("__gone")).distinct()
+    hit = F.col(key) == F.col("__gone")
+    if fields is not None:
+        hit = hit & F.col("field").isin(*fields)
+    return token_map.join(gone, hit, "left_anti")
 
 
 def declassify(df: DataFrame, public: Iterable[str]) -> DataFrame:

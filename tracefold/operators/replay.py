@@ -17,10 +17,16 @@ def replay(log: DataFrame, node: Node, inputs: Column | None = None) -> DataFram
     """Outputs recomputed from the recorded inputs; nothing is inverted or performed.
 
     ``inputs`` tells which rows fed the node.  By default: rows of its input
-    edge that it did not produce itself.
+    edge that it did not produce itself, and of its own rows those that a
+    recorded row of it names as cause (a node fed by its own output).
     """
-    fed = (F.col("edge") == node.input.name) & (F.col("node") != node.name) if inputs is None else inputs
-    return apply(node, log.filter(fed), wired=True)
+    if inputs is not None:
+        return apply(node, log.filter(inputs), wired=True)
+    own = F.col("node").eqNullSafe(node.name)
+    rows = log.filter(F.col("edge") == node.input.name)
+    causes = log.filter(own & F.col("causation_id").isNotNull()).select(F.col("causation_id").cast("string").alias("__fed"))
+    again = rows.filter(own).join(causes, F.col("id").cast("string") == F.col("__fed"), "left_semi")
+    return apply(node, rows.filter(~own).unionByName(again), wired=True)
 
 
 def replay_diff(log: DataFrame, node: Node, inputs: Column | None = None,

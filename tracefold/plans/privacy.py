@@ -128,6 +128,19 @@ def erase_subject(spark, sf):
     return ops.rehydrate(rows, ops.erase_subject(names, gone), FIELDS)
 
 
+@query("i11_erase_by_subject", """
+SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_nationkey END AS c_nationkey, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS c_mktsegment FROM customer""")
+def erase_by_subject(spark, sf):
+    """Values that many customers share go for the erased ones only, and numbers come back as numbers."""
+    customer = read(spark, sf, "customer")
+    fields = ["c_nationkey", "c_mktsegment"]
+    table = customer.select("c_custkey", *fields)
+    rows, names = ops.redact(table, fields, SALT, subject="c_custkey")
+    gone = customer.filter(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("subject"))
+    kept = ops.erase_subject(names, gone, "subject")
+    return ops.rehydrate(rows, kept, fields, types={"c_nationkey": table.schema["c_nationkey"].dataType.simpleString()}, subject="c_custkey")
+
+
 @query("i12_exit_filter", "SELECT event_id AS id FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0")
 def exit_filter(spark, sf):
     log = event_log(spark, sf)

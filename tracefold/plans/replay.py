@@ -42,6 +42,20 @@ def replay_diff(spark, sf):
                        F.col("recomputed.size").cast("int").alias("recomputed"))
 
 
+@query("g2_replay_repeat", f"""
+WITH {SIZED_SQL}
+SELECT 'same' AS status, count(*) * 3 AS instances FROM sized""")
+def replay_repeat(spark, sf):
+    """A node fed by its own output three times, replayed unchanged."""
+    inputs = sized(spark, sf)
+    stages, last = [inputs], inputs
+    for _ in range(3):
+        last = check_output(apply(BIRTHDAY, last), SIZED)[0]
+        stages.append(last)
+    log = stages[0].unionByName(stages[1]).unionByName(stages[2]).unionByName(stages[3])
+    return ops.replay_diff(log, BIRTHDAY).groupBy("status").agg(F.count(F.lit(1)).alias("instances"))
+
+
 @query("g3_replay_pinned", f"""
 WITH {SIZED_SQL}
 SELECT id AS causation_id, CASE corr % 2 WHEN 0 THEN '1' ELSE '2' END AS impl_version,
