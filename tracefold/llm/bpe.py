@@ -57,7 +57,8 @@ class Bpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.memo: dict[str, tuple[str, int, str]] = {}
+        self.memo: dict[str, str] = {}   # a word's ids as text
+        self.shown: dict[str, str] = {}  # its tokens
 
     def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece (none is empty)."""
@@ -113,7 +114,8 @@ class Bpe:
         done = iter(self.merge(pieces) if pieces else ())
         for chunk, parts in zip(chunks, plan):
             ids = [i for p in parts for i in ([p] if p is not None else next(done).tolist())]
-            self.memo[chunk] = (" ".join(map(str, ids)), len(ids), " ".join(map(self.names.__getitem__, ids)))
+            self.memo[chunk] = " ".join(map(str, ids))
+            self.shown[chunk] = " ".join(map(self.names.__getitem__, ids))
 
     def split(self, text: str) -> list[str]:
         return [c for c in WHITE.split(text) if c] if ODD.search(text) else text.split()
@@ -121,21 +123,20 @@ class Bpe:
     def encode(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, the ids as text, and the decoded text."""
         chunks = self.split(text or "")
-        n, ids, decoded = 0, [], []
+        ids, decoded = [], []
         for lo in range(0, len(chunks), LONG):  # a very long text in parts
             part = chunks[lo:lo + LONG]
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            new = list({c for c in part if c not in self.memo})
+                self.shown.clear()
+            new = set(part).difference(self.memo)
             if new:
-                self.words(new)
-            for c in part:
-                i, k, d = self.memo[c]
-                if k:
-                    ids.append(i)
-                    decoded.append(d)
-                    n += k
-        return n, " ".join(ids), " ".join(decoded)
+                self.words(list(new))
+            # every word has an id, so the parts are never empty
+            ids.append(" ".join(map(self.memo.__getitem__, part)))
+            decoded.append(" ".join(map(self.shown.__getitem__, part)))
+        whole = " ".join(ids)
+        return whole.count(" ") + 1 if whole else 0, whole, " ".join(decoded)
 
 
 _loaded: dict[str, Bpe] = {}
