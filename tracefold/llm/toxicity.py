@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tracefold.llm.common import bounded, extended, remainder
 
-#: Labelled examples in the index, at most; terms, at most; least chi-squared; neighbours; examples in a block.
-EXAMPLES, TERMS, CHI, NEAREST, BLOCK = 8_000, 4_096, 25.0, 15, 64
+#: Labelled examples in the index, at most; terms, at most; least chi-squared; neighbours; examples in a block; blocks added up at once.
+EXAMPLES, TERMS, CHI, NEAREST, BLOCK, VISIT = 8_000, 4_096, 25.0, 15, 64, 16
 WORD = re.compile(r"\w+")
 CHUNK = 1 << 20
 
@@ -45,7 +45,8 @@ class Index:
     idf: np.ndarray
     ids: list
     labels: np.ndarray
-    dense: dict[tuple[int, int], np.ndarray]
+    weights: np.ndarray  # a row of examples' weights for each (term, block) that has any; row 0 is empty
+    place: np.ndarray    # the row of (term, block)
     highest: np.ndarray
     prior: float
     block: int = BLOCK
@@ -65,16 +66,19 @@ class Index:
             return []
         at, v = self.vector(counts)
         bound = v @ self.highest[at]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0]:
+        for lo in range(0, len(order), VISIT):
+            visit = order[lo:lo + VISIT]
+            if len(best) == k and bound[visit[0]] < best[-1][0] - 1e-9:  # a bound may be rounded below what it bounds
                 break
-            scores = sum(w * self.dense[t, b] for t, w in zip(at, v) if (t, b) in self.dense)
-            if 0 <= skip - b * self.block < self.block:
-                scores = scores.copy()
-                scores[skip - b * self.block] = 0
-            hits = np.flatnonzero(scores > 0)
-            best = sorted([*best, *((float(scores[i]), int(b * self.block + i)) for i in hits)], key=lambda x: (-x[0], x[1]))[:k]
+            scores = sum(w * self.weights[self.place[t, visit]] for t, w in zip(at, v)).ravel()
+            which = (visit[:, None] * self.block + np.arange(self.block)).ravel()
+            least = best[-1][0] if len(best) == k else 0
+            hits = np.flatnonzero((scores > 0) & (scores >= least) & (which != skip))
+            hits = hits[np.lexsort((which[hits], -scores[hits]))[:k]]
+            best = sorted([*best, *zip(scores[hits].tolist(), which[hits].tolist())], key=lambda x: (-x[0], x[1]))[:k]
         return best
 
     def vote(self, found: list[tuple[float, int]]) -> float:
@@ -108,15 +112,18 @@ def build(examples: list[tuple], terms: int = TERMS, chi: float = CHI, block: in
     idf = np.log((1 + n) / np.array([1 + seen[w][0] for w in kept])) + 1 if kept else np.zeros(0)
     prior = toxic / n if n else 0.0
     blocks = max(1, -(-n // block))
-    index = Index(number, idf, [i for i, _, _ in examples], np.array([y for _, _, y in examples], float), {}, np.zeros((len(kept), blocks)), prior, block, alone=prior)
-    counts = [_tokens(t, number) for _, t, _ in examples]
+    index = Index(number, idf, [i for i, _, _ in examples], np.array([y for _, _, y in examples], float), np.zeros((1, block)),
+                  np.zeros((len(kept), blocks), np.int32), np.zeros((len(kept), blocks)), prior, block, alone=prior)
+    counts, rows = [_tokens(t, number) for _, t, _ in examples], [np.zeros(block)]
     for e, c in enumerate(counts):
         if c:
             for t, w in zip(*index.vector(c)):
-                row = index.dense.setdefault((int(t), e // block), np.zeros(block))
-                row[e % block] = w
-    for (t, b), row in index.dense.items():
-        index.highest[t, b] = row.max()
+                if not index.place[t, e // block]:
+                    index.place[t, e // block] = len(rows)
+                    rows.append(np.zeros(block))
+                rows[index.place[t, e // block]][e % block] = w
+    index.weights = np.stack(rows)
+    index.highest = index.weights.max(axis=1)[index.place]
     own = [(index.nearest(c, skip=e), y) for e, (c, (_, _, y)) in enumerate(zip(counts, examples))]
     bare = [y for found, y in own if not found]
     index.alone = (sum(bare) + prior) / (len(bare) + 1) if n else 0.0
