@@ -124,3 +124,25 @@ def test_generated_rows_meet_their_contract(spark):
     assert rows.select("b").distinct().intersect(other.select("b").distinct()).count() < 5
     with pytest.raises(ValueError):
         verify.generate(spark, edge, 1)
+
+
+def test_ids_of_null_keys_and_separators(spark):
+    from tracefold.functions.columns import joined, row_digest
+    from tracefold.sources.log import origin
+
+    rows = spark.createDataFrame([(None, 1), (None, 2), (None, None), ("N", 1), ("|", 1), ("\\N", 1)], "key string, k int")
+    edge = Edge("Keyed", "Keyed", "A keyed row", {"k": Field("int32", "K", "Number", nullable=True)})
+    log = origin(rows, edge, F.col("key"), F.col("key"), F.lit(None).cast("timestamp"))
+    assert log.select("id").distinct().count() == 6
+    parts = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("x", None), ("\\", "|"), ("\\|", "")], "a string, b string")
+    assert parts.select(joined([F.col("a"), F.col("b")])).distinct().count() == 6
+    assert rows.select(row_digest(rows.columns)).distinct().count() == 6
+
+
+def test_routes_that_print_alike_differ_in_their_digest(spark):
+    from tracefold.operators.lineage import routes
+
+    rows = [(run, step, edge) for run, path in ((1, "abc"), (2, "abd"), (3, "abc")) for step, edge in enumerate(path)]
+    log = spark.createDataFrame(rows, "correlation_id long, step int, edge string")
+    found = routes(log, max_depth=2).collect()
+    assert sorted((r.route, r.runs) for r in found) == [("a>b>…", 1), ("a>b>…", 2)] and len({r.digest for r in found}) == 2

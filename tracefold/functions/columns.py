@@ -28,7 +28,21 @@ def whole_seconds(later: Column, earlier: Column) -> Column:
 
 def instance_id(cause: Column, node: Column, edge: Column, ordinal: Column) -> Column:
     """Deterministic row id, so that a replay gives the same ids."""
-    return F.sha2(F.concat_ws("|", cause.cast("string"), node, edge, ordinal.cast("string")), 256)
+    return F.sha2(joined([cause.cast("string"), node, edge, ordinal.cast("string")]), 256)
+
+
+def joined(parts: list[Column]) -> Column:
+    """The parts joined by ``|``; different parts give different texts.
+
+    A backslash or ``|`` inside a part is marked by a backslash, a null is ``\\N``.
+    """
+    marked = [F.coalesce(F.replace(F.replace(p, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\\N")) for p in parts]
+    return F.concat_ws("|", *marked)
+
+
+def row_digest(columns: list[str]) -> Column:
+    """SHA-256 of a row's values by name; nulls are left out of the digested text."""
+    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])), 256)
 
 
 def share(part: Column, whole: Column, scale: int = 1_000_000) -> Column:

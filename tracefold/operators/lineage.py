@@ -119,8 +119,9 @@ def routes(log: DataFrame, max_depth: int = 32, top_k: int | None = None,
            success: Column | None = None, chained: bool = False) -> DataFrame:
     """Recorded step sequences with their frequency and successes.
 
-    A route is identified over its whole length by an order-aware hash; only
-    its printed form stops after ``max_depth`` steps.  Equal edges at one step
+    A route is identified over its whole length by ``digest``, made of sums of
+    two hashes of every (step, edge), so nothing cancels; only its printed form
+    stops after ``max_depth`` steps, and routes that print alike differ in it.  Equal edges at one step
     of a run count once, so fan-out does not lengthen a route.  ``chained``
     states that steps are unique in a run, which saves that merge.
     """
@@ -129,14 +130,16 @@ def routes(log: DataFrame, max_depth: int = 32, top_k: int | None = None,
              else log.groupBy(CORR, "step", "edge").agg(F.max(ok).alias("__ok")))
     shown = F.sort_array(F.collect_list(F.when(F.col("step") < max_depth, F.struct("step", "edge"))))
     runs = steps.groupBy(CORR).agg(
-        F.bit_xor(F.xxhash64("step", "edge")).alias("__whole"), F.max("step").alias("__last"),
+        *[F.sum(F.xxhash64("step", "edge", F.lit(i)).cast("decimal(38,0)")).alias(f"__sum{i}") for i in (1, 2)],
+        F.max("step").alias("__last"),
         shown.alias("__shown"), F.max("__ok").alias("__ok"))
     label = F.concat(F.array_join(F.transform("__shown", lambda s: s["edge"]), ">"),
                      F.when(F.col("__last") >= max_depth, ">…").otherwise(""))
-    found = (runs.withColumn("route", label).groupBy("__whole", "__last", "route")
+    digest = F.sha2(F.concat_ws(":", F.col("__sum1").cast("string"), F.col("__sum2").cast("string"), F.col("__last").cast("string")), 256)
+    found = (runs.withColumn("route", label).groupBy(digest.alias("digest"), "__last", "route")
              .agg(F.count(F.lit(1)).alias("runs"), F.sum(F.col("__ok").cast("int")).alias("successes"))
-             .select("route", (F.col("__last") + 1).alias("steps"), "runs", "successes"))
-    return found if top_k is None else found.orderBy(F.desc("runs"), "route").limit(top_k)
+             .select("route", (F.col("__last") + 1).alias("steps"), "runs", "successes", "digest"))
+    return found if top_k is None else found.orderBy(F.desc("runs"), "route", "digest").limit(top_k)
 
 
 def rank_routes(log: DataFrame, start: str, end: str, max_depth: int, top_k: int,

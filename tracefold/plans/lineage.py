@@ -70,13 +70,13 @@ _ROUTES = f"""{LOG}, r AS (SELECT corr, string_agg(edge, '>' ORDER BY step) AS r
 
 @query("j7_routes", f"WITH {_ROUTES} SELECT route, steps, count(*) AS runs, CAST(sum(ok) AS BIGINT) AS successes FROM r GROUP BY 1, 2")
 def routes(spark, sf):
-    return ops.routes(event_log(spark, sf), success=F.col("edge") == "purchase", chained=True)
+    return ops.routes(event_log(spark, sf), success=F.col("edge") == "purchase", chained=True).drop("digest")
 
 
 @query("j7_routes_top", f"""
 WITH {_ROUTES} SELECT route, steps, count(*) AS runs, CAST(sum(ok) AS BIGINT) AS successes FROM r GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 10""")
 def routes_top(spark, sf):
-    return ops.routes(event_log(spark, sf), top_k=10, success=F.col("edge") == "purchase")
+    return ops.routes(event_log(spark, sf), top_k=10, success=F.col("edge") == "purchase").drop("digest")
 
 
 @query("j8_rank_routes", f"""

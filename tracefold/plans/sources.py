@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracefold.contract import Edge, Field
-from tracefold.functions.columns import cents
+from tracefold.functions.columns import cents, row_digest
 from tracefold.plans.fixtures import EVENT_TYPES, LINE, LOG, PLACED_SQL, event_log, placed, read
 from tracefold.plans.registry import query
 from tracefold.session import scratch_path
@@ -88,7 +88,7 @@ UNION ALL SELECT 'Placed', count(*), CAST(sum(CAST(round(o_totalprice * 100) AS
 UNION ALL SELECT 'Line', count(*), CAST(sum(CAST(round(l_quantity * 100) AS BIGINT)) AS BIGINT) FROM lineitem""")
 def unified(spark, sf):
     lines = read(spark, sf, "lineitem")
-    key = F.xxhash64(*lines.columns)
+    key = row_digest(lines.columns)
     line_log = ops.origin(lines, LINE, F.col("l_orderkey"), key, F.col("l_shipdate"), node="origin_line")
     whole = ops.unified([event_log(spark, sf).drop("user_id"), placed(spark, sf), line_log])
     pick = lambda name: F.try_variant_get("payload", f"$.{name}", "double")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.contract import Edge, Field, Many
-from tracefold.functions.columns import instance_id
+from tracefold.functions.columns import instance_id, row_digest
 from tracefold.operators.conform import payload as payload_of
 
 IDENTITY = "struct<sub:string,iss:string,scopes:array<string>>"
@@ -27,10 +27,13 @@ def origin(df: DataFrame, edge: Edge, correlation: Column, source_key: Column, t
     """Wrap a table as root instances: step 0, no cause.
 
     ``source_key`` identifies a row of the table and makes its id; no shuffle.
+    Rows without a key are told apart by all their values, so only rows that are
+    equal throughout share an id.
     """
     body = payload_of(df, edge)
     return df.select(
-        instance_id(source_key, F.lit(node), F.lit(edge.name), F.lit(0)).alias("id"),
+        instance_id(F.coalesce(source_key.cast("string"), F.concat(F.lit("row:"), row_digest(df.columns))),
+                    F.lit(node), F.lit(edge.name), F.lit(0)).alias("id"),
         correlation.alias("correlation_id"),
         F.lit(None).cast("string").alias("causation_id"),
         ts.alias("ts"),
