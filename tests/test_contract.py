@@ -119,3 +119,12 @@ def test_spread_shares_shape():
     parrot = BASE.spread("Parrot", wingspan=Field("f32", "W", "W", nullable=False))
     assert list(parrot.fields) == ["id", "amount", "wingspan"] and parrot.schema_hash != BASE.schema_hash
     assert list(BASE.spread("Thin", drop=("amount",)).fields) == ["id"]
+
+
+@pytest.mark.parametrize("number, text", [
+    (1e-7, "1e-7"), (1.5e-9, "1.5e-9"), (1e-6, "0.000001"), (0.00012, "0.00012"), (1e21, "1e+21"), (1.25e22, "1.25e+22"), (1e20, "100000000000000000000"),
+    (123.456, "123.456"), (-0.5, "-0.5"), (150, "150"), (0, "0"), (-0.0, "0"), (1200, "1200"), (2**53, "9007199254740992")])
+def test_number_text_in_fingerprints(number, text):
+    from tracefold.contract import _json
+
+    assert _json({"min": [number]}) == f'{{"min":[{text}]}}'

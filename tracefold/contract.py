@@ -12,6 +12,7 @@ import json
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field as _field, replace
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import types as T
@@ -201,7 +202,7 @@ class Edge:
 
     @property
     def schema_hash(self) -> str:
-        text = json.dumps(self.structure(), separators=(",", ":"), ensure_ascii=False)
+        text = _json(self.structure())
         return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
     @property
@@ -255,6 +256,34 @@ def _plain_number(n):
     return int(n) if float(n).is_integer() else n
 
 
+def _number_text(n) -> str:
+    """A number as ECMAScript prints it: a double's shortest digits, plain from 1e-6 up to below 1e21."""
+    sign, digits, exponent = Decimal(repr(float(n))).normalize().as_tuple()
+    if digits == (0,):
+        return "0"
+    text, point = "".join(map(str, digits)), len(digits) + exponent
+    if not -6 < point <= 21:
+        text = f"{text[0]}{'.' + text[1:] if text[1:] else ''}e{point - 1:+d}"
+    elif point <= 0:
+        text = "0." + "0" * -point + text
+    elif point >= len(text):
+        text = text.ljust(point, "0")
+    else:
+        text = f"{text[:point]}.{text[point:]}"
+    return "-" + text if sign else text
+
+
+def _json(value) -> str:
+    """Compact JSON; numbers in the text that fingerprints need."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_json(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, (list, tuple)):
+        return "[" + ",".join(map(_json, value)) + "]"
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        return _number_text(value)
+    return json.dumps(value, ensure_ascii=False)
+
+
 def _structure(f) -> dict[str, Any]:
     if isinstance(f, Many):
         return {"many": f.edge.structure()}
