@@ -56,6 +56,17 @@ def test_quality_outliers(spark):
     assert all(found[i] for i in range(200)) and not any(found[1000 + i] for i in range(5))
 
 
+def test_small_groups_are_judged(spark):
+    text = lambda i: " ".join(f"w{(i * 7 + k) % 50}x" for k in range(30))
+    junk = " ".join(f"{k}##$$%%" for k in range(30))
+    rows = [(i, text(i), "en", f"s{i // 70}" if i < 140 else "few") for i in range(144)] + [(1000, junk, "en", "few")]  # a group of five
+    rows += [(2000 + i, text(i), "es", f"t{i // 9}") for i in range(63)] + [(3000, junk, "es", "t0")]                  # a language of small groups
+    rows += [(4000 + i, text(i), None, None) for i in range(4)] + [(5000, junk, None, None), (6000, junk, "fr", "s0"), (7000, "too short", "eo", "z")]
+    found = {r["row"]["doc_id"]: r for r in quality_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(r.distance is not None for r in found.values())
+    assert {i for i, r in found.items() if not r.kept} == {1000, 3000, 5000, 6000, 7000}
+
+
 def test_decontaminate(spark, docs, none):
     bench = spark.createDataFrame([(1, ITEM), (2, "Q r S"), (3, None), (4, ""), (10, "q R s!"), (None, "nobody has this")], "item_id long, text string")
     got = {(r["row"]["doc_id"], r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.spans(docs, bench).collect()}

@@ -2,7 +2,8 @@
 
 Statistics are transformed and quantised to small whole numbers, so sums, medians and thresholds are exact and
 the same in any order.  Per group, an estimate with minimum covariance determinant: start from median and MAD,
-then concentration steps on the three quarters of least distance, then one reweighted step.
+then concentration steps on the three quarters of least distance, then one reweighted step.  A small group is judged
+by the estimate of its language, a small language by that of the whole table, so every row gets a distance.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ COVERED = 0.75
 #: Of chi-squared with four degrees: what makes the covered part's covariance consistent; the 97.5 % point; the
 #: cut, beyond which normal data lie with a chance of 3e-7.
 CONSISTENT, WEIGHTED, CUT = 1.49, 11.14, 36.0
+#: Rows that a (lang, source) group or a language needs for an estimate of its own.
 LEAST_GROUP = 60
 D = len(VECTOR)
+#: Of an estimate: level 0 is a language and source, 1 a language, 2 the whole table; what a level spans is null.
+KEY = ["level", "lang", "source"]
 
 
 def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -69,71 +73,97 @@ def _floor(i: int) -> float:
     return VECTOR[i][1] * VECTOR[i][2]
 
 
+def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Null-safe join on columns of the same names, which stay once."""
+    r = right.withColumnsRenamed({c: f"__{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on])
+    return left.join(r, same, how).drop(*[f"__{c}" for c in on])
+
+
 def _estimate(points: DataFrame, inside: Column, scale: float) -> DataFrame:
     """Mean and covariance's Cholesky factor of each group's points that are ``inside``."""
     x = [F.col(f"x{i}") for i in range(D)]
     sums = [F.sum(x[i]).alias(f"s{i}") for i in range(D)] + [F.sum(x[i] * x[j]).alias(f"s{i}{j}") for i in range(D) for j in range(i + 1)]
-    p = points.filter(inside).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *sums)
-    p = p.select("lang", "source", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(D)],
+    p = points.filter(inside).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), *sums)
+    p = p.select(*KEY, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(D)],
                  *[((F.col(f"s{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * (F.col(f"s{j}") / F.col("n"))) * scale
                     + (_floor(i) ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(D) for j in range(i + 1)])
     for i in range(D):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}") - reduce(lambda a, b: a + b, [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.lit(0.0))
             p = p.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    return materialize(p.select("lang", "source", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i in range(D) for j in range(i + 1)]), "mcd")
+    return materialize(p.select(*KEY, *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i in range(D) for j in range(i + 1)]), "mcd")
 
 
-def _distance(points: DataFrame, params: DataFrame) -> DataFrame:
-    """Add d2, the squared Mahalanobis distance; null where the group has no estimate."""
-    p = params.withColumnsRenamed({"lang": "__l", "source": "__s"})
-    d = points.join(p, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left")
+def _distance(points: DataFrame, params: DataFrame, on: list[str] = KEY) -> DataFrame:
+    """Add d2, the squared Mahalanobis distance; null where ``params`` has no estimate."""
+    d = _join(points, params, on, "left")
     for i in range(D):
         rest = F.col(f"x{i}") - F.col(f"m{i}") - reduce(lambda a, b: a + b, [F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)], F.lit(0.0))
         d = d.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
     d2 = reduce(lambda a, b: a + b, [F.col(f"y{i}") * F.col(f"y{i}") for i in range(D)])
-    return d.withColumn("d2", d2).drop(*p.columns, *[f"y{i}" for i in range(D)])
+    return d.withColumn("d2", d2).drop(*[c for c in params.columns if c not in on], *[f"y{i}" for i in range(D)])
 
 
 def _step(points: DataFrame, params: DataFrame) -> DataFrame:
     """One concentration step: the estimate of the covered part that lies nearest by the last one."""
     d = _distance(points, params).withColumn("d", F.round(64 * F.log2(1 + F.col("d2"))).cast("long"))
-    limit = (d.groupBy("lang", "source").agg(F.percentile("d", F.lit(COVERED)).alias("limit"))
-             .withColumnsRenamed({"lang": "__l", "source": "__s"}))
-    d = d.join(limit, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s"))).drop("__l", "__s")
+    limit = d.groupBy(*KEY).agg(F.percentile("d", F.lit(COVERED)).alias("limit"))
+    d = _join(d, limit, KEY)
     return _estimate(d, F.col("d") <= F.col("limit"), CONSISTENT)
 
 
+def _levels(stats: DataFrame) -> DataFrame:
+    """Of every language and source: ``level``, the one whose estimate judges it, and ``uses``, those that its points enter."""
+    groups = stats.groupBy("lang", "source").agg(F.count_if(~base_failed()).alias("n"))
+    langs = groups.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
+    whole = langs.agg(F.max((F.col("least") < LEAST_GROUP) & (F.col("n_lang") < LEAST_GROUP)).alias("rest"))
+    g = _join(groups, langs, ["lang"]).crossJoin(F.broadcast(whole))
+    large, common = F.col("n") >= LEAST_GROUP, F.col("n_lang") >= LEAST_GROUP
+    uses = [(large, 0), (common & (F.col("least") < LEAST_GROUP), 1), (F.col("rest"), 2)]
+    return materialize(g.select("lang", "source", F.when(large, 0).when(common, 1).otherwise(2).alias("level"),
+                                F.array_compact(F.array(*[F.when(c, F.lit(k)) for c, k in uses])).alias("uses")), "levels")
+
+
+def _spanned(level: Column) -> list[Column]:
+    """The key of a row's estimate at ``level``."""
+    return [level.alias("level"), F.when(level < 2, F.col("lang")).alias("lang"), F.when(level < 1, F.col("source")).alias("source")]
+
+
 def fit(stats: DataFrame) -> DataFrame:
-    """Robust location and scatter by (lang, source), of the rows that pass the base rules.
+    """Robust location and scatter for every (lang, source) of ``stats``, of the rows that pass the base rules.
 
     ``stats`` has lang, source and the columns of :func:`statistics`.  Null languages and sources are groups of
-    their own.  Groups below 60 rows have no estimate.
+    their own.  Groups below 60 such rows take the estimate of all rows of their language, languages below 60 that of
+    the whole table, however small.
     """
-    points = stats.filter(~base_failed()).select("lang", "source", *_vector())
-    big = (points.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.median(f"x{i}").alias(f"m{i}") for i in range(D)])
-           .filter(F.col("n") >= LEAST_GROUP).withColumnsRenamed({"lang": "__l", "source": "__s"}))
-    big = materialize(big, "medians")
-    near = F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s"))
-    spread = points.join(big, near).groupBy("lang", "source").agg(
+    levels = _levels(stats)
+    points = _join(stats.filter(~base_failed()).select("lang", "source", *_vector()), levels.select("lang", "source", "uses"), ["lang", "source"])
+    points = points.withColumn("use", F.explode("uses")).select(*_spanned(F.col("use")), *[f"x{i}" for i in range(D)])
+    medians = materialize(points.groupBy(*KEY).agg(*[F.median(f"x{i}").alias(f"m{i}") for i in range(D)]), "medians")
+    spread = _join(points, medians, KEY).groupBy(*KEY).agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(D)], *[F.median(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))).alias(f"a{i}") for i in range(D)])
-    start = spread.select("lang", "source", *[f"m{i}" for i in range(D)],
+    start = spread.select(*KEY, *[f"m{i}" for i in range(D)],
                           *[(F.greatest(1.4826 * F.col(f"a{i}"), F.lit(_floor(i))) if i == j else F.lit(0.0)).alias(f"l{i}{j}")
                             for i in range(D) for j in range(i + 1)])
     params = materialize(start, "mcd")
-    points = points.join(big.select("__l", "__s"), near, "left_semi")
     for _ in range(STEPS):
         params = _step(points, params)
-    return _estimate(_distance(points, params), F.col("d2") <= WEIGHTED, 1.0)
+    params = _estimate(_distance(points, params), F.col("d2") <= WEIGHTED, 1.0)
+    asked = levels.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *_spanned(F.col("level")))
+    return _join(asked, params, KEY).drop(*KEY).withColumnsRenamed({"of_lang": "lang", "of_source": "source"})
 
 
 def judge(stats: DataFrame, params: DataFrame) -> DataFrame:
-    """Add base_failed, distance (squared Mahalanobis; null without an estimate) and kept."""
+    """Add base_failed, distance (squared Mahalanobis) and kept; ``params`` is of the same rows.
+
+    A distance is null only where no row of the table passes the base rules.
+    """
     names = stats.columns
-    d = _distance(stats.select(*names, *_vector()), params)
+    d = _distance(stats.select(*names, *_vector()), params, ["lang", "source"])
     failed = base_failed()
     return d.select(*names, failed.alias("base_failed"), F.col("d2").alias("distance"),
-                    (~failed & F.coalesce(F.col("d2") <= CUT, F.lit(True))).alias("kept"))
+                    (~failed & F.coalesce(F.col("d2") <= CUT, F.lit(False))).alias("kept"))
 
 
 def _measured(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
