@@ -190,6 +190,27 @@ def test_nearest_examples_are_exact():
         assert np.allclose([s for s, _ in found], plain[plain > 0])
 
 
+def test_nearest_examples_are_over_all_terms():
+    rng = np.random.default_rng(3)
+    word = lambda y: f"bad{rng.integers(9)}" if y and rng.random() < 0.5 else f"w{int(rng.zipf(1.3)) % 4000}"
+    rows = [(i, " ".join(word(i % 6 == 0) for _ in range(5 + i % 40)), int(i % 6 == 0)) for i in range(400)]
+    rows += [(900, rows[7][1], 1), (901, None, 0), (902, "only here", 1)]  # one more of a text, with the other label
+    queries = [t for _, t, _ in rows[::9]] + ["only here and nowhere else", rows[7][1] + " new words of no example", "unseen", "", None]
+    index = toxicity.build(rows)
+    bags = [Counter(re.findall(r"\w+", t or "")) for _, t, _ in rows]
+    df = Counter(w for b in bags for w in b)
+    weigh = lambda b: {w: (1 + np.log(c)) * (np.log((1 + len(rows)) / (1 + df[w])) + 1) for w, c in b.items()}
+    norm = lambda v: np.sqrt(sum(x * x for x in v.values())) or 1.0
+    vectors = [weigh(b) for b in bags]
+    for index in (index, toxicity.build(rows, block=64)):
+        for t in queries:
+            q = weigh(Counter(re.findall(r"\w+", t or "")))
+            plain = [sum(x * v.get(w, 0.0) for w, x in q.items()) / norm(q) / norm(v) for v in vectors]
+            found = index.nearest(toxicity._tokens(t))
+            best = sorted((round(-s, 9), i) for i, s in enumerate(plain) if s > 0)[:15]
+            assert np.allclose([s for s, _ in found], [-s for s, _ in best]) and {i for _, i in found[:2]} == {i for _, i in best[:2]}
+
+
 def test_toxicity_and_language(spark, docs, none):
     labels = spark.createDataFrame([(i, int(i % 2), 1) for i in range(18)] + [(None, 1, None)], "doc_id long, toxic int, quality int")
     for index in (toxicity.fit(docs, labels), toxicity.fit(none, labels)):

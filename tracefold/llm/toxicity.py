@@ -1,15 +1,17 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-The index holds a bounded sample of labelled examples.  Its terms are those that the sample ties to a label
-(chi-squared); each term's weights lie in blocks of examples with the block's largest weight beside them.  A query adds up these
-largest weights for a bound on every block, visits blocks from the highest bound down, and stops when no block
-can reach its k-th best example, so the nearest examples are exact.
+The index holds a bounded sample of labelled examples with all their terms: for each term the examples that have it
+and its weight there.  A query adds up the weights of its terms over these lists, so every example that shares
+a term with it gets its exact cosine, over whole texts on both sides, and the nearest are picked from all of them.
+How its terms are tied to the label among the examples plays no part in that; it enters the score beside the vote.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,25 +20,26 @@ from pyspark.sql import functions as F
 
 from tracefold.llm.common import bounded, extended, remainder
 
-#: Labelled examples in the index, at most; terms, at most; least chi-squared; neighbours; examples in a block; blocks added up at once.
-EXAMPLES, TERMS, CHI, NEAREST, BLOCK, VISIT = 8_000, 4_096, 25.0, 15, 64, 16
+#: Labelled examples in the index, at most; neighbours; examples whose cosines are added up at once; part of the examples
+#: from which on a term has a whole row of weights instead of a list.
+EXAMPLES, NEAREST, BLOCK, COMMON = 8_000, 15, 8_192, 0.125
+#: Of the tie, which has no part in the search: least chi-squared of a term; examples' worth of prior in its label rate.
+CHI, SHRINK = 25.0, 1.0
 WORD = re.compile(r"\w+")
 CHUNK = 1 << 20
 
 
-def _tokens(text: str | None, vocabulary) -> dict[str, int]:
-    """Counts of the vocabulary's terms in a text, read in parts that end at white space."""
-    found: dict[str, int] = {}
+def _tokens(text: str | None, vocabulary=None) -> dict[str, int]:
+    """Counts of a text's terms (of those in the vocabulary, if there is one), read in parts that end at white space."""
+    found: Counter = Counter()
     text, at = (text or "").lower(), 0
     while at < len(text):
         end = at + CHUNK
         while end < len(text) and not text[end].isspace():
             end += 1
-        part = WORD.findall(text, at, end)
-        for w in (x for x in set(part) if x in vocabulary):
-            found[w] = found.get(w, 0) + part.count(w)
+        found.update(WORD.findall(text, at, end))
         at = end
-    return found
+    return found if vocabulary is None else {w: c for w, c in found.items() if w in vocabulary}
 
 
 @dataclass
@@ -45,101 +48,146 @@ class Index:
     idf: np.ndarray
     ids: list
     labels: np.ndarray
-    weights: np.ndarray  # a row of examples' weights for each (term, block) that has any; row 0 is empty
-    place: np.ndarray    # the row of (term, block)
-    highest: np.ndarray
+    starts: np.ndarray   # of each (block, term), block by block: where its list starts; one more at the end
+    entries: np.ndarray  # numbers of examples within their block, list by list
+    weights: np.ndarray  # of the term in the example
+    row: np.ndarray      # of a common term in ``rows``, else -1; common terms have no list
+    rows: np.ndarray     # a common term's weights in all examples
+    seen: np.ndarray     # examples that have the term
+    bad: np.ndarray      # toxic ones of these
     prior: float
     block: int = BLOCK
-    slope: float = 1.0
+    slopes: tuple = (1.0, 0.0)  # of vote and tie
     shift: float = 0.0
     alone: float = 0.0
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array([self.terms[w] for w in counts], np.int64)
-        v = (1 + np.log(np.array(list(counts.values()), float))) * self.idf[at]
-        norm = np.sqrt((v * v).sum())
-        return at, v / norm if norm else v
+        """Numbers of the known terms, ascending, and their weights; unknown terms count in the norm as seen in no example."""
+        at = np.fromiter(map(self.terms.get, counts, repeat(-1)), np.int64, len(counts))
+        n = np.fromiter(counts.values(), np.int64, len(counts))
+        order = np.lexsort((n, at))
+        at, n = at[order], n[order]
+        new = int(np.searchsorted(at, 0))
+        at = at[new:]
+        v = (1 + np.log(n)) * np.concatenate([np.full(new, np.log(1 + len(self.ids)) + 1), self.idf[at]])
+        return at, v[new:] / np.sqrt((v * v).sum()) if len(v) else v
 
     def nearest(self, counts: dict[str, int], k: int = NEAREST, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a cosine above 0; ties go to the smaller example number."""
         if not counts:
             return []
         at, v = self.vector(counts)
-        bound = v @ self.highest[at]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best: list[tuple[float, int]] = []
-        for lo in range(0, len(order), VISIT):
-            visit = order[lo:lo + VISIT]
-            if len(best) == k and bound[visit[0]] < best[-1][0] - 1e-9:  # a bound may be rounded below what it bounds
-                break
-            scores = sum(w * self.weights[self.place[t, visit]] for t, w in zip(at, v)).ravel()
-            which = (visit[:, None] * self.block + np.arange(self.block)).ravel()
-            least = best[-1][0] if len(best) == k else 0
-            hits = np.flatnonzero((scores > 0) & (scores >= least) & (which != skip))
-            hits = hits[np.lexsort((which[hits], -scores[hits]))[:k]]
-            best = sorted([*best, *zip(scores[hits].tolist(), which[hits].tolist())], key=lambda x: (-x[0], x[1]))[:k]
+        row, best = self.row[at], []
+        common, rare = list(zip(row[row >= 0].tolist(), v[row >= 0].tolist())), at[row < 0]
+        for lo in range(0, len(self.ids), self.block):
+            hi = min(lo + self.block, len(self.ids))
+            first = lo // self.block * len(self.terms) + rare
+            begin, end = self.starts[first], self.starts[first + 1]
+            lists = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist()) if a < b]
+            scores, part = np.zeros(hi - lo), np.empty(hi - lo)
+            for i, w in common:
+                scores += np.multiply(self.rows[i, lo:hi], w, out=part)
+            if lists:
+                scores += np.bincount(np.concatenate([self.entries[x] for x in lists]),
+                                      np.concatenate([self.weights[x] for x in lists]) * np.repeat(v[row < 0], end - begin), hi - lo)
+            if lo <= skip < lo + len(scores):
+                scores[skip - lo] = 0
+            least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0
+            hits = np.flatnonzero((scores > 0) & (scores >= least))
+            hits = hits[np.argsort(-scores[hits], kind="stable")[:k]]
+            best = sorted([*best, *zip(scores[hits].tolist(), (lo + hits).tolist())], key=lambda x: (-x[0], x[1]))[:k]
         return best
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         weights = np.array([1 / (1.05 - min(s, 1.0)) for s, _ in found])
         return float((weights @ self.labels[[i for _, i in found]] + self.prior) / (weights.sum() + 1))
 
-    def score(self, found: list[tuple[float, int]]) -> float:
+    def tie(self, counts: dict[str, int], own: float | None = None) -> float:
+        """Log odds of the term of the text that is tied most to toxic examples, 0 if none is; ``own``: the label, if the text is an example itself."""
+        at = np.sort(np.array([self.terms[w] for w in counts if w in self.terms], np.int64))
+        if not len(at) or not 0 < self.prior < 1:
+            return 0.0
+        seen, bad, n = self.seen[at], self.bad[at], len(self.ids)
+        if own is not None:
+            seen, bad, n = seen - 1, bad - own, n - 1
+        p = self.prior
+        tied = (bad - p * seen) ** 2 * n >= CHI * p * (1 - p) * seen * (n - seen)
+        seen, bad = seen[tied & (seen > 0)], bad[tied & (seen > 0)]
+        odds = np.log((bad + SHRINK * self.prior) / (seen - bad + SHRINK * (1 - self.prior))) - np.log(self.prior / (1 - self.prior))
+        return float(odds.max(initial=0))
+
+    def score(self, found: list[tuple[float, int]], tie: float = 0.0) -> float:
         if not found:
             return self.alone
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.vote(found) + self.shift, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.slopes[0] * self.vote(found) + self.slopes[1] * tie + self.shift, -30, 30))))
 
 
-def build(examples: list[tuple], terms: int = TERMS, chi: float = CHI, block: int = BLOCK) -> Index:
-    """Index (id, text, label) rows.  Votes are calibrated by leaving each example out of its own vote."""
+def build(examples: list[tuple], chi: float = 0.0, block: int = BLOCK) -> Index:
+    """Index (id, text, label) rows.  Votes are calibrated by leaving each example out of its own vote.
+
+    ``chi`` above 0 keeps only terms that the examples tie to a label by so much chi-squared; 0 keeps every term.
+    """
     n, toxic = len(examples), sum(y for _, _, y in examples)
-    seen: dict[str, list[int]] = {}
-    for _, text, y in examples:
-        for w in set(WORD.findall((text or "").lower())):
-            c = seen.setdefault(w, [0, 0])
-            c[0] += 1
-            c[1] += y
-    tied = []
-    for w, (all_, bad) in seen.items():
-        if all_ >= 4 and 0 < toxic < n and all_ < n:
-            d = bad * (n - toxic) - (all_ - bad) * toxic
-            x = n * d * d / (toxic * (n - toxic) * all_ * (n - all_))
-            if x >= chi:
-                tied.append((-x, w))
-    kept = sorted(w for _, w in sorted(tied)[:terms])
-    number = {w: i for i, w in enumerate(kept)}
-    idf = np.log((1 + n) / np.array([1 + seen[w][0] for w in kept])) + 1 if kept else np.zeros(0)
-    prior = toxic / n if n else 0.0
+    labels = np.array([y for _, _, y in examples], float)
+    number: dict[str, int] = {}
+    held = []  # an example's terms and their counts
+    for _, text, _ in examples:
+        c = _tokens(text)
+        held.append((np.array([number.setdefault(w, len(number)) for w in c], np.int32), np.array(list(c.values()), np.int32)))
+    sizes = lengths = [len(t) for t, _ in held]
+    every = np.concatenate([t for t, _ in held]) if n else np.zeros(0, np.int32)
+    seen = np.bincount(every, minlength=len(number)).astype(float)
+    place = np.arange(len(number))
+    if chi > 0:
+        bad = np.bincount(every, np.repeat(labels, sizes), len(number))
+        d = bad * (n - toxic) - (seen - bad) * toxic
+        scale = toxic * (n - toxic) * seen * (n - seen)
+        kept = (scale > 0) & (n * d * d >= chi * scale)
+        place = np.where(kept, np.cumsum(kept) - 1, -1)
+        number = {w: int(place[i]) for w, i in number.items() if kept[i]}
+        held = [(place[t][kept[t]], c[kept[t]]) for t, c in held]
+        sizes, seen = [len(t) for t, _ in held], seen[kept]
+    idf = np.log((1 + n) / (1 + seen)) + 1
+    term = np.concatenate([t for t, _ in held]).astype(np.int64) if n else np.zeros(0, np.int64)
+    weight = (1 + np.log(np.concatenate([c for _, c in held]) if n else np.zeros(0))) * idf[term]
+    example = np.repeat(np.arange(n), sizes).astype(np.int64)
+    order = np.lexsort((term, example))  # by number, so that equal bags of words get equal norms
+    term, weight = term[order], weight[order]
+    ends = np.cumsum(sizes, dtype=np.int64) if n else np.zeros(0, np.int64)
+    norms = np.array([np.sqrt((w * w).sum()) for w in np.split(weight, ends[:-1])]) if n else np.zeros(0)
+    weight = weight / norms[example]
+    row = np.where(seen >= COMMON * n, np.cumsum(seen >= COMMON * n) - 1, -1) if n >= 1000 else np.full(len(seen), -1)
+    rows = np.zeros((int(row.max(initial=-1)) + 1, n))
+    often = row[term] >= 0
+    rows[row[term[often]], example[often]] = weight[often]
+    term, example, weight = term[~often], example[~often], weight[~often]
+    cell = example // block * len(number) + term
+    order = np.argsort(cell, kind="stable")
     blocks = max(1, -(-n // block))
-    index = Index(number, idf, [i for i, _, _ in examples], np.array([y for _, _, y in examples], float), np.zeros((1, block)),
-                  np.zeros((len(kept), blocks), np.int32), np.zeros((len(kept), blocks)), prior, block, alone=prior)
-    counts, rows = [_tokens(t, number) for _, t, _ in examples], [np.zeros(block)]
-    for e, c in enumerate(counts):
-        if c:
-            for t, w in zip(*index.vector(c)):
-                if not index.place[t, e // block]:
-                    index.place[t, e // block] = len(rows)
-                    rows.append(np.zeros(block))
-                rows[index.place[t, e // block]][e % block] = w
-    index.weights = np.stack(rows)
-    index.highest = index.weights.max(axis=1)[index.place]
-    own = [(index.nearest(c, skip=e), y) for e, (c, (_, _, y)) in enumerate(zip(counts, examples))]
-    bare = [y for found, y in own if not found]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=blocks * len(number)))]).astype(np.int64)
+    prior = toxic / n if n else 0.0
+    index = Index(number, idf, [i for i, _, _ in examples], labels, starts, (example % block)[order], weight[order], row, rows, seen,
+                  np.bincount(every, np.repeat(labels, lengths), len(place))[place >= 0] if n else np.zeros(0), prior, block, alone=prior)
+    own = []
+    for e, (_, text, y) in enumerate(examples):
+        c = _tokens(text, number)
+        own.append((index.nearest(c, skip=e), index.tie(c, y), y))
+    bare = [y for found, _, y in own if not found]
     index.alone = (sum(bare) + prior) / (len(bare) + 1) if n else 0.0
-    votes = np.array([index.vote(f) for f, _ in own if f])
-    truth = np.array([y for f, y in own if f], float)
-    a, b = 8.0, -4.0
-    for _ in range(50 if len(votes) and 0 < truth.sum() < len(truth) else 0):  # Newton's steps with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(a * votes + b, -30, 30)))
-        w = p * (1 - p) + 1e-6
-        g = np.array([(votes * (truth - p)).sum() - 0.01 * (a - 8), (truth - p).sum() - 0.01 * (b + 4)])
-        h = np.array([[(w * votes * votes).sum() + 0.01, (w * votes).sum()], [(w * votes).sum(), w.sum() + 0.01]])
-        step = np.linalg.solve(h, g)
-        a, b = a + float(step[0]), b + float(step[1])
+    x = np.array([(index.vote(f), t, 1.0) for f, t, _ in own if f]).reshape(-1, 3)
+    truth = np.array([y for f, _, y in own if f], float)
+    start = np.array([8.0, 1.0, -4.0])
+    b = start.copy()
+    loss = lambda b: np.logaddexp(0, x @ b).sum() - truth @ (x @ b) + 0.05 * ((b - start) ** 2).sum()
+    for _ in range(50 if len(x) and 0 < truth.sum() < len(truth) else 0):  # Newton's steps with a small ridge, halved until they gain
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (truth - p) - 0.1 * (b - start))
+        while np.abs(step).max() >= 1e-8 and loss(b + step) > loss(b):
+            step = step / 2
+        b = b + step
         if np.abs(step).max() < 1e-8:
             break
-    index.slope, index.shift = a, b
+    index.slopes, index.shift = (float(b[0]), float(b[1])), float(b[2])
     return index
 
 
@@ -157,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
 
 def score(docs: DataFrame, index: Index, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns (except those named like the new ones), score from 0 to 1, and evidence: the ids of the nearest
-    examples, nearest first.  Null and empty texts and those without an index term get the rate of such examples."""
+    examples, nearest first.  Null and empty texts and those that share no term with an example get the rate of such examples."""
     new = ["score", "evidence"]
     held = [c for c in keep if c not in new]
     schema = extended(docs, held, "score double, evidence array<string>")
@@ -166,8 +214,8 @@ def score(docs: DataFrame, index: Index, keep: list[str], text: str = "text") ->
     def run(batches):
         ix = shared.value
         for batch in batches:
-            found = [ix.nearest(_tokens(t, ix.terms)) for t in batch.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([ix.score(f) for f in found], pa.float64()),
-                                              pa.array([[str(ix.ids[i]) for _, i in f] for f in found], pa.list_(pa.string()))], [*held, *new])
+            found = [(ix.nearest(c), ix.tie(c)) for c in map(_tokens, batch.column("__text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([ix.score(*f) for f in found], pa.float64()),
+                                              pa.array([[str(ix.ids[i]) for _, i in f] for f, _ in found], pa.list_(pa.string()))], [*held, *new])
 
     return docs.select(*held, docs[text].alias("__text")).mapInArrow(run, schema)
