@@ -104,6 +104,37 @@ def test_personal_data(docs, none):
     assert pii.redact(none).count() == 0
 
 
+def test_generators_take_whole_numbers_and_tokens(spark):
+    whole = {"number": ["01234567890", "12345678901", "98765 43210", "07700 900123", "030 1234567", "0171 1234567", "1-800-555-1234", "(030) 1234567",
+                        "+123 456", "1 2 3 4 5 6 7 8 9", "1234567890" * 30, "12"],
+             "secret": ["a1" * 101, "sk-abc-1_x-9", "AKIA-99", "0x7_", "p4ss", "-k1-"],
+             "address": ["a" * 70 + "@host", "joe @ mail.example.org", "x@y", "a@" + "b" * 70]}
+    texts = [(k, x, t) for k, xs in whole.items() for x in xs for t in (x, f"see {x}, or", f"({x})" if "(" not in x else f"a{x}")]
+    texts += [("number", "555 1234", "at 555 1234 2nd floor"), ("number", "555", "tel.555x 555;"), ("secret", None, "12-34 only-letters 5 --- 77")]
+    rows = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(texts)], "i int, t string")
+    found = rows.select("i", F.explode(F.concat(*[pii._proposals(F.col("t"), k, h, p) for k, (h, p) in pii.MORE.items()])).alias("s"))
+    got = {}
+    for r in found.collect():
+        got.setdefault((r.i, r.s.kind), []).append(r.s.text)
+    for i, (k, x, t) in enumerate(texts):
+        assert [y.strip("()") for y in got.get((i, k), [])] == ([] if x is None else [x.strip("()")]), (k, t, got.get((i, k)))
+
+    def plain(t):  # numbers by hand: runs of digits that touch no letter, joined while at most ')', a separator and '(' stand between
+        runs = [m.span() for m in re.finditer("[0-9]+", t) if not re.match("[A-Za-z]", t[m.end():]) and not re.search("[A-Za-z]$", t[:m.start()])]
+        joined = []
+        for a, b in runs:
+            if joined and t[joined[-1][1]:a] in {c + s + o for c in ("", ")") for s in ("", " ", ".", "/", "-") for o in ("", "(")}:
+                joined[-1][1] = b
+            else:
+                joined.append([a, b])
+        return [re.sub("[^0-9]", "", t[a:b]) for a, b in joined]
+    rng = np.random.default_rng(5)
+    noise = ["".join(rng.choice(list("0123456789  ..--()/a+,"), 40)) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(noise)), "i int, t string")
+    for r in rows.select("t", pii._proposals(F.col("t"), "number", *pii.MORE["number"]).alias("s")).collect():
+        assert [re.sub("[^0-9]", "", x.text) for x in r.s] == plain(r.t), r.t
+
+
 def test_bpe(docs, none):
     tokenizers = pytest.importorskip("tokenizers")
     plain = tokenizers.Tokenizer.from_file(bpe.default_path())
