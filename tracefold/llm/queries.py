@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import bpe, decontaminate, jaccard, language, pii, quality_classifier, quality_rules, toxicity, urls, warc
+from tracefold.llm import bpe, decontaminate, jaccard, language, packing, pii, quality_classifier, quality_rules, toxicity, urls, warc
 from tracefold.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,9 @@ def op4(spark, sf_dir):
 @query("op5_ngram_jaccard")
 def op5(spark, sf_dir):
     return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op13_packing")
+def op13(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
