@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import bpe, decontaminate, jaccard, language, packing, pii, quality_classifier, quality_rules, toxicity, urls, warc
+from tracefold.llm import bpe, decontaminate, jaccard, language, merkle, packing, pii, quality_classifier, quality_rules, toxicity, urls, warc
 from tracefold.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,50 @@ def op5(spark, sf_dir):
 def op13(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def fields(*names: str, text: str = "text") -> str:
+    one = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+    return " || ".join(one.format(text if n == "text" else n) for n in names)
+
+
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query("op11_merkle", f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, sha256({fields(*LEAF)}) AS leaf, sha256({fields(*LEAF, text="replace(text, chr(10), '')")}) AS other FROM documents),
+     placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+     nodes AS (SELECT source, 0 AS lvl, pos, n, leaf AS h FROM placed UNION ALL
+               SELECT source, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY source, lvl, n, pos // 3),
+     subs AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+     tops AS (SELECT 0 AS lvl, pos, n, subroot AS h FROM subs UNION ALL
+              SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY lvl, n, pos // 3),
+     low AS (SELECT a.source, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+                    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+             FROM nodes a JOIN nodes b ON a.source IS NOT DISTINCT FROM b.source AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY 1, 2, 3),
+     high AS (SELECT a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+                     coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+              FROM tops a JOIN tops b ON a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY 1, 2),
+     levels AS (SELECT source, max(lvl) AS last FROM nodes GROUP BY 1),
+     bits AS (SELECT DISTINCT doc_id, list_reduce([4294967295] || flatten(list_transform(range(strlen(doc_id::VARCHAR)),
+                         lambda i: [ord(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                         lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) AS c FROM documents),
+     climb AS (SELECT p.doc_id, p.source, p.pos, 0 AS lvl, p.leaf, '' AS proof, CASE WHEN b.c % 2 = 1 THEN p.other ELSE p.leaf END AS h
+               FROM placed p LEFT JOIN bits b ON b.doc_id = p.doc_id UNION ALL
+               SELECT c.doc_id, c.source, c.pos // 3, c.lvl + 1, c.leaf, proof || l || r, sha256(l || c.h || r)
+               FROM climb c JOIN low ON low.source IS NOT DISTINCT FROM c.source AND low.lvl = c.lvl AND low.pos = c.pos),
+     rise AS (SELECT c.doc_id, c.leaf, s.subroot, 0 AS lvl, s.pos, proof, c.h FROM climb c JOIN levels e ON e.source IS NOT DISTINCT FROM c.source AND e.last = c.lvl
+              JOIN subs s ON s.source IS NOT DISTINCT FROM c.source UNION ALL
+              SELECT c.doc_id, c.leaf, c.subroot, c.lvl + 1, c.pos // 3, proof || l || r, sha256(l || c.h || r)
+              FROM rise c JOIN high ON high.lvl = c.lvl AND high.pos = c.pos)
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, c.h AS folded_root, c.h = t.h AS verified
+FROM rise c JOIN tops t ON t.n = 1 AND t.lvl = c.lvl""")
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    other = F.when(remainder(F.col("doc_id"), 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    rows = merkle.manifest(docs, merkle.leaf_of(*map(F.col, LEAF)),
+                           tampered=F.when(other != F.col("text"), merkle.leaf_of(*map(F.col, LEAF[:-1]), other)))
+    back = merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return rows.withColumn("folded_root", back).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
