@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import bpe, decontaminate, jaccard, language, merkle, packing, pii, quality_classifier, quality_rules, toxicity, urls, warc
+from tracefold.llm import bpe, decontaminate, jaccard, language, merkle, packing, pii, quality_classifier, quality_rules, toxicity, urls, warc, whitening
 from tracefold.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,8 @@ def op11(spark, sf_dir):
     return rows.withColumn("folded_root", back).select(
         "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op12_whitening")
+def op12(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
