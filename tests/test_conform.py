@@ -120,11 +120,21 @@ def test_conform_splits_without_loss(spark, sf):
 
 def test_conform_filter_reaches_the_scan(spark, sf):
     edge = Edge("C", fields={"c_acctbal": Field("f64", "B", "B", nullable=False, min=0)})
-    ok, _ = ops.conform(spark.read.parquet(f"{sf}/customer.parquet"), edge)
+    ok = ops.conforming(spark.read.parquet(f"{sf}/customer.parquet"), edge)
     plan = ok._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(c_acctbal,0.0)" in plan and "c_name" not in plan
 
 
+def test_conform_reads_its_source_once(spark, sf):
+    edge = Edge("C", fields={"c_acctbal": Field("f64", "B", "B", nullable=False, min=0)})
+    customers = spark.read.parquet(f"{sf}/customer.parquet")
+    ok, failed = ops.conform(customers, edge)
+    for side in (ok, failed):
+        assert not any("customer.parquet" in f for f in side.inputFiles())
+    want = ops.conforming(customers, edge)
+    assert sorted(map(tuple, ok.collect())) == sorted(map(tuple, want.collect())) and ok.count() + failed.count() == customers.count()
+
+
 def test_field_dictionary_sketch(spark, sf):
     edge = Edge("E", fields={"value": Field("f64", "V", "V", nullable=False), "event_type": Field("utf8", "T", "T", nullable=False)})
     rows = {r.field: r for r in ops.field_dictionary(spark.read.parquet(f"{sf}/events.parquet"), edge).collect()}

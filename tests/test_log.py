@@ -85,15 +85,12 @@ def test_null_values_stay_null(spark):
 
 
 def test_scopes(spark):
-    df = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"]), (3, None)], "i int, s array<string>").withColumn(
-        "identity", src.identity("x", scopes=F.col("s")))
-    ok, refused = privacy.scope_gate(df, "a")
-    assert [r.i for r in ok.collect()] == [1] and sorted(r.i for r in refused.collect()) == [2, 3]
+    df = spark.createDataFrame([(1, ["a", "b"])], "i int, s array<string>").withColumn("identity", src.identity("x", scopes=F.col("s")))
     assert privacy.scope_narrow(df, ["read:Identity:sub"], {"Identity": "identity"}).columns == ["sub"]
 
 
 def test_retry_then_dead_letter(log):
-    tried = failure.retry(log, lambda k, p: (p["value"] <= 100 * k, p["value"]), 2)
+    tried = failure.retry_inline(log, lambda k, p: (p["value"] <= 100 * k, p["value"]), 2)
     dead = failure.dead_letter(tried)
     assert dead.count() == log.filter("payload.value > 200").count()
     assert tried.filter("succeeded").count() + dead.count() == log.count()

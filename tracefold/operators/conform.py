@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tracefold.contract import INTEGER_RANGES, TEXT, ContractError, Edge, Field, Many, Relation
 from tracefold.functions.columns import all_true
+from tracefold.functions.outcomes import settle
 
 LEVELS = ("shape", "domain")
 VIOLATION = "struct<path:string,rule:string,actual:string>"
@@ -65,12 +66,16 @@ def apply_contract(df: DataFrame, edge: Edge, keep: Iterable[str] = ()) -> DataF
     ``keep`` names further columns to carry along unchanged.  A table lacking a
     declared column is refused when the plan is built.
     """
+    return df.select(*[F.col(_quoted(k)) for k in keep], *_contract_columns(df, edge))
+
+
+def _contract_columns(df: DataFrame, edge: Edge) -> list[Column]:
     columns = []
     for name, f in edge.fields.items():
         src = _source(name, f)
         value = _typed(F.col(_quoted(src)), f, _raw_type(df.schema, src), f"{edge.name}.{name}")
         columns.append(value.alias(name, metadata=f.metadata() if isinstance(f, Field) else {}))
-    return df.select(*[F.col(_quoted(k)) for k in keep], *columns)
+    return columns
 
 
 def payload(df: DataFrame, edge: Edge) -> Column:
@@ -223,18 +228,25 @@ def is_valid(df: DataFrame, edge: Edge, level: str = "shape", column: str | None
 
 def conform(df: DataFrame, edge: Edge, level: str = "domain",
             keep: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(valid typed rows, ``Failed`` rows holding the raw input and the reasons)."""
+    """(valid typed rows, ``Failed`` rows holding the raw input and the reasons).  ``df`` is read once."""
+    return settle(*judged(df, edge, level, keep), "conform")
+
+
+def conforming(df: DataFrame, edge: Edge, level: str = "domain", keep: Iterable[str] = ()) -> DataFrame:
+    """The valid rows only, as a plain filter that reaches the scan: for readers who leave the others."""
+    return apply_contract(df.filter(is_valid(df, edge, level)), edge, keep)
+
+
+def judged(df: DataFrame, edge: Edge, level: str, keep: Iterable[str] = ()) -> tuple[DataFrame, Column, Column, Column]:
+    """What ``settle`` takes: the rows, whether one is valid, and its row on either side."""
     found, valid = _table_check(df, edge, level)
     missing = [n for n, f in edge.fields.items() if _raw_type(df.schema, _source(n, f)) is None]
     if missing:
         raise ContractError(f"{edge.name}: missing columns {missing}")
-    ok = apply_contract(df.filter(valid), edge, keep)
-    failed = (df.filter(~F.coalesce(valid, F.lit(False)))
-                .select(*[F.col(_quoted(k)) for k in keep],
-                        F.lit(edge.failed()).alias("edge"),
-                        F.struct(*[F.col(_quoted(c)) for c in df.columns]).alias("input"),
-                        found.alias("reason")))
-    return ok, failed
+    kept = [F.col(_quoted(k)) for k in keep]
+    failed = F.struct(*kept, F.lit(edge.failed()).alias("edge"), F.struct(*[F.col(_quoted(c)) for c in df.columns]).alias("input"),
+                      found.alias("reason"))
+    return df, valid, F.struct(*kept, *_contract_columns(df, edge)), failed
 
 
 # -- keys and relations -----------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracefold.contract import Edge
 from tracefold.functions.columns import all_true
+from tracefold.functions.outcomes import settle
 from tracefold.functions.ordered import Ordered
 from tracefold.operators.conform import is_valid, violations
 from tracefold.operators.nodes import PAYLOAD, collect_many
@@ -117,12 +118,12 @@ def every_checked(log: DataFrame, contracts: Mapping[str, Edge],
     opened = opened.drop(PAYLOAD)
     fine = all_true([F.col(f"`__ok_{n}`") for n in contracts])
     helpers = [f"__{k}_{n}" for n in contracts for k in ("ok", "bad")]
-    ok = opened.filter(fine).drop(*helpers)
-    failed = opened.filter(~fine).select(
+    ok = F.struct(*[F.col(f"`{c}`") for c in opened.columns if c not in helpers])
+    failed = F.struct(
         CORR, "causation_id", "step", F.lit("Failed<every>").alias("edge"),
         F.struct(F.struct(*[F.col(f"`{n}`") for n in contracts]).alias("input"),
                  F.concat(*[F.col(f"`__bad_{n}`") for n in contracts]).alias("reason")).alias(PAYLOAD))
-    return ok, failed
+    return settle(opened, fine, ok, failed, "every-checked")
 
 
 def _prefixed(found: Column, name: str) -> Column:

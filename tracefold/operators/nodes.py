@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.contract import ContractError, Edge
+from tracefold.functions.outcomes import settle
 from tracefold.operators.conform import is_valid, violations
 from tracefold.sources.log import child_envelope, with_envelope
 
@@ -124,15 +125,13 @@ def one_of(log: DataFrame, tag: Column, branches: Iterable[str], node: str,
     tagged = log.withColumn("__tag", tag)
     hit = F.coalesce(F.col("__tag").isin(*known), F.lit(False))
     hashes = F.create_map(*[x for b in known for x in (F.lit(b), F.lit(refined.spread(b).schema_hash))])
-    chosen = tagged.filter(hit).select(
-        *child_envelope(node, F.col("__tag"), hashes[F.col("__tag")]), F.col(PAYLOAD))
-    failed_edge = f"Failed<{refined.name}>"
-    failed = tagged.filter(~hit).select(
-        *child_envelope(node, F.lit(failed_edge), F.lit(None).cast("string")),
+    chosen = F.struct(*child_envelope(node, F.col("__tag"), hashes[F.col("__tag")]), F.col(PAYLOAD))
+    failed = F.struct(
+        *child_envelope(node, F.lit(refined.failed()), F.lit(None).cast("string")),
         F.struct(F.col(PAYLOAD).alias("input"),
                  F.concat(F.lit("undeclared branch "), F.coalesce(F.col("__tag"), F.lit("null"))).alias("reason"),
                  ).alias(PAYLOAD))
-    return chosen, failed
+    return settle(tagged, hit, chosen, failed, "one-of")
 
 
 def branch(chosen: DataFrame, name: str) -> DataFrame:
@@ -250,11 +249,11 @@ def erase(logs: Iterable[DataFrame], shared: list[str], into: Edge, node: str) -
 def check_output(log: DataFrame, edge: Edge, level: str = "domain") -> tuple[DataFrame, DataFrame]:
     """Split rows by whether their payload meets the output contract."""
     good = is_valid(log, edge, level, PAYLOAD)
-    ok = log.filter(good).withColumn(PAYLOAD, F.col(PAYLOAD).cast(edge.struct_type().simpleString()))
-    failed = log.filter(~F.coalesce(good, F.lit(False))).select(
+    ok = F.struct(*[F.col(PAYLOAD).cast(edge.struct_type().simpleString()).alias(PAYLOAD) if c == PAYLOAD else F.col(c) for c in log.columns])
+    failed = F.struct(
         *child_envelope("check_output", F.lit(edge.failed()), F.lit(None).cast("string")),
         F.struct(F.col(PAYLOAD).alias("input"), violations(log, edge, level, PAYLOAD).alias("reason")).alias(PAYLOAD))
-    return ok, failed
+    return settle(log, good, ok, failed, "check-output")
 
 
 def python_node(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], output: str,

@@ -7,14 +7,26 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracefold.functions.columns import joined
+from tracefold.functions.outcomes import settle
+from tracefold.sources.log import child_envelope
+
 TOKEN_PREFIX = "tok_"
 TOKEN_PATTERN = "^tok_[0-9a-f]{64}$"
 
 
-def scope_gate(df: DataFrame, required: str, scopes: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows whose identity holds the grant, rows refused for lack of it)."""
-    held = F.coalesce(F.array_contains(F.col("identity.scopes") if scopes is None else scopes, required), F.lit(False))
-    return df.filter(held), df.filter(~held).withColumn("reason", F.lit(f"missing scope {required}"))
+def scope_gate(log: DataFrame, required: str, scopes: Column | None = None, node: str = "scope_gate") -> tuple[DataFrame, DataFrame]:
+    """(log rows whose identity holds the grant, ``Failed`` rows for the others).
+
+    A refusal is a row like any other failure: caused by the refused one, with its payload as input and the
+    missing grant as reason.  The log is read once.
+    """
+    held = F.array_contains(F.col("identity.scopes") if scopes is None else scopes, required)
+    edge = F.concat(F.lit("Failed<"), F.col("edge"), F.lit(">"))
+    body = [F.col("payload").alias("input")] if "payload" in log.columns else []
+    failed = F.struct(*child_envelope(node, edge, F.lit(None).cast("string")),
+                      F.struct(*body, F.lit(f"missing scope {required}").alias("reason")).alias("payload"))
+    return settle(log, held, F.struct(*[F.col(f"`{c}`") for c in log.columns]), failed, "scope-gate")
 
 
 def scope_narrow(df: DataFrame, declared: Iterable[str], edges: Mapping[str, str]) -> DataFrame:

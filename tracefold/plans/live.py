@@ -1,36 +1,51 @@
-"""Streaming forms, run to completion over the tables and read back."""
+"""Streaming forms, fed in several batches that mix early and late rows, and read back."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracefold.plans.contracts import SOLVENT
 from tracefold.plans.fanin import FIRE
-from tracefold.plans.fixtures import LOG, read
+from tracefold.plans.fixtures import LOG, event_log, read
 from tracefold.plans.outcomes import SIGNED_SQL, signed
 from tracefold.plans.registry import query
-from tracefold.plans.sources import written_log
 from tracefold.session import scratch_path
 from tracefold.streaming import operators as ops
+from tracefold.streaming.tables import CurrentTable
 
+PARTS = 3
+DAY = 24 * 3600 * 1000
 
-def live_log(spark, sf):
-    """The written event log as a stream."""
-    path = written_log(spark, sf)
-    return ops.stream_log(spark, path, spark.read.parquet(path).schema)
 
-
-def _finish(spark, start):
-    """Run a stream to its end, with no more state partitions than twice the task slots."""
+def _few_partitions(spark, run):
+    """No more state partitions than twice the task slots."""
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
     spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
     try:
-        query = start()
+        run()
     finally:
         spark.conf.set(key, before)
-    query.awaitTermination()
+
+
+def feed(spark, rows, start, order=None, parts: int = PARTS, silence: str | None = None):
+    """Append ``rows`` in parts, and after each run the stream that ``start(stream)`` gives to the end of what is there.
+
+    ``order`` says which part a row is in (default: by a hash, so that every part spans the whole time).  ``silence`` is how long
+    the log then stays silent, which a heartbeat tells.
+    """
+    path = scratch_path(spark, "feed")
+    part = F.pmod(F.hash(*rows.columns[:1]), F.lit(parts)) if order is None else order
+
+    def run():
+        for i in range(parts):
+            rows.filter(part == i).write.mode("append").parquet(path)
+            start(ops.stream_log(spark, path, rows.schema)).awaitTermination()
+        if silence is not None:
+            last = spark.read.schema(rows.schema).parquet(path).agg(F.max("ts") + F.expr(f"INTERVAL {silence}")).first()[0]
+            ops.heartbeat(spark, path, rows.schema, last)
+            start(ops.stream_log(spark, path, rows.schema)).awaitTermination()
+    _few_partitions(spark, run)
 
 
 def _folders(spark, *names):
@@ -40,23 +55,36 @@ def _folders(spark, *names):
 @query("k1_stream_conform", """
 SELECT c_custkey AS id, c_acctbal >= 0 AS passed FROM customer""")
 def stream_conform(spark, sf):
-    schema = read(spark, sf, "customer").schema
-    stream = ops.stream_log(spark, sf, schema, pattern="customer.parquet")
-    good, bad, state = _folders(spark, "ok", "failed", "checkpoint")
-    _finish(spark, lambda: ops.stream_conform(stream, SOLVENT, good, bad, state))
-    return spark.read.parquet(good).select("id", F.lit(True).alias("passed")).unionByName(
-        spark.read.parquet(bad).select(F.col("input.c_custkey").alias("id"), F.lit(False).alias("passed")))
+    out, state = _folders(spark, "conformed", "checkpoint")
+    feed(spark, read(spark, sf, "customer"), lambda s: ops.stream_conform(s, SOLVENT, out, state))
+    ok, failed = ops.conformed(spark, out)
+    return ok.select("id", F.lit(True).alias("passed")).unionByName(
+        failed.select(F.col("input.c_custkey").alias("id"), F.lit(False).alias("passed")))
+
+
+def _fired(spark, out, edges):
+    rows = spark.read.schema(ops.every_schema(edges, "bigint")).parquet(out)
+    return rows.select("correlation_id", "step", F.col("id_0").cast("bigint").alias("signup_id"),
+                       F.col("id_1").cast("bigint").alias("purchase_id"), F.col("body_1").cast("int").alias("k"))
 
 
 @query("k2_stream_every", FIRE)
 def stream_every(spark, sf):
+    """The log in one go, then silence."""
     out, state = _folders(spark, "every", "checkpoint")
-    edges = ["signup", "purchase"]
-    _finish(spark, lambda: ops.stream_every(live_log(spark, sf), edges, out, state))
-    rows = spark.read.schema(ops.every_schema(edges, "bigint")).parquet(out)
-    return rows.select("correlation_id", "step", F.col("id_0").cast("bigint").alias("signup_id"),
-                       F.col("id_1").cast("bigint").alias("purchase_id"),
-                       F.get_json_object("body_1", "$.k").cast("int").alias("k"))
+    edges, log = ["signup", "purchase"], event_log(spark, sf)
+    feed(spark, log, lambda s: ops.stream_every(s, edges, out, state, "1 hour", DAY, F.col("payload.k")), parts=1, silence="3 DAYS")
+    return _fired(spark, out, edges)
+
+
+@query("k2_stream_every_any_order", FIRE)
+def stream_every_any_order(spark, sf):
+    """Later steps come in earlier batches: steps from 2 on, then step 0, then step 1."""
+    out, state = _folders(spark, "every", "checkpoint")
+    edges, log = ["signup", "purchase"], event_log(spark, sf)
+    order = F.when(F.col("step") >= 2, 0).when(F.col("step") == 0, 1).otherwise(2)
+    feed(spark, log, lambda s: ops.stream_every(s, edges, out, state, "40 days", DAY, F.col("payload.k")), order, silence="43 DAYS")
+    return _fired(spark, out, edges)
 
 
 @query("k3_stream_fold", f"""
@@ -65,27 +93,27 @@ SELECT corr AS correlation_id, CAST(sum({SIGNED_SQL}) AS BIGINT) AS balance, cou
 def stream_fold(spark, sf):
     out, state = _folders(spark, "fold", "checkpoint")
     aggregates = {"balance": F.sum(signed()), "instances": F.count(F.lit(1))}
-    _finish(spark, lambda: ops.stream_fold(live_log(spark, sf), ["correlation_id"], aggregates, out, state))
-    shape = T.StructType().add("correlation_id", "long").add("balance", "long").add("instances", "long")
-    return ops.newest(ops.read_batches(spark, out, shape), ["correlation_id"])
+    feed(spark, event_log(spark, sf), lambda s: ops.stream_fold(s, ["correlation_id"], aggregates, out, state, compact_after=2))
+    return CurrentTable(spark, out, ["correlation_id"]).read()
 
 
 @query("k4_stream_dedupe", "SELECT event_id AS id FROM events")
 def stream_dedupe(spark, sf):
-    """The event log with a tenth of its rows delivered twice."""
-    source, out, state = _folders(spark, "redelivered", "dedupe", "checkpoint")
+    """The event log with a tenth of its rows delivered again in a later batch."""
+    out, state = _folders(spark, "dedupe", "checkpoint")
     events = read(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
-    events.unionByName(events.filter(F.col("id") % 10 == 0)).write.parquet(source)
-    _finish(spark, lambda: ops.stream_dedupe(ops.stream_log(spark, source, events.schema), out, state, "1 hour"))
+    twice = events.withColumn("part", F.pmod(F.col("id"), F.lit(2)).cast("int")).unionByName(
+        events.filter(F.col("id") % 10 == 0).withColumn("part", F.lit(2)))
+    feed(spark, twice, lambda s: ops.stream_dedupe(s.select("id", "ts"), out, state, "40 days"), F.col("part"))
     return spark.read.schema(events.schema).parquet(out).select("id")
 
 
 @query("k5_stream_append", f"WITH {LOG} SELECT edge, count(*) AS instances, CAST(sum(k) AS BIGINT) AS k FROM log GROUP BY 1")
 def stream_append(spark, sf):
     out, state = _folders(spark, "appended", "checkpoint")
-    stream = live_log(spark, sf)
-    _finish(spark, lambda: ops.stream_append(stream, out, state))
-    return spark.read.schema(stream.schema).parquet(out).groupBy("edge").agg(
+    log = event_log(spark, sf)
+    feed(spark, log, lambda s: ops.stream_append(s, out, state))
+    return spark.read.schema(log.schema).parquet(out).groupBy("edge").agg(
         F.count(F.lit(1)).alias("instances"), F.sum("payload.k").alias("k"))
 
 
@@ -93,32 +121,32 @@ def stream_append(spark, sf):
 SELECT user_id, max(event_id) AS id, max_by(event_type, event_id) AS edge FROM events GROUP BY 1""")
 def stream_view(spark, sf):
     out, state = _folders(spark, "view", "checkpoint")
-    stream = live_log(spark, sf).select("user_id", "id", "edge")
-    _finish(spark, lambda: ops.stream_view(stream, ["user_id"], ["id"], out, state))
-    shape = T.StructType().add("user_id", "long").add("row", T.StructType().add("id", "long").add("edge", "string"))
-    return ops.newest(ops.read_batches(spark, out, shape), ["user_id"]).select("user_id", "row.id", "row.edge")
+    rows = event_log(spark, sf).select("id", "user_id", "edge")
+    feed(spark, rows, lambda s: ops.stream_view(s, ["user_id"], ["id"], out, state, compact_after=2))
+    return CurrentTable(spark, out, ["user_id"], ["id"]).read()
 
 
 @query("k7_timeout_race", f"""
 WITH {LOG}, f AS (SELECT corr, min(ts) AS start, min(ts) FILTER (edge = 'signup') AS a, min(ts) FILTER (edge = 'purchase') AS b
-  FROM log WHERE edge IN ('signup', 'purchase') GROUP BY 1),
-mark AS (SELECT max(ts) - INTERVAL 1 HOUR AS m FROM log WHERE edge IN ('signup', 'purchase'))
+  FROM log WHERE edge IN ('signup', 'purchase') GROUP BY 1)
 SELECT corr AS correlation_id, CASE WHEN greatest(a, b) <= start + INTERVAL 6 HOUR AND a IS NOT NULL AND b IS NOT NULL THEN 'Ready' ELSE 'TimedOut' END AS outcome
-FROM f, mark WHERE (a IS NOT NULL AND b IS NOT NULL) OR start + INTERVAL 6 HOUR < m""")
+FROM f""")
 def timeout_race(spark, sf):
     out, state = _folders(spark, "race", "checkpoint")
-    _finish(spark, lambda: ops.timeout_race(live_log(spark, sf), ["signup", "purchase"], 6 * 3600 * 1000, out, state, "1 hour"))
+    # a correlation's rows come in one batch: a race is decided when both edges are there
+    feed(spark, event_log(spark, sf), lambda s: ops.timeout_race(s, ["signup", "purchase"], DAY // 4, out, state, "40 days", DAY),
+         F.pmod(F.col("correlation_id"), F.lit(PARTS)), silence="43 DAYS")
     return spark.read.schema("correlation_id bigint, outcome string").parquet(out)
 
 
 @query("k8_stream_effects", f"""
 WITH {LOG}
-SELECT r.id AS request_id, s.id AS result_id FROM log r JOIN log s ON s.cause = r.id AND s.edge = 'purchase' AND s.ts >= r.ts AND s.ts <= r.ts + INTERVAL 12 HOUR
+SELECT r.id AS request_id, s.id AS result_id FROM log r LEFT JOIN log s ON s.cause = r.id AND s.edge = 'purchase' AND s.ts >= r.ts AND s.ts <= r.ts + INTERVAL 12 HOUR
 WHERE r.edge = 'view'""")
 def stream_effects(spark, sf):
+    """Views as requests, purchases as results; a request nobody answered comes out alone once silence proves it."""
     out, state = _folders(spark, "effects", "checkpoint")
-    log = live_log(spark, sf)
-    _finish(spark, lambda: ops.stream_effects(log.filter(F.col("edge") == "view"), log.filter(F.col("edge") == "purchase"), "12 HOURS", "1 hour",
-                       out, state, how="inner"))
+    feed(spark, event_log(spark, sf), lambda s: ops.stream_effects(
+        s, F.col("edge") == "view", F.col("edge") == "purchase", "12 HOURS", "40 days", out, state), silence="43 DAYS")
     return spark.read.schema("request_id bigint, request_ts timestamp, result_id bigint, result_ts timestamp").parquet(
         out).select("request_id", "result_id")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tracefold.contract import Edge, Field
 from tracefold.functions.columns import cents
 from tracefold.operators import failure, state
+from tracefold.operators.boundary import boundary as run_boundary
 from tracefold.operators.nodes import Node
-from tracefold.plans.fixtures import EVENTS, LOG, PLACED, event_log, placed, read
+from tracefold.plans.fixtures import EVENT, EVENTS, LOG, PLACED, event_log, placed, read
 from tracefold.plans.registry import query
 
 RATIO = Edge("Ratio", "Ratio", "Value over a remainder", {"ratio": Field("f64", "Ratio", "Ratio", nullable=False)})
@@ -29,12 +30,37 @@ SELECT CAST(id AS VARCHAR) AS causation_id, CASE WHEN k % 3 = 0 THEN 'Failed<vie
        CASE WHEN k % 3 <> 0 THEN value / (k % 3) END AS ratio, CASE WHEN k % 3 = 0 THEN 'no value for ratio' END AS reason
 FROM log WHERE edge = 'view'""")
 def guard(spark, sf):
-    node = Node("ratio", EVENTS["view"], RATIO, lambda p: {"ratio": F.try_divide(p["value"], p["k"] % 3)})
+    node = Node("ratio", EVENTS["view"], RATIO, lambda p: {"ratio": p["value"] / (p["k"] % 3)})
     ok, failed = failure.guard(node, event_log(spark, sf))
     return ok.select("causation_id", "edge", "payload.ratio", F.lit(None).cast("string").alias("reason")).unionByName(
         failed.select("causation_id", "edge", F.lit(None).cast("double").alias("ratio"), "payload.reason"))
 
 
+MODEST = Edge("Modest", "Modest event", "An event of at most 150", {
+    "value": Field("f64", "Value", "Amount", nullable=False, max=150), "k": EVENTS["view"].fields["k"]})
+SMALL_RATIO = Edge("SmallRatio", "Ratio", "Value over a remainder", {"ratio": Field("f64", "Ratio", "Ratio", nullable=False, max=60)})
+
+
+@query("e2_boundary", f"""
+WITH {LOG}, staged AS (
+  SELECT *, CASE WHEN user_id % 5 = 0 THEN 'scope' WHEN value > 150 THEN 'input' WHEN k % 3 = 0 THEN 'body' WHEN value / (k % 3) > 60 THEN 'output' END AS stage
+  FROM log WHERE edge = 'view')
+SELECT CAST(id AS VARCHAR) AS causation_id, step + 1 AS step, CASE WHEN stage IS NULL THEN 'SmallRatio' ELSE 'Failed<Modest>' END AS edge, stage,
+       CASE WHEN stage IS NULL THEN value / (k % 3) END AS ratio, CASE WHEN stage IS NOT NULL THEN value END AS input,
+       CASE stage WHEN 'scope' THEN 'missing scope read' WHEN 'body' THEN 'no value for ratio' END AS reason FROM staged""")
+def boundary(spark, sf):
+    """Every stage of the boundary stops some rows; the body divides plainly."""
+    views = event_log(spark, sf).filter(F.col("edge") == "view").withColumn("edge", F.lit("Modest"))
+    grants = F.when(F.col("user_id") % 5 != 0, F.array(F.lit("read"))).otherwise(F.array().cast("array<string>"))
+    node = Node("ratio", MODEST, SMALL_RATIO, lambda p: {"ratio": p["value"] / (p["k"] % 3)})
+    ok, failed = run_boundary(node, views.withColumn("identity", F.col("identity").withField("scopes", grants)), scope="read")
+    text = F.lit(None).cast("string")
+    return ok.select("causation_id", "step", "edge", text.alias("stage"), "payload.ratio", F.lit(None).cast("double").alias("input"),
+                     text.alias("reason")).unionByName(
+        failed.select("causation_id", "step", "edge", "payload.stage", F.lit(None).cast("double").alias("ratio"), F.col("payload.input.value").alias("input"),
+                      F.when(F.col("payload.stage").isin("scope", "body"), F.col("payload.reason")).alias("reason")))
+
+
 @query("e3_fail_where", f"""
 WITH {LOG}
 SELECT id, CASE WHEN value > 100 THEN 'Failed<purchase>' ELSE 'purchase' END AS edge, CASE WHEN value > 100 THEN 'too much' END AS reason
@@ -46,23 +72,51 @@ def fail_where(spark, sf):
         failed.select(F.col("causation_id").cast("bigint").alias("id"), "edge", "payload.reason"))
 
 
+EVENT_K = Edge("Retried", "Retried", "A counter that another attempt gave", {"k": Field("uint8", "K", "Counter", nullable=False)})
+
+
 def retried(spark, sf):
-    """Events above 50 tried again with bounds 100, 200, 300."""
-    failed = event_log(spark, sf).filter(F.col("payload.value") > 50)
-    return failure.retry(failed, lambda k, p: (p["value"] <= 100 * k, p["k"] + k), 3)
+    """Events above 50 fail, and are tried again with bounds 100, 200 and 300."""
+    failed = failure.failed_rows(event_log(spark, sf).filter(F.col("payload.value") > 50), EVENT, F.lit("above 50"), "limit")
+    node = Node("again", EVENT, EVENT_K, lambda p, attempt: {"k": F.when(p["value"] <= 100 * attempt, p["k"] + attempt)})
+    return failure.retry(failed, node, 3)
+
+
+def _hop(k: int) -> str:
+    return f"sha256(f{k - 1} || CASE WHEN value <= {100 * k} THEN '|again|Retried|0' ELSE '|again|Failed<Event>|0' END) AS f{k}"
 
 
-@query("e4_retry", """
-SELECT event_id AS id, CASE WHEN value <= 100 THEN 1 WHEN value <= 200 THEN 2 ELSE 3 END AS attempts, value <= 300 AS succeeded,
-       CASE WHEN value <= 100 THEN 1 WHEN value <= 200 THEN 2 WHEN value <= 300 THEN 3 END
-         + CAST(regexp_extract(props, '[0-9]+') AS INT) AS result FROM events WHERE value > 50""")
+TRIED = f"""{LOG}, t0 AS (SELECT step, value, k, sha256(id || '|limit|Failed<Event>|0') AS f0 FROM log WHERE value > 50),
+t1 AS (SELECT *, {_hop(1)} FROM t0), t2 AS (SELECT *, {_hop(2)} FROM t1), t3 AS (SELECT *, {_hop(3)} FROM t2)"""
+
+
+def _tries(k: int) -> str:
+    return f"""SELECT f{k} AS id, f{k - 1} AS causation_id, step + {k + 1} AS step, CASE WHEN value <= {100 * k} THEN 'Retried' ELSE 'Failed<Event>' END AS edge,
+       CASE WHEN value <= {100 * k} THEN k + {k} END AS k, CASE WHEN value > {100 * k} THEN 'attempt {k}: no value for k' END AS reason
+FROM t3 WHERE value > {100 * (k - 1)}"""
+
+
+@query("e4_retry", f"WITH {TRIED} {' UNION ALL '.join(map(_tries, (1, 2, 3)))}")
 def retry(spark, sf):
-    return retried(spark, sf).select("id", "attempts", "succeeded", "result")
+    """Every attempt as a log row, with what caused it."""
+    _, attempts, _ = retried(spark, sf)
+    return attempts.select("id", "causation_id", "step", "edge", F.try_variant_get("payload", "$.k", "int").alias("k"),
+                           F.try_variant_get("payload", "$.reason", "string").alias("reason"))
 
 
-@query("e5_dead_letter", "SELECT event_id AS id, 3 AS attempts FROM events WHERE value > 300")
+@query("e4_retry_outputs", f"""
+WITH {TRIED}
+SELECT CASE WHEN value <= 100 THEN f1 WHEN value <= 200 THEN f2 ELSE f3 END AS id, CASE WHEN value <= 100 THEN 1 WHEN value <= 200 THEN 2 ELSE 3 END AS attempts
+FROM t3 WHERE value <= 300""")
+def retry_outputs(spark, sf):
+    worked, _, _ = retried(spark, sf)
+    return worked.select("id", "attempts")
+
+
+@query("e5_dead_letter", f"WITH {TRIED} SELECT f3 AS id, f2 AS causation_id, value FROM t3 WHERE value > 300")
 def dead_letter(spark, sf):
-    return failure.dead_letter(retried(spark, sf)).select("id", "attempts")
+    _, _, dead = retried(spark, sf)
+    return dead.select("id", "causation_id", "payload.input.value")
 
 
 @query("e6_unhandled_failures", f"""
@@ -73,12 +127,15 @@ def unhandled_failures(spark, sf):
 
 
 @query("e7_failure_stats", f"""
-WITH {LOG}
-SELECT day(ts) AS day, edge, count(*) AS instances, CAST(sum(CASE WHEN value > 100 THEN 1 ELSE 0 END) AS BIGINT) AS failures,
-       grouping(day(ts)) * 2 + grouping(edge) AS level FROM log GROUP BY ROLLUP (day(ts), edge)""")
+WITH {LOG}, r AS (SELECT day(ts) AS d, edge, CASE WHEN value > 100 THEN 'remainder ' || (k % 3) END AS reason, count(*) AS n FROM log GROUP BY 1, 2, 3),
+g AS (SELECT d, edge, grouping(d) * 2 + grouping(edge) AS level, reason, sum(n) AS n FROM r GROUP BY GROUPING SETS ((d, edge, reason), (d, reason), (reason))),
+s AS (SELECT d AS day, edge, level, CAST(sum(n) AS BIGINT) AS instances, CAST(coalesce(sum(n) FILTER (reason IS NOT NULL), 0) AS BIGINT) AS failures,
+             arg_min(reason, {{'n': -n, 'r': reason}}) FILTER (reason IS NOT NULL) AS reason FROM g GROUP BY 1, 2, 3)
+SELECT *, failures * 1000000 // instances AS rate FROM s""")
 def failure_stats(spark, sf):
     log = event_log(spark, sf).withColumn("day", F.dayofmonth("ts"))
-    return failure.failure_stats(log, F.col("payload.value") > 100, ["day", "edge"])
+    reason = F.concat(F.lit("remainder "), (F.col("payload.k") % 3).cast("string"))
+    return failure.failure_stats(log, F.col("payload.value") > 100, ["day", "edge"], reason)
 
 
 def signed():

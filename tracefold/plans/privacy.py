@@ -17,13 +17,18 @@ def people(spark, sf):
     return read(spark, sf, "customer").withColumn("identity", who)
 
 
-@query("i1_scope_gate", """
-SELECT c_custkey AS id, c_mktsegment = 'MACHINERY' AS passed,
-       CASE WHEN c_mktsegment <> 'MACHINERY' THEN 'missing scope read:Person:machinery' END AS reason FROM customer""")
+@query("i1_scope_gate", f"""
+WITH {LOG}
+SELECT CASE WHEN edge = 'purchase' THEN CAST(id AS VARCHAR) ELSE sha256(id || '|scope_gate|Failed<' || edge || '>|0') END AS id,
+       CASE WHEN edge = 'purchase' THEN edge ELSE 'Failed<' || edge || '>' END AS edge, corr AS correlation_id,
+       CASE WHEN edge = 'purchase' THEN step ELSE step + 1 END AS step, value,
+       CASE WHEN edge <> 'purchase' THEN 'missing scope read:Event:purchase' END AS reason FROM log""")
 def scope_gate(spark, sf):
-    ok, refused = ops.scope_gate(people(spark, sf), "read:Person:machinery")
-    return ok.select(F.col("c_custkey").alias("id"), F.lit(True).alias("passed"), F.lit(None).cast("string").alias("reason")
-                     ).unionByName(refused.select(F.col("c_custkey").alias("id"), F.lit(False).alias("passed"), "reason"))
+    """Events behind the grant to read purchases; each event's identity holds the grant for its own kind."""
+    ok, refused = ops.scope_gate(event_log(spark, sf), "read:Event:purchase")
+    return ok.select(F.col("id").cast("string").alias("id"), "edge", "correlation_id", "step", "payload.value",
+                     F.lit(None).cast("string").alias("reason")).unionByName(
+        refused.select("id", "edge", "correlation_id", "step", "payload.input.value", "payload.reason"))
 
 
 @query("i2_scope_narrow", "SELECT c_name AS sub FROM customer")

@@ -12,49 +12,93 @@ from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+HELD = "array<struct<edge:int,step:int,micros:bigint,id:string,body:string>>"
+
+
+def ceil_ms(micros: int) -> int:
+    return -(-micros // 1000)
+
+
 class EveryProcessor(StatefulProcessor):
-    """Fires once, at the first step at which every edge has been seen.
+    """Fires once, with what stood at the first step at which every edge has been seen, in whatever order rows arrive.
 
-    State: a fired flag, then (step, id, body) of the latest row per edge.
-    Batches are taken to follow the order of steps; inside one batch rows may
-    come in any order.  Rows of one batch are held until the correlation fires,
-    so the trigger's input limit bounds the memory of a busy correlation.
+    State: whether it fired, the timer set, and the rows still needed.  Once all edges are there, a timer waits until the
+    watermark passes the firing row: then no row of an earlier step can arrive any more.  Until an edge is there, of
+    the rows behind the watermark only the last per edge is held, so the state of a busy correlation spans the delay.
+    With ``lifetime_ms`` a correlation's state leaves that long after its firing, or after its last row.
     """
 
-    def __init__(self, edges: tuple[str, ...], ttl_ms: int | None):
-        self.edges, self.ttl_ms = edges, ttl_ms
+    def __init__(self, edges: tuple[str, ...], lifetime_ms: int | None):
+        self.edges, self.lifetime_ms = {e: i for i, e in enumerate(edges)}, lifetime_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        columns = ", ".join(f"step_{i} int, id_{i} string, body_{i} string" for i in range(len(self.edges)))
-        self.state = handle.getValueState("state", f"fired boolean, {columns}", self.ttl_ms)
+        self.handle = handle
+        self.state = handle.getValueState("state", f"fired boolean, timer bigint, held {HELD}")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         before = self.state.get()
         if before is not None and before[0]:
             return
-        seen: dict[str, list[tuple]] = {}
-        if before is not None:
-            for i, edge in enumerate(self.edges):
-                if before[3 * i + 1] is not None:
-                    seen[edge] = [tuple(before[3 * i + 1:3 * i + 4])]
-        firsts = {edge: found[0][0] for edge, found in seen.items()}
-        fire = None
-        for row in rows:
-            if fire is not None and row.step > fire:
-                continue
-            seen.setdefault(row.edge, []).append((row.step, row.id, row.body))
-            firsts[row.edge] = min(row.step, firsts.get(row.edge, row.step))
-            if len(firsts) == len(self.edges):
-                fire = max(firsts.values())  # more rows can only make it smaller
+        timer, held = (None, []) if before is None else (before[1], [tuple(r) for r in before[2]])
+        held += [(self.edges[r.edge], r.step, r.micros, r.id, r.body) for r in rows]
+        watermark = timerValues.getCurrentWatermarkInMs()
+        fire = self._firing(held)
         if fire is None:
-            last = {edge: max(found, key=lambda r: r[:2]) for edge, found in seen.items()}
-            self.state.update((False, *[v for e in self.edges for v in last.get(e, (None, None, None))]))
+            held = self._last_behind(held, watermark * 1000)
+            due = None if self.lifetime_ms is None else ceil_ms(max(r[2] for r in held)) + self.lifetime_ms
+        else:
+            held = [r for r in held if r[1] <= fire[1]]
+            due = ceil_ms(fire[2])
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is not None and due <= watermark:
+            yield from self._settle(key, held, fire, watermark)
             return
-        self.state.update((True, *[None] * (3 * len(self.edges))))
-        out = {"correlation_id": key[0], "step": fire}
-        for i, edge in enumerate(self.edges):
-            at, row_id, body = max((r for r in seen[edge] if r[0] <= fire), key=lambda r: r[:2])
-            out |= {f"id_{i}": row_id, f"step_{i}": at, f"body_{i}": body}
+        self.state.update((False, due, held))
+        if due is not None and due != timer:
+            self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        before = self.state.get()
+        if before is None:
+            return
+        if before[0]:
+            self.state.clear()
+            return
+        held = [tuple(r) for r in before[2]]
+        yield from self._settle(key, held, self._firing(held), timerValues.getCurrentWatermarkInMs())
+
+    def _firing(self, held: list[tuple]) -> tuple | None:
+        """The row with which the last missing edge first arrives."""
+        firsts: dict[int, tuple] = {}
+        for r in held:
+            if r[0] not in firsts or r[1:3] < firsts[r[0]][1:3]:
+                firsts[r[0]] = r
+        return max(firsts.values(), key=lambda r: r[1:3]) if len(firsts) == len(self.edges) else None
+
+    def _last_behind(self, held: list[tuple], micros: int) -> list[tuple]:
+        last: dict[int, tuple] = {}
+        for r in held:
+            if r[2] <= micros and (r[0] not in last or (r[1], r[3]) > (last[r[0]][1], last[r[0]][3])):
+                last[r[0]] = r
+        return [*last.values(), *[r for r in held if r[2] > micros]]
+
+    def _settle(self, key, held: list[tuple], fire: tuple | None, watermark: int) -> Iterator[Row]:
+        """Emit a firing; keep the flag for the rest of the lifetime, if it is not over."""
+        if fire is None:
+            self.state.clear()
+            return
+        over = None if self.lifetime_ms is None else ceil_ms(fire[2]) + self.lifetime_ms
+        if over is not None and over <= watermark:
+            self.state.clear()
+        else:
+            self.state.update((True, over, []))
+            if over is not None:
+                self.handle.registerTimer(over)
+        out = {"correlation_id": key[0], "step": fire[1]}
+        for edge in self.edges.values():
+            _, at, _, row_id, body = max((r for r in held if r[0] == edge and r[1] <= fire[1]), key=lambda r: (r[1], r[3]))
+            out |= {f"id_{edge}": row_id, f"step_{edge}": at, f"body_{edge}": body}
         yield Row(**out)
 
     def close(self) -> None:
@@ -64,11 +108,12 @@ class EveryProcessor(StatefulProcessor):
 class TimeoutProcessor(StatefulProcessor):
     """Decides each correlation once: Ready in time, or TimedOut at the deadline.
 
-    State: a decided flag, then the first arrival (microseconds) per edge.
+    State: a decided flag, then the first arrival (microseconds) per edge.  With ``lifetime_ms`` the flag leaves that
+    long after the span has ended.
     """
 
-    def __init__(self, edges: tuple[str, ...], within_ms: int):
-        self.edges, self.within_ms = edges, within_ms
+    def __init__(self, edges: tuple[str, ...], within_ms: int, lifetime_ms: int | None = None):
+        self.edges, self.within_ms, self.lifetime_ms = edges, within_ms, lifetime_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -88,9 +133,9 @@ class TimeoutProcessor(StatefulProcessor):
             self.handle.deleteTimer(timer)
         if len(firsts) == len(self.edges):
             in_time = max(firsts.values()) - min(firsts.values()) <= self.within_ms * 1000
-            yield self._decide(key, "Ready" if in_time else "TimedOut")
+            yield self._decide(key, "Ready" if in_time else "TimedOut", closes, timerValues)
         elif closes <= timerValues.getCurrentWatermarkInMs():
-            yield self._decide(key, "TimedOut")
+            yield self._decide(key, "TimedOut", closes, timerValues)
         else:
             self.state.update((False, *[firsts.get(e) for e in self.edges]))
             if timer != closes:
@@ -98,14 +143,25 @@ class TimeoutProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         before = self.state.get()
-        if before is not None and not before[0]:
-            yield self._decide(key, "TimedOut")
+        if before is None:
+            return
+        if before[0]:
+            self.state.clear()
+            return
+        closes = self._closes({e: v for e, v in zip(self.edges, before[1:]) if v is not None})
+        yield self._decide(key, "TimedOut", closes, timerValues)
 
     def _closes(self, firsts: dict[str, int]) -> int:
-        return -(-min(firsts.values()) // 1000) + self.within_ms
+        return ceil_ms(min(firsts.values())) + self.within_ms
 
-    def _decide(self, key, outcome: str) -> Row:
-        self.state.update((True, *[None] * len(self.edges)))
+    def _decide(self, key, outcome: str, closes: int, timerValues) -> Row:
+        over = None if self.lifetime_ms is None else closes + self.lifetime_ms
+        if over is not None and over <= timerValues.getCurrentWatermarkInMs():
+            self.state.clear()
+        else:
+            self.state.update((True, *[None] * len(self.edges)))
+            if over is not None:
+                self.handle.registerTimer(over)
         return Row(correlation_id=key[0], outcome=outcome)
 
     def close(self) -> None:
