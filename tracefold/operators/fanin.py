@@ -149,16 +149,22 @@ def each(log: DataFrame, edge: str) -> DataFrame:
 # -- relations --------------------------------------------------------------
 
 def lookup(df: DataFrame, key: str, other: DataFrame, other_key: str) -> tuple[DataFrame, DataFrame]:
-    """many:1 enrichment: (matched rows, Failed rows without a match).
+    """many:1 enrichment: (matched rows, Failed rows whose key has no match, or more than one).
 
+    One left join decides both sides.  The other side is reduced to a row per key before it meets the join, so a key
+    that is there several times cannot multiply a row: it is a broken relation, and the reason says so.
     Whether the other side is broadcast is left to Spark's own size check.
     """
-    matched = df.join(other, df[key] == other[other_key])
-    unmatched = df.join(other, df[key] == other[other_key], "left_anti")
-    failed = unmatched.select(
-        F.struct(*[F.col(c) for c in df.columns]).alias("input"),
-        F.concat(F.lit(f"no match for {key}="), F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias("reason"))
-    return matched, failed
+    theirs = F.struct(*[F.col(f"`{c}`") for c in other.columns])
+    single = (other.filter(F.col(other_key).isNotNull()).groupBy(F.col(other_key).alias("__key"))
+              .agg(F.first(theirs).alias("__row"), F.count(F.lit(1)).alias("__found")))
+    both = df.join(single, F.col(key) == F.col("__key"), "left")
+    shown = F.concat(F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    reason = F.when(F.col("__found").isNull(), F.concat(F.lit("no match for "), shown)).otherwise(
+        F.concat(F.col("__found").cast("string"), F.lit(" matches for "), shown))
+    mine = [F.col(f"`{c}`") for c in df.columns]
+    ok = F.struct(*mine, *[F.col("__row")[c].alias(c) for c in other.columns])
+    return settle(both, F.col("__found") == 1, ok, F.struct(F.struct(*mine).alias("input"), reason.alias("reason")), "lookup")
 
 
 def lookup_many(df: DataFrame, key: str, other: DataFrame, other_key: str, order: list[str],

@@ -78,19 +78,39 @@ def compose(name: str, *nodes: Node) -> Node:
 def pipe(log: DataFrame, *nodes: Node, opaque: bool = False) -> DataFrame:
     """Run nodes in sequence.  Every stage is logged, or only the last if ``opaque``.
 
-    Neighbours must fit by shape; names may differ, since the wire is explicit.
+    Neighbours must fit by shape; names may differ, since the wire is explicit.  The input is read once: each row carries
+    its stages along and is then unfolded into one row per stage.
     """
     _check_wires(nodes)
-    stages = [apply(nodes[0], log)]
-    for node in nodes[1:]:
-        stages.append(apply(node, stages[-1], wired=True))
-    current = stages[-1]
+    current = log.filter(F.col("edge") == nodes[0].input.name)
+    stages: list[str] = []
+    for i, node in enumerate(nodes):
+        body = node.payload(F.col(PAYLOAD))
+        row = F.struct(*child_envelope(node.name, F.lit(node.output.name), F.lit(node.output.schema_hash), impl_version=node.version),
+                       *([] if body is None else [body.alias(PAYLOAD)]))
+        name = f"__stage_{i}"
+        current = current.select(*stages, row.alias(name)).select(*stages, name, f"{name}.*")
+        stages.append(name)
     if opaque:
-        return current
-    whole = stages[0]
-    for stage in stages[1:]:
-        whole = whole.unionByName(stage, allowMissingColumns=True)
-    return whole
+        return current.select(f"{stages[-1]}.*")
+    return current.select(F.inline(F.array(*_alike(current, stages, nodes))))
+
+
+def _alike(df: DataFrame, stages: list[str], nodes) -> list[Column]:
+    """The stages' rows as structs of one type; payloads of different shapes become VARIANT."""
+    shapes = {df.schema[s].dataType[PAYLOAD].dataType.simpleString() for s, n in zip(stages, nodes) if n.output.fields}
+    envelope = [f.name for f in df.schema[stages[0]].dataType.fields if f.name != PAYLOAD]
+    if not shapes:
+        return [F.col(s) for s in stages]
+    kind = shapes.pop() if len(shapes) == 1 else "variant"
+    out = []
+    for s, n in zip(stages, nodes):
+        if not n.output.fields:
+            body = F.lit(None).cast(kind)
+        else:
+            body = F.to_variant_object(F.col(s)[PAYLOAD]) if kind == "variant" else F.col(s)[PAYLOAD]
+        out.append(F.struct(*[F.col(s)[c].alias(c) for c in envelope], body.alias(PAYLOAD)))
+    return out
 
 
 def repeat(node: Node, log: DataFrame, n: int) -> DataFrame:

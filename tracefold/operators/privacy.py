@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.functions.columns import joined
 from tracefold.functions.outcomes import settle
 from tracefold.sources.log import child_envelope
 
 TOKEN_PREFIX = "tok_"
-TOKEN_PATTERN = "^tok_[0-9a-f]{64}$"
+TOKEN_PATTERN = "^tok_[A-Za-z0-9]{1,32}_[0-9a-f]{64}$"
 
 
 def scope_gate(log: DataFrame, required: str, scopes: Column | None = None, node: str = "scope_gate") -> tuple[DataFrame, DataFrame]:
@@ -62,17 +64,48 @@ def exit_filter(df: DataFrame, grants: DataFrame, on: list[str]) -> DataFrame:
 
 # -- redaction --------------------------------------------------------------
 
-def token(field: str, value: Column, salt: str) -> Column:
-    """Deterministic keyed token of one value; null stays null."""
-    text = F.concat_ws("|", F.lit(salt), F.lit(field), value.cast("string"))
-    return F.when(value.isNotNull(), F.concat(F.lit(TOKEN_PREFIX), F.sha2(text, 256)))
+@dataclass(frozen=True)
+class Key:
+    """A secret for tokens and its public name, which every token made with it carries."""
 
+    secret: str
+    name: str = "k1"
 
-def redact(df: DataFrame, fields: Iterable[str], salt: str,
+    def __post_init__(self):
+        if not re.fullmatch("[A-Za-z0-9]{1,32}", self.name):
+            raise ValueError(f"a key's name is letters and digits, not {self.name!r}")
+
+    def pads(self) -> tuple[bytes, bytes]:
+        """The inner and outer key blocks of HMAC-SHA256 (RFC 2104)."""
+        raw = self.secret.encode()
+        block = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+        return bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
+
+
+def mac(message: Column, key: Key) -> Column:
+    """HMAC-SHA256 of a binary column, as lower-case hex."""
+    inner, outer = (F.lit(bytearray(pad)) for pad in key.pads())
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
+
+
+def prefixed(*parts: Column) -> Column:
+    """The parts one after the other, each behind its number of bytes: different parts never give the same bytes."""
+    texts = [p.cast("string") for p in parts]
+    return F.concat(*[F.concat(F.octet_length(t).cast("string"), F.lit(":"), t) for t in texts]).cast("binary")
+
+
+def token(field: str, value: Column, key: Key | str) -> Column:
+    """Deterministic token of one value under a key, ``tok_<key name>_<hex>``; null stays null."""
+    key = Key(key) if isinstance(key, str) else key
+    return F.when(value.isNotNull(), F.concat(F.lit(f"{TOKEN_PREFIX}{key.name}_"), mac(prefixed(F.lit(field), value), key)))
+
+
+def redact(df: DataFrame, fields: Iterable[str], salt: Key | str,
            namespaces: Mapping[str, str] | None = None, subject: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(table with tokens, token map).  The map stays in the caller's zone.
 
-    Fields sharing a namespace share tokens, which allows equality joins.
+    Fields sharing a namespace share tokens, which allows equality joins.  ``salt`` is the key; a new key gives new tokens, and
+    those made with an older one still resolve while their map rows are kept, since each names its key.
     With ``subject`` (a column that names whose data a row is) the map has a row
     per subject, so that one subject's values can go and equal ones of others stay.
     """

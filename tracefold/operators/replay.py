@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from tracefold.operators.nodes import PAYLOAD, Node, apply
 from tracefold.session import materialize
 
 CORR = "correlation_id"
+#: A frontier of more than one in FEW links, or one that has gone STEPS links deep, is followed by doubling.
+FEW, STEPS = 16, 32
 
 
 def replay(log: DataFrame, node: Node, inputs: Column | None = None) -> DataFrame:
@@ -91,31 +94,44 @@ def descendants(log: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def _closure(log: DataFrame, seeds: DataFrame, up: bool) -> DataFrame:
-    """Distance doubling: a chain of depth d needs log2(d) joins, not d."""
-    links = log.filter(F.col("causation_id").isNotNull()).select("id", F.col("causation_id").cast(
-        log.schema["id"].dataType).alias("above"))
-    jump = materialize(links, "jump")
-    pieces = [materialize(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")), "reach")]
-    left, k = jump.count(), 0
+    """Step by step from few seeds, by doubling from many.
+
+    A step joins what was reached last with the links, so its cost follows the seeds: the links are scanned, and only a frontier
+    that is itself large is shuffled.  Where the frontier is a large part of the log, or has walked STEPS links, jumps
+    are doubled instead: a chain of depth d then needs log2(d) joins.  Both give the same rows.
+    """
+    links = materialize(log.filter(F.col("causation_id").isNotNull()).select("id", F.col("causation_id").cast(
+        log.schema["id"].dataType).alias("above")), "links")
+    all_links, steps = links.count(), 0
+    frontier = materialize(seeds.select(F.col("id").alias("seed")).distinct().select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth")), "reach")
+    pieces, moving = [frontier], frontier.count()
+    while moving and moving * FEW <= all_links and steps < STEPS:
+        frontier = materialize(_hop(frontier, links, up, 1), "reach")
+        pieces.append(frontier)
+        moving, steps = frontier.count(), steps + 1
+    if moving:
+        pieces = [*pieces[:-1], *_doubled(links, frontier, up)]
+    return reduce(DataFrame.unionByName, pieces)
+
+
+def _hop(reach: DataFrame, jump: DataFrame, up: bool, far: int) -> DataFrame:
+    here, there = ("id", "above") if up else ("above", "id")
+    hop = jump.select(F.col(here).alias("__at"), F.col(there).alias("__to"))
+    return reach.join(hop, reach["id"] == hop["__at"]).select("seed", F.col("__to").alias("id"), (F.col("depth") + far).alias("depth"))
+
+
+def _doubled(jump: DataFrame, start: DataFrame, up: bool) -> list[DataFrame]:
+    """Everything reached from ``start``, by jumps that double in every round."""
+    pieces, left, k = [start], jump.count(), 0
     while left:
-        reach = pieces[0]
-        for piece in pieces[1:]:
-            reach = reach.unionByName(piece)
-        here, there = ("id", "above") if up else ("above", "id")
-        hop = jump.select(F.col(here).alias("__at"), F.col(there).alias("__to"))
-        pieces.append(materialize(
-            reach.join(hop, reach["id"] == hop["__at"])
-                 .select("seed", F.col("__to").alias("id"), (F.col("depth") + (1 << k)).alias("depth")), "reach"))
+        pieces.append(materialize(_hop(reduce(DataFrame.unionByName, pieces), jump, up, 1 << k), "reach"))
         upper = jump.select(F.col("id").alias("above"), F.col("above").alias("__up"))
         jump = materialize(jump.join(upper, "above").select("id", F.col("__up").alias("above")), "jump")
         # Rows near a root drop out in every round, unless there is no root.
         before, left, k = left, jump.count(), k + 1
         if left >= before:
             raise ValueError("causes contain a cycle")
-    whole = pieces[0]
-    for piece in pieces[1:]:
-        whole = whole.unionByName(piece)
-    return whole
+    return pieces
 
 
 def check_causation(log: DataFrame) -> DataFrame:

@@ -161,15 +161,10 @@ SELECT corr AS correlation_id, s AS step, CASE s WHEN 3 THEN 'expect_12' ELSE 'b
        CASE s WHEN 3 THEN NULL ELSE size + s END AS size, CASE s WHEN 3 THEN size + 2 = 12 END AS passed
 FROM sized, (VALUES (1), (2), (3)) v(s)""")
 def pipe(spark, sf):
-    stages = []
-    current = sized(spark, sf)
-    for node, cols in ((BIRTHDAY, ("payload.size", None)), (BIRTHDAY, ("payload.size", None)),
-                       (EXPECT_12, (None, "payload.passed"))):
-        current = ops.pipe(current, node)
-        size, passed = (F.lit(None) if c is None else F.col(c) for c in cols)
-        stages.append(current.select("correlation_id", "step", "node", size.cast("int").alias("size"),
-                                     passed.cast("boolean").alias("passed")))
-    return stages[0].unionByName(stages[1]).unionByName(stages[2])
+    """Two birthdays and an expectation over one reading of the parts."""
+    rows = ops.pipe(sized(spark, sf), BIRTHDAY, BIRTHDAY, EXPECT_12)
+    return rows.select("correlation_id", "step", "node", F.try_variant_get("payload", "$.size", "int").alias("size"),
+                       F.try_variant_get("payload", "$.passed", "boolean").alias("passed"))
 
 
 @query("c12_parallel", """

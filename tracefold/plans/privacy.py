@@ -9,7 +9,15 @@ from tracefold.plans.fixtures import LOG, event_log, read
 from tracefold.plans.registry import query
 from tracefold.sources.log import identity
 
-SALT = "s1"
+SALT = ops.Key("s1")
+
+
+def token_sql(field: str, value: str) -> str:
+    """The token in SQL: HMAC-SHA256 over length-prefixed parts."""
+    inner, outer = (pad.hex() for pad in SALT.pads())
+    return (f"'tok_k1_' || sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || "
+            f"encode('{len(field)}:{field}' || strlen({value}) || ':' || {value}))))")
+
 
 
 def people(spark, sf):
@@ -59,15 +67,15 @@ def redacted(spark, sf):
 
 
 @query("i5_redact", f"""
-SELECT c_custkey, 'tok_' || sha256('{SALT}|c_name|' || c_name) AS c_name, 'tok_' || sha256('{SALT}|c_mktsegment|' || c_mktsegment) AS c_mktsegment
+SELECT c_custkey, {token_sql("c_name", "c_name")} AS c_name, {token_sql("c_mktsegment", "c_mktsegment")} AS c_mktsegment
 FROM customer""")
 def redact(spark, sf):
     return redacted(spark, sf)[0]
 
 
 @query("i5_token_map", f"""
-SELECT DISTINCT 'tok_' || sha256('{SALT}|c_name|' || c_name) AS token, 'c_name' AS field, c_name AS value FROM customer
-UNION ALL SELECT DISTINCT 'tok_' || sha256('{SALT}|c_mktsegment|' || c_mktsegment), 'c_mktsegment', c_mktsegment FROM customer""")
+SELECT DISTINCT {token_sql("c_name", "c_name")} AS token, 'c_name' AS field, c_name AS value FROM customer
+UNION ALL SELECT DISTINCT {token_sql("c_mktsegment", "c_mktsegment")}, 'c_mktsegment', c_mktsegment FROM customer""")
 def token_map(spark, sf):
     return redacted(spark, sf)[1]
 
@@ -79,7 +87,7 @@ def rehydrate(spark, sf):
 
 
 @query("i7_token_join", f"""
-SELECT 'tok_' || sha256('{SALT}|name|' || c_name) AS name, c_custkey AS id, count(*) AS orders
+SELECT {token_sql("name", "c_name")} AS name, c_custkey AS id, count(*) AS orders
 FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2""")
 def token_join(spark, sf):
     """Two tables redacted apart meet on the tokens of the customer's name."""

@@ -105,6 +105,15 @@ def descendants(spark, sf):
     return ops.descendants(log, log.filter(F.col("causation_id").isNull()))
 
 
+@query("g6_ancestors_of_one", f"""
+WITH {LOG}, tip AS (SELECT corr, step AS last, id AS seed FROM log ORDER BY step DESC, id LIMIT 1)
+SELECT seed, id, last - step AS depth FROM log JOIN tip USING (corr) WHERE step <= last""")
+def ancestors_of_one(spark, sf):
+    """The causes of the one row that has the most of them."""
+    log = event_log(spark, sf)
+    return ops.ancestors(log, log.orderBy(F.desc("step"), "id").limit(1))
+
+
 _CHECK_SQL = """
 SELECT 'orphan_cause' AS fault, count(*) AS faults FROM t c WHERE cause IS NOT NULL AND cause NOT IN (SELECT id FROM t)
 UNION ALL SELECT 'step_not_after_cause', count(*) FROM t c JOIN t p ON c.cause = p.id WHERE c.step <= p.step
