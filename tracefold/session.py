@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,4 +55,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for made in _recorders:
+        made.append(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded():
+    """The paths of all tables that ``materialize`` writes meanwhile."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        at = fs_path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables after their last reader."""
+    for table in tables:
+        remove(table.sparkSession, [table._scratch])
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose results nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
