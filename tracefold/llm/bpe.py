@@ -148,11 +148,13 @@ def codec(path: str) -> Bpe:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None, digest: bool = False, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, digest: bool = False, keep: list[str] | None = None,
+           forget: bool = False) -> DataFrame:
     """Add n_tokens with token_ids and decoded_text, or with ids_sha256 and decoded_sha256 if ``digest``.
 
     Null and empty texts have no ids and decode to nothing.  Rows are independent: repeated rows stay, an empty table
     gives an empty result.  ``keep`` names the columns to carry (all by default); new columns replace those of their name.
+    With ``forget`` a task's words leave its worker's memory with the task, where other stages need the room.
     """
     path = path or default_path()
     extra = ["n_tokens long"] + (["ids_sha256 string", "decoded_sha256 string"] if digest else ["token_ids array<int>", "decoded_text string"])
@@ -172,6 +174,9 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, digest:
                 out += [pa.array([[int(i) for i in r[1].split()] for r in rows], pa.list_(pa.int32())),
                         pa.array([r[2] for r in rows], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(held)], *out], [*held, *new])
+        if forget:
+            bpe.memo.clear()
+            bpe.shown.clear()
 
     return source.mapInArrow(run, schema)
 

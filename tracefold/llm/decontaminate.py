@@ -112,6 +112,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tup
         (a["n"] + F.greatest(F.lit(0), p["at"] + p["size"] - F.greatest(a["end"], p["at"]))).alias("n")))
     per = per.select(F.col("rid").alias("r"), walked["n"].alias("n_hit"), "places",
                      F.sort_array(F.transform(F.array_distinct(F.flatten("sets")), lambda i: i.cast("string"))).alias("items"))
+    per = materialize(per, "hits")  # of known size, so that few hits do not move all documents
     out = first.drop("maybe").join(per, F.col("rid") == F.col("r"), "left")
     none = F.array().cast("array<string>")
     return out.select("row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm.components import components
-from tracefold.session import materialize
+from tracefold.session import discard, materialize, recorded, remove
 
 WORDS, PERCENT = 4, 85
 #: Bits of a bitmap: the power of two from the number of shingles on, within these bounds.
@@ -32,24 +32,27 @@ TILE = 4096
 SAMPLE, FREQUENT, KNOWN = 16, 8, 1_000_000
 #: Ids that are broadcast to pick the texts to verify; more are joined by a shuffle.
 BROADCAST = 1_000_000
-MEMO = 500_000
+MEMO = 200_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
-_memo: dict[bytes, int] = {}
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; A-Z are lower-cased and words end at ASCII white space."""
+def shingles(text: str | None, words: int = WORDS, memo: dict[bytes, int] | None = None) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; A-Z are lower-cased and words end at ASCII white space.
+
+    The hashes have 64 bits, and sets are compared by them: links are exact unless two shingles of a table collide.
+    ``memo`` keeps words' hashes for the next text.
+    """
+    memo = {} if memo is None else memo
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return np.zeros(0, np.uint64)
     if len(w) < words:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(w), seed=len(w))], np.uint64)
-    if len(_memo) > MEMO:
-        _memo.clear()
-    for x in set(w):
-        if x not in _memo:
-            _memo[x] = xxhash.xxh3_64_intdigest(x)
-    h = np.fromiter(map(_memo.__getitem__, w), np.uint64, len(w))
+    if len(memo) > MEMO:
+        memo.clear()
+    for x in set(w).difference(memo):
+        memo[x] = xxhash.xxh3_64_intdigest(x)
+    h = np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))
     n = len(w) - words + 1
     out = np.zeros(n, np.uint64)
     for k in range(words):  # mixed after each word, so that the order counts
@@ -80,8 +83,9 @@ def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
 
     def run(batches):
+        memo = {}
         for batch in batches:
-            parts = [shingles(t, words) for t in batch.column("text").to_pylist()]
+            parts = [shingles(t, words, memo) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], ["s"])
 
     rows = (some.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
@@ -97,10 +101,11 @@ def _measure(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def run(batches):
         keys, counts = shared.value
+        memo = {}
         for batch in batches:
             n, cls, prefix, short, sig = [], [], [], [], []
             for text in batch.column("text").to_pylist():
-                a = shingles(text, words)
+                a = shingles(text, words, memo)
                 size = len(a)
                 order = a
                 if len(keys) and size:
@@ -168,8 +173,9 @@ class Join:
         words, percent = self.words, self.percent
 
         def read(batches):
+            memo = {}
             for batch in batches:
-                arrays = [shingles(t, words).tobytes() for t in batch.column("text").to_pylist()]
+                arrays = [shingles(t, words, memo).tobytes() for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(a) for a in arrays], pa.binary()), pa.array(arrays, pa.binary())], ["c", "arr"])
 
         texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -183,9 +189,12 @@ class Join:
                                  for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())], bool)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
 
+        discard(need)
         joined = (pairs.join(arrays.select(F.col("cid").alias("ca"), F.col("arr").alias("x")), F.col("a") == F.col("ca"))
                   .join(arrays.select(F.col("cid").alias("cb"), F.col("arr").alias("y")), F.col("b") == F.col("cb")))
-        return materialize(joined.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "links")
+        links = materialize(joined.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "links")
+        discard(pairs, arrays)
+        return links
 
     def links(self) -> DataFrame:
         """Every link (a, b) between classes; membership is in ``classes`` and ``rows``."""
@@ -194,11 +203,20 @@ class Join:
     def labels(self) -> DataFrame:
         """(node, root) of every class that links with another."""
         links = self.verify(self.candidates(None, every=False))
-        labels = materialize(components(links), "labels")
+        labels = self._components(links)
         more = self.verify(self.candidates(labels, every=True))
+        discard(self.live)  # the last reader of the tiles is gone
+        self.live = None
         if more.isEmpty():
             return labels
-        return materialize(components(links.unionByName(more)), "labels")
+        discard(labels)
+        return self._components(links.unionByName(more))
+
+    def _components(self, links: DataFrame) -> DataFrame:
+        with recorded() as rounds:
+            labels = materialize(components(links), "labels")
+        remove(links.sparkSession, rounds[:-1])
+        return labels
 
     def members(self) -> DataFrame:
         """doc_id, key, n_shingles, component_id (null for a null doc_id alone; the document itself for an empty set)."""
@@ -318,4 +336,5 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     found = Join(docs, words, percent).members()
     drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), F.col("key").alias("__text")).distinct()
+    drop = materialize(drop, "dropped")  # of known size, so that few ids do not move all documents
     return docs.join(drop, (F.col("doc_id") == F.col("__gone")) & (_key() == F.col("__text")), "left_anti")

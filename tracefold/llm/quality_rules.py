@@ -151,7 +151,8 @@ def fit(stats: DataFrame) -> DataFrame:
         params = _step(points, params)
     params = _estimate(_distance(points, params), F.col("d2") <= WEIGHTED, 1.0)
     asked = levels.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *_spanned(F.col("level")))
-    return _join(asked, params, KEY).drop(*KEY).withColumnsRenamed({"of_lang": "lang", "of_source": "source"})
+    found = _join(asked, params, KEY).drop(*KEY).withColumnsRenamed({"of_lang": "lang", "of_source": "source"})
+    return materialize(found, "estimates")  # so that Spark knows how small it is when it meets the documents
 
 
 def judge(stats: DataFrame, params: DataFrame) -> DataFrame:
