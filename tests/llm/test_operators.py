@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -205,20 +206,53 @@ def test_urls(spark):
     assert got[7][2] is None and got[8][:3] == ("net", "", None) and {v[3] for v in got.values()} <= {"allow", "block"}
 
 
-def test_nearest_examples_are_exact():
+def test_blocks_are_skipped_and_nearest_examples_are_exact():
     rng = np.random.default_rng(2)
-    rows = [(i, " ".join(rng.choice([f"t{k}" for k in range(30)] if i % 5 == 0 else [f"c{k}" for k in range(60)], 12)), int(i % 5 == 0)) for i in range(300)]
-    index = toxicity.build(rows, chi=5.0, block=16)
+    part = lambda i: [f"{'abcd'[i % 4]}{int(rng.zipf(1.3)) % 200}" for _ in range(12 + i % 9)]
+    rows = [(i, " ".join(part(i) + (["vile"] if i % 10 == 0 else [])), int(i % 10 == 0)) for i in range(1200)]
+    index = toxicity.build(rows, block=16)
+    blocks, wide, _ = index.lists.shape
+    held = [index.vector(toxicity._tokens(t)) for _, t, _ in rows]
     vectors = np.zeros((len(rows), len(index.terms)))
-    for e, (_, t, _) in enumerate(rows):
-        c = toxicity._tokens(t, index.terms)
-        if c:
-            at, v = index.vector(c)
-            vectors[e, at] = v
-    for e in range(0, 300, 7):
-        found = index.nearest(toxicity._tokens(rows[e][1], index.terms))
-        plain = np.sort(vectors @ vectors[e])[::-1][:15]
-        assert np.allclose([s for s, _ in found], plain[plain > 0])
+    for e, (at, v) in enumerate(held):
+        vectors[e, at] = v
+    found, visited = index.search(held[::7] + [held[0]])
+    for e, (cosines, which) in zip([*range(0, len(rows), 7), 0], found):
+        plain = vectors @ vectors[e]
+        assert np.allclose(cosines, np.sort(plain)[::-1][:15], atol=1e-9)
+        assert np.allclose(plain[index.number[which]], cosines, atol=1e-9) and list(which) == sorted(which, key=lambda x: (-plain[index.number[x]].round(10), index.number[x]))
+    assert visited.max() <= blocks and visited.mean() < 0.6 * blocks
+    alone = [index.search([q])[0][0] for q in held[:40:7]]  # the same whatever else is searched at the same time
+    assert all(list(a[0]) == list(b[0]) and list(a[1]) == list(b[1]) for a, b in zip(alone, found))
+    assert index.weigh[index.terms["vile"]] > 3 * index.weigh[index.terms["a1"]]  # tied to the label
+
+
+def test_toxicity_score_is_the_calibrated_vote(spark):
+    rng = np.random.default_rng(5)
+    text = lambda i: " ".join([f"w{rng.integers(50)}" for _ in range(15)] + (["vile", "rotten"] if i % 6 == 0 else []))
+    rows = [(i, text(i), int(i % 6 == 0)) for i in range(240)]
+    docs = spark.createDataFrame([(i, t, "x", "clash") for i, t, _ in rows] + [(500, rows[6][1], None, None), (501, "nothing alike", None, None)],
+                                 "doc_id long, text string, evidence string, source string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels)
+    learned = sorted((i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5)
+    assert sorted(zip(index.ids, index.labels.astype(int).tolist())) == learned
+    place = {i: e for e, i in enumerate(index.ids)}
+    bags = {i: index.vector(toxicity._tokens(t)) for i, t, _ in rows}
+    dense = lambda q: np.bincount(q[0], q[1], len(index.terms))
+    examples = {i: dense(bags[i]) for i in index.ids}
+    got = {r.doc_id: r for r in toxicity.score(docs, index, ["doc_id", "evidence"]).collect()}
+    for i, t, _ in rows + [(500, rows[6][1], None)]:
+        q = dense(index.vector(toxicity._tokens(t)))
+        near = sorted(((q @ v).round(10), e) for e, v in examples.items())[::-1][:15]
+        w = np.array([1 / (1.05 - min(s, 1.0)) for s, _ in near])
+        vote = (w @ index.labels[[place[e] for _, e in near]] + index.prior) / (w.sum() + 1)
+        if near[-1][0] > sorted((q @ v).round(10) for v in examples.values())[-16]:  # no tie at the end
+            assert np.isclose(got[i].score, 1 / (1 + np.exp(-(index.slope * vote + index.shift))), atol=1e-6)
+            assert sorted(got[i].evidence) == sorted(str(e) for _, e in near)
+    assert got[501].score == index.alone and got[501].evidence == []
+    held = [(got[i].score >= 0.5, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(p == bool(y) for p, y in held) >= 0.9 * len(held)
 
 
 def test_nearest_examples_are_over_all_terms():
@@ -230,7 +264,11 @@ def test_nearest_examples_are_over_all_terms():
     index = toxicity.build(rows)
     bags = [Counter(re.findall(r"\w+", t or "")) for _, t, _ in rows]
     df = Counter(w for b in bags for w in b)
-    weigh = lambda b: {w: (1 + np.log(c)) * (np.log((1 + len(rows)) / (1 + df[w])) + 1) for w, c in b.items()}
+    toxic, n = Counter(w for b, (_, _, y) in zip(bags, rows) if y for w in b), len(rows)
+    p = sum(y for _, _, y in rows) / n
+    errors = {w: max(abs(toxic[w] - p * d) - 1, 0) / np.sqrt(p * (1 - p) * d * (n - d) / (n - 1)) for w, d in df.items() if d < n}
+    factor = lambda w: 1 + 2 * max(errors.get(w, 0) - 5, 0)
+    weigh = lambda b: {w: (1 + np.log(c)) * (np.log((1 + n) / (1 + df[w])) + 1) * factor(w) for w, c in b.items()}
     norm = lambda v: np.sqrt(sum(x * x for x in v.values())) or 1.0
     vectors = [weigh(b) for b in bags]
     for index in (index, toxicity.build(rows, block=64)):
@@ -239,7 +277,7 @@ def test_nearest_examples_are_over_all_terms():
             plain = [sum(x * v.get(w, 0.0) for w, x in q.items()) / norm(q) / norm(v) for v in vectors]
             found = index.nearest(toxicity._tokens(t))
             best = sorted((round(-s, 9), i) for i, s in enumerate(plain) if s > 0)[:15]
-            assert np.allclose([s for s, _ in found], [-s for s, _ in best]) and {i for _, i in found[:2]} == {i for _, i in best[:2]}
+            assert np.allclose([s for s, _ in found], [-s for s, _ in best]) and {index.ids[i] for _, i in found[:1]} <= {rows[i][0] for s, i in best if s - best[0][0] < 1e-8}
 
 
 def test_toxicity_and_language(spark, docs, none):

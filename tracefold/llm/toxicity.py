@@ -1,9 +1,11 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-The index holds a bounded sample of labelled examples with all their terms: for each term the examples that have it
-and its weight there.  A query adds up the weights of its terms over these lists, so every example that shares
-a term with it gets its exact cosine, over whole texts on both sides, and the nearest are picked from all of them.
-How its terms are tied to the label among the examples plays no part in that; it enters the score beside the vote.
+The index holds a bounded sample of labelled examples with all their terms, in blocks of examples that share their
+common words.  Lists of rare terms are short and added up whole.  Of the long lists of common terms a query first reads only each
+block's largest weight, which bounds what they can add in that block.  It follows them into the blocks of the highest bounds, and
+then only into those whose bound still reaches the k-th best cosine found, so the nearest are exact over whole texts on
+both sides.  Queries are searched some at a time, and those that visit a block share the reading of it.  A term's weight is tf-idf times a factor that grows with its tie to the label among the examples; queries
+and examples are weighted alike.  The neighbours' votes, weighted by distance and calibrated, are the score.
 """
 
 from __future__ import annotations
@@ -15,22 +17,26 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import bounded, extended, remainder
 
-#: Labelled examples in the index, at most; neighbours; examples whose cosines are added up at once; part of the examples
-#: from which on a term has a whole row of weights instead of a list.
-EXAMPLES, NEAREST, BLOCK, COMMON = 8_000, 15, 8_192, 0.125
-#: Of the tie, which has no part in the search: least chi-squared of a term; examples' worth of prior in its label rate.
-CHI, SHRINK = 25.0, 1.0
+#: Labelled examples in the index, at most; neighbours; examples a block; blocks of the first visit; queries searched at a time.
+EXAMPLES, NEAREST, BLOCK, VISIT, TOGETHER = 8_000, 15, 32, 24, 256
+#: Terms whose lists are cut into blocks: in this part of the examples or more, the most common ones first, so many at most.
+COMMON, TERMS = 0.04, 768
+#: Of a term's factor: what each standard error beyond the least one adds.
+GAIN, LEAST = 2.0, 5.0
+#: Sums depend a little on their order: cosines are rounded to so many digits, and a bound may lie so far below one.
+DIGITS, SLACK = 10, 1e-9
 WORD = re.compile(r"\w+")
 CHUNK = 1 << 20
 
 
-def _tokens(text: str | None, vocabulary=None) -> dict[str, int]:
-    """Counts of a text's terms (of those in the vocabulary, if there is one), read in parts that end at white space."""
+def _tokens(text: str | None) -> dict[str, int]:
+    """Counts of a text's terms, read in parts that end at white space."""
     found: Counter = Counter()
     text, at = (text or "").lower(), 0
     while at < len(text):
@@ -39,25 +45,31 @@ def _tokens(text: str | None, vocabulary=None) -> dict[str, int]:
             end += 1
         found.update(WORD.findall(text, at, end))
         at = end
-    return found if vocabulary is None else {w: c for w, c in found.items() if w in vocabulary}
+    return found
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)
 
 
 @dataclass
 class Index:
     terms: dict[str, int]
-    idf: np.ndarray
+    weigh: np.ndarray   # a term's idf times its factor
     ids: list
     labels: np.ndarray
-    starts: np.ndarray   # of each (block, term), block by block: where its list starts; one more at the end
-    entries: np.ndarray  # numbers of examples within their block, list by list
-    weights: np.ndarray  # of the term in the example
-    row: np.ndarray      # of a common term in ``rows``, else -1; common terms have no list
-    rows: np.ndarray     # a common term's weights in all examples
-    seen: np.ndarray     # examples that have the term
-    bad: np.ndarray      # toxic ones of these
+    number: np.ndarray  # an example's place among the examples as given; of equal cosines the smaller goes first
+    start: np.ndarray   # of each term: its first entry; one more at the end; common terms have none
+    entries: np.ndarray
+    weights: np.ndarray
+    row: np.ndarray     # of a common term, else -1
+    lists: np.ndarray   # [block, example of the block, row]: a common term's weights
+    tops: np.ndarray    # [row, block]: the largest of these in the block
     prior: float
-    block: int = BLOCK
-    slopes: tuple = (1.0, 0.0)  # of vote and tie
+    bags: tuple | None  # (starts, terms, weights) by example, until the votes are calibrated
+    slope: float = 1.0
     shift: float = 0.0
     alone: float = 0.0
 
@@ -69,125 +81,159 @@ class Index:
         at, n = at[order], n[order]
         new = int(np.searchsorted(at, 0))
         at = at[new:]
-        v = (1 + np.log(n)) * np.concatenate([np.full(new, np.log(1 + len(self.ids)) + 1), self.idf[at]])
+        v = (1 + np.log(n)) * np.concatenate([np.full(new, np.log(1 + len(self.ids)) + 1), self.weigh[at]])
         return at, v[new:] / np.sqrt((v * v).sum()) if len(v) else v
 
-    def nearest(self, counts: dict[str, int], k: int = NEAREST, skip: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest with a cosine above 0; ties go to the smaller example number."""
-        if not counts:
-            return []
-        at, v = self.vector(counts)
-        row, best = self.row[at], []
-        common, rare = list(zip(row[row >= 0].tolist(), v[row >= 0].tolist())), at[row < 0]
-        for lo in range(0, len(self.ids), self.block):
-            hi = min(lo + self.block, len(self.ids))
-            first = lo // self.block * len(self.terms) + rare
-            begin, end = self.starts[first], self.starts[first + 1]
-            lists = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist()) if a < b]
-            scores, part = np.zeros(hi - lo), np.empty(hi - lo)
-            for i, w in common:
-                scores += np.multiply(self.rows[i, lo:hi], w, out=part)
-            if lists:
-                scores += np.bincount(np.concatenate([self.entries[x] for x in lists]),
-                                      np.concatenate([self.weights[x] for x in lists]) * np.repeat(v[row < 0], end - begin), hi - lo)
-            if lo <= skip < lo + len(scores):
-                scores[skip - lo] = 0
-            least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0
-            hits = np.flatnonzero((scores > 0) & (scores >= least))
-            hits = hits[np.argsort(-scores[hits], kind="stable")[:k]]
-            best = sorted([*best, *zip(scores[hits].tolist(), (lo + hits).tolist())], key=lambda x: (-x[0], x[1]))[:k]
-        return best
-
-    def vote(self, found: list[tuple[float, int]]) -> float:
-        weights = np.array([1 / (1.05 - min(s, 1.0)) for s, _ in found])
-        return float((weights @ self.labels[[i for _, i in found]] + self.prior) / (weights.sum() + 1))
-
-    def tie(self, counts: dict[str, int], own: float | None = None) -> float:
-        """Log odds of the term of the text that is tied most to toxic examples, 0 if none is; ``own``: the label, if the text is an example itself."""
-        at = np.sort(np.array([self.terms[w] for w in counts if w in self.terms], np.int64))
-        if not len(at) or not 0 < self.prior < 1:
-            return 0.0
-        seen, bad, n = self.seen[at], self.bad[at], len(self.ids)
-        if own is not None:
-            seen, bad, n = seen - 1, bad - own, n - 1
-        p = self.prior
-        tied = (bad - p * seen) ** 2 * n >= CHI * p * (1 - p) * seen * (n - seen)
-        seen, bad = seen[tied & (seen > 0)], bad[tied & (seen > 0)]
-        odds = np.log((bad + SHRINK * self.prior) / (seen - bad + SHRINK * (1 - self.prior))) - np.log(self.prior / (1 - self.prior))
-        return float(odds.max(initial=0))
-
-    def score(self, found: list[tuple[float, int]], tie: float = 0.0) -> float:
-        if not found:
-            return self.alone
-        return float(1 / (1 + np.exp(-np.clip(self.slopes[0] * self.vote(found) + self.slopes[1] * tie + self.shift, -30, 30))))
-
-
-def build(examples: list[tuple], chi: float = 0.0, block: int = BLOCK) -> Index:
-    """Index (id, text, label) rows.  Votes are calibrated by leaving each example out of its own vote.
-
-    ``chi`` above 0 keeps only terms that the examples tie to a label by so much chi-squared; 0 keeps every term.
-    """
-    n, toxic = len(examples), sum(y for _, _, y in examples)
-    labels = np.array([y for _, _, y in examples], float)
-    number: dict[str, int] = {}
-    held = []  # an example's terms and their counts
-    for _, text, _ in examples:
-        c = _tokens(text)
-        held.append((np.array([number.setdefault(w, len(number)) for w in c], np.int32), np.array(list(c.values()), np.int32)))
-    sizes = lengths = [len(t) for t, _ in held]
-    every = np.concatenate([t for t, _ in held]) if n else np.zeros(0, np.int32)
-    seen = np.bincount(every, minlength=len(number)).astype(float)
-    place = np.arange(len(number))
-    if chi > 0:
-        bad = np.bincount(every, np.repeat(labels, sizes), len(number))
-        d = bad * (n - toxic) - (seen - bad) * toxic
-        scale = toxic * (n - toxic) * seen * (n - seen)
-        kept = (scale > 0) & (n * d * d >= chi * scale)
-        place = np.where(kept, np.cumsum(kept) - 1, -1)
-        number = {w: int(place[i]) for w, i in number.items() if kept[i]}
-        held = [(place[t][kept[t]], c[kept[t]]) for t, c in held]
-        sizes, seen = [len(t) for t, _ in held], seen[kept]
-    idf = np.log((1 + n) / (1 + seen)) + 1
-    term = np.concatenate([t for t, _ in held]).astype(np.int64) if n else np.zeros(0, np.int64)
-    weight = (1 + np.log(np.concatenate([c for _, c in held]) if n else np.zeros(0))) * idf[term]
-    example = np.repeat(np.arange(n), sizes).astype(np.int64)
-    order = np.lexsort((term, example))  # by number, so that equal bags of words get equal norms
-    term, weight = term[order], weight[order]
-    ends = np.cumsum(sizes, dtype=np.int64) if n else np.zeros(0, np.int64)
-    norms = np.array([np.sqrt((w * w).sum()) for w in np.split(weight, ends[:-1])]) if n else np.zeros(0)
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST, skip: list[int] | None = None) -> tuple[list, np.ndarray]:
+        """Of each query the cosines and examples of the k nearest with a cosine above 0, ties by the order given, and the blocks visited.
+
+        ``skip`` names one example for each query that is left out.
+        """
+        blocks, wide, _ = self.lists.shape
+        scores = np.zeros((len(queries), blocks, wide))
+        common = np.zeros((len(queries), len(self.tops)))
+        for q, (at, v) in enumerate(queries):
+            row = self.row[at]
+            long = row >= 0
+            common[q, row[long]] = v[long]
+            rare = at[~long]
+            begin = self.start[rare]
+            size = self.start[rare + 1] - begin
+            lists = _ranges(begin, size)
+            scores[q] = np.bincount(self.entries[lists], self.weights[lists] * np.repeat(v[~long], size), blocks * wide).reshape(blocks, wide)
+        bounds = scores.max(2, initial=0) + common @ self.tops
+        flat = scores.reshape(len(queries), -1)
+        visited = np.zeros(bounds.shape, bool)
+        least = np.full(len(queries), SLACK)
+        for last in (False, True):
+            mask = ~visited & (bounds >= least[:, None] - SLACK) & (bounds > 0)
+            if not last and blocks > VISIT:
+                highest = np.argpartition(bounds, -VISIT, axis=1)[:, -VISIT:]
+                some = np.zeros_like(mask)
+                np.put_along_axis(some, highest, True, axis=1)
+                mask &= some
+            for b in np.flatnonzero(mask.any(0)):
+                who = np.flatnonzero(mask[:, b])
+                scores[who, b] += common[who] @ self.lists[b].T
+            visited |= mask
+            if not last:
+                if skip is not None:
+                    flat[np.arange(len(queries)), skip] = -1
+                if blocks > VISIT:
+                    seen = np.take_along_axis(scores, highest[:, :, None], axis=1).reshape(len(queries), -1)
+                else:
+                    seen = flat
+                if seen.shape[1] >= k:
+                    least = np.maximum(np.partition(seen, -k, axis=1)[:, -k], 0)
+        if skip is not None:
+            flat[np.arange(len(queries)), skip] = -1
+        out = []
+        for q in range(len(queries)):
+            which = np.flatnonzero((flat[q] > 0) & (flat[q] >= least[q] - SLACK) & np.repeat(visited[q], wide))
+            cosines = flat[q, which].round(DIGITS)
+            near = np.lexsort((self.number[which], -cosines))[:k]
+            out.append((cosines[near], which[near]))
+        return out, visited.sum(1)
+
+    def nearest(self, counts: dict[str, int], k: int = NEAREST) -> list[tuple[float, int]]:
+        """(cosine, example) of the k nearest with a cosine above 0; ties go to the example given first."""
+        (best, which), = self.search([self.vector(counts)], k)[0]
+        return list(zip(best.tolist(), which.tolist()))
+
+    def vote(self, cosines: np.ndarray, examples: np.ndarray) -> float:
+        weights = 1 / (1.05 - np.minimum(cosines, 1.0))
+        return float((weights @ self.labels[examples] + self.prior) / (weights.sum() + 1))
+
+    def own_votes(self, examples: list[int]) -> list[float | None]:
+        """The votes on examples, each left out of its own; None without a neighbour."""
+        starts, terms, weights = self.bags
+        votes = []
+        for lo in range(0, len(examples), TOGETHER):
+            part = examples[lo:lo + TOGETHER]
+            found, _ = self.search([(terms[starts[e]:starts[e + 1]], weights[starts[e]:starts[e + 1]]) for e in part], skip=part)
+            votes += [self.vote(*f) if len(f[0]) else None for f in found]
+        return votes
+
+    def calibrate(self, votes: list[float | None]) -> None:
+        """Fit slope and shift to the votes on the examples (by their order in the index); the bags are not needed any more."""
+        bare = [y for v, y in zip(votes, self.labels) if v is None]
+        self.alone = (sum(bare) + self.prior) / (len(bare) + 1) if self.ids else 0.0
+        x = np.array([(v, 1.0) for v in votes if v is not None]).reshape(-1, 2)
+        truth = np.array([y for v, y in zip(votes, self.labels) if v is not None])
+        start = np.array([8.0, -4.0])
+        b = start.copy()
+        loss = lambda b: np.logaddexp(0, x @ b).sum() - truth @ (x @ b) + 0.05 * ((b - start) ** 2).sum()
+        for _ in range(50 if len(x) and 0 < truth.sum() < len(truth) else 0):  # Newton's steps with a small ridge, halved until they gain
+            p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+            move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), x.T @ (truth - p) - 0.1 * (b - start))
+            while np.abs(move).max() >= 1e-8 and loss(b + move) > loss(b):
+                move = move / 2
+            b = b + move
+            if np.abs(move).max() < 1e-8:
+                break
+        self.slope, self.shift, self.bags = float(b[0]), float(b[1]), None
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        """Of each text the score and the nearest examples, nearest first."""
+        out = []
+        for lo in range(0, len(texts), TOGETHER):
+            for best, which in self.search([self.vector(_tokens(t)) for t in texts[lo:lo + TOGETHER]])[0]:
+                odds = self.slope * self.vote(best, which) + self.shift
+                out.append((float(1 / (1 + np.exp(-np.clip(odds, -30, 30)))) if len(best) else self.alone, which.tolist()))
+        return out
+
+
+def assemble(ids: list, labels: np.ndarray, sizes: np.ndarray, terms: pa.Array, counts: np.ndarray, block: int = BLOCK) -> Index:
+    """An index whose votes are not calibrated, from the examples' ids and labels and their bags one after another."""
+    n, toxic = len(ids), float(labels.sum())
+    coded = pc.dictionary_encode(terms.cast(pa.string()))
+    term = np.asarray(coded.indices, np.int64)
+    vocabulary = coded.dictionary.to_pylist()
+    example = np.repeat(np.arange(n), sizes)
+    seen = np.bincount(term, minlength=len(vocabulary)).astype(float)
+    bad = np.bincount(term, labels[example], len(vocabulary))
+    prior = toxic / n if n else 0.0
+    # standard errors by which a term's toxic examples differ from their share, less one example, so that a single one ties nothing
+    error = np.sqrt(np.maximum(prior * (1 - prior) * seen * (n - seen) / max(1, n - 1), 1e-12))
+    tied = np.maximum(np.abs(bad - prior * seen) - 1, 0) / error if 0 < prior < 1 else np.zeros(len(seen))
+    weigh = (np.log((1 + n) / (1 + seen)) + 1) * (1 + GAIN * np.maximum(tied - LEAST, 0) * (seen < n))
+    # examples with the same common words become neighbours in number, so that blocks have low bounds for other texts
+    has = np.zeros((min(64, len(vocabulary)), n), bool)
+    place = np.full(len(vocabulary), -1)
+    place[np.argsort(-seen, kind="stable")[:len(has)]] = np.arange(len(has))
+    often = place[term] >= 0
+    has[place[term[often]], example[often]] = True
+    order = np.lexsort((*has[::-1],)) if len(has) and n else np.arange(n)
+    renumbered = np.empty(n, np.int64)
+    renumbered[order] = np.arange(n)
+    example = renumbered[example]
+    sort = np.lexsort((term, example))  # by number, so that equal bags of words get equal norms
+    term, example, counts = term[sort], example[sort], counts[sort]
+    weight = (1 + np.log(counts)) * weigh[term]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(example, minlength=n))]).astype(np.int64)
+    norms = np.array([np.sqrt((w * w).sum()) for w in np.split(weight, starts[1:-1])]) if n else np.zeros(0)
     weight = weight / norms[example]
-    row = np.where(seen >= COMMON * n, np.cumsum(seen >= COMMON * n) - 1, -1) if n >= 1000 else np.full(len(seen), -1)
-    rows = np.zeros((int(row.max(initial=-1)) + 1, n))
+    # the long lists by block
+    long = np.argsort(-seen, kind="stable")[:TERMS]
+    row = np.full(len(vocabulary), -1)
+    long = long[seen[long] >= COMMON * n]
+    row[long] = np.arange(len(long))
     often = row[term] >= 0
-    rows[row[term[often]], example[often]] = weight[often]
-    term, example, weight = term[~often], example[~often], weight[~often]
-    cell = example // block * len(number) + term
-    order = np.argsort(cell, kind="stable")
-    blocks = max(1, -(-n // block))
-    starts = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=blocks * len(number)))]).astype(np.int64)
-    prior = toxic / n if n else 0.0
-    index = Index(number, idf, [i for i, _, _ in examples], labels, starts, (example % block)[order], weight[order], row, rows, seen,
-                  np.bincount(every, np.repeat(labels, lengths), len(place))[place >= 0] if n else np.zeros(0), prior, block, alone=prior)
-    own = []
-    for e, (_, text, y) in enumerate(examples):
-        c = _tokens(text, number)
-        own.append((index.nearest(c, skip=e), index.tie(c, y), y))
-    bare = [y for found, _, y in own if not found]
-    index.alone = (sum(bare) + prior) / (len(bare) + 1) if n else 0.0
-    x = np.array([(index.vote(f), t, 1.0) for f, t, _ in own if f]).reshape(-1, 3)
-    truth = np.array([y for f, _, y in own if f], float)
-    start = np.array([8.0, 1.0, -4.0])
-    b = start.copy()
-    loss = lambda b: np.logaddexp(0, x @ b).sum() - truth @ (x @ b) + 0.05 * ((b - start) ** 2).sum()
-    for _ in range(50 if len(x) and 0 < truth.sum() < len(truth) else 0):  # Newton's steps with a small ridge, halved until they gain
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (truth - p) - 0.1 * (b - start))
-        while np.abs(step).max() >= 1e-8 and loss(b + step) > loss(b):
-            step = step / 2
-        b = b + step
-        if np.abs(step).max() < 1e-8:
-            break
-    index.slopes, index.shift = (float(b[0]), float(b[1])), float(b[2])
+    lists = np.zeros((-(-n // block), block, len(long)))
+    lists[example[often] // block, example[often] % block, row[term[often]]] = weight[often]
+    by = np.lexsort((example[~often], term[~often]))
+    short = term[~often][by]
+    return Index(dict(zip(vocabulary, range(len(vocabulary)))), weigh, [ids[i] for i in order], labels[order], order,
+                 np.searchsorted(short, np.arange(len(vocabulary) + 1)), example[~often][by], weight[~often][by],
+                 row, lists, lists.max(1).T.copy(), prior, (starts, term, weight), alone=prior)
+
+
+def build(examples: list[tuple], block: int = BLOCK) -> Index:
+    """A calibrated index of a few (id, text, label) rows, without Spark."""
+    bags = [_tokens(text) for _, text, _ in examples]
+    index = assemble([i for i, _, _ in examples], np.array([y for _, _, y in examples], float), np.array([len(b) for b in bags], np.int64),
+                     pa.array([w for b in bags for w in b], pa.string()), np.array([c for b in bags for c in b.values()], float), block)
+    index.calibrate(index.own_votes(list(range(len(examples)))))
     return index
 
 
@@ -195,12 +241,35 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     """Examples are labelled documents whose crc32(doc_id) modulo 5 is not 0, ``examples`` of them at most.
 
     Null labels and ids are not learned from; rows that repeat are examples as often.  Without examples every
-    score is 0.
+    score is 0.  Texts are counted and the left-out votes are found in tasks; to the driver come the bags of words and a vote an example.
     """
     known = labels.filter(F.col(label).isNotNull() & (remainder(F.col("doc_id"), 5) != 0)).select(F.col("doc_id").alias("k"), F.col(label).cast("int").alias("y"))
     known = bounded(known, F.col("k"), examples)
-    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("k")).select("doc_id", "text", "y")
-    return build([tuple(r) for r in rows.sort("doc_id", "text", "y").collect()])
+    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("k")).select("doc_id", "y", "text")
+
+    def count(batches):
+        for batch in batches:
+            bags = [_tokens(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(b) for b in bags], pa.list_(pa.string())),
+                                              pa.array([list(b.values()) for b in bags], pa.list_(pa.int32()))], ["doc_id", "y", "terms", "counts"])
+
+    schema = extended(rows, ["doc_id", "y"], "terms array<string>, counts array<int>")
+    found = rows.mapInArrow(count, schema).sort("doc_id", "terms", "counts", "y").toArrow().combine_chunks()
+    terms = pa.concat_arrays([c.flatten() for c in found["terms"].chunks]) if len(found) else pa.array([], pa.string())
+    counts = np.concatenate([c.flatten().to_numpy(False) for c in found["counts"].chunks]) if len(found) else np.zeros(0)
+    index = assemble(found["doc_id"].to_pylist(), found["y"].to_numpy().astype(float), pc.list_value_length(found["terms"]).to_numpy().astype(np.int64), terms, counts.astype(float))
+    spark, n = docs.sparkSession, len(index.ids)
+    shared = spark.sparkContext.broadcast(index)
+
+    def own(batches):
+        ix = shared.value
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ix.own_votes(batch.column(0).to_pylist()), pa.float64())], ["id", "vote"])
+
+    votes = dict(map(tuple, spark.range(0, n, 1, max(1, n // 250)).mapInArrow(own, "id long, vote double").collect())) if n else {}
+    index.calibrate([votes[e] for e in range(n)])
+    shared.unpersist()
+    return index
 
 
 def score(docs: DataFrame, index: Index, keep: list[str], text: str = "text") -> DataFrame:
@@ -214,8 +283,11 @@ def score(docs: DataFrame, index: Index, keep: list[str], text: str = "text") ->
     def run(batches):
         ix = shared.value
         for batch in batches:
-            found = [(ix.nearest(c), ix.tie(c)) for c in map(_tokens, batch.column("__text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([ix.score(*f) for f in found], pa.float64()),
-                                              pa.array([[str(ix.ids[i]) for _, i in f] for f, _ in found], pa.list_(pa.string()))], [*held, *new])
+            texts = batch.column("__text").to_pylist()
+            different = list(dict.fromkeys(texts))
+            once = dict(zip(different, ix.scores(different)))
+            found = [once[t] for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([s for s, _ in found], pa.float64()),
+                                              pa.array([[str(ix.ids[i]) for i in e] for _, e in found], pa.list_(pa.string()))], [*held, *new])
 
     return docs.select(*held, docs[text].alias("__text")).mapInArrow(run, schema)
