@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from itertools import repeat
 
 import numpy as np
@@ -56,22 +56,46 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
+    """Examples as bags of words, from which each process arranges the lists for itself: only the bags are sent to it."""
+
     terms: dict[str, int]
     weigh: np.ndarray   # a term's idf times its factor
     ids: list
     labels: np.ndarray
     number: np.ndarray  # an example's place among the examples as given; of equal cosines the smaller goes first
-    start: np.ndarray   # of each term: its first entry; one more at the end; common terms have none
-    entries: np.ndarray
-    weights: np.ndarray
     row: np.ndarray     # of a common term, else -1
-    lists: np.ndarray   # [block, example of the block, row]: a common term's weights
-    tops: np.ndarray    # [row, block]: the largest of these in the block
+    starts: np.ndarray  # of each example: its first term in ``bag``; one more at the end
+    bag: np.ndarray
+    counts: np.ndarray
     prior: float
-    bags: tuple | None  # (starts, terms, weights) by example, until the votes are calibrated
+    block: int
     slope: float = 1.0
     shift: float = 0.0
     alone: float = 0.0
+    shared = None       # the broadcast of this index, if there is one
+
+    def __post_init__(self):
+        n, block, term, row = len(self.ids), self.block, self.bag, self.row
+        example = np.repeat(np.arange(n), np.diff(self.starts))
+        weight = (1 + np.log(self.counts)) * self.weigh[term]
+        norms = np.array([np.sqrt((w * w).sum()) for w in np.split(weight, self.starts[1:-1])]) if n else np.zeros(0)
+        self.held = weight = weight / norms[example]
+        often = row[term] >= 0
+        # [block, example of the block, row]: a common term's weights; [row, block]: the largest of these in the block
+        self.lists = np.zeros((-(-n // block), block, int(row.max(initial=-1)) + 1))
+        self.lists[example[often] // block, example[often] % block, row[term[often]]] = weight[often]
+        self.tops = self.lists.max(1).T.copy()
+        # of the other terms, one list after another
+        by = np.argsort(term[~often], kind="stable")
+        self.start = np.searchsorted(term[~often][by], np.arange(len(self.terms) + 1))
+        self.entries, self.weights = example[~often][by], weight[~often][by]
+
+    def __getstate__(self):
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.__post_init__()
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the known terms, ascending, and their weights; unknown terms count in the norm as seen in no example."""
@@ -146,16 +170,15 @@ class Index:
 
     def own_votes(self, examples: list[int]) -> list[float | None]:
         """The votes on examples, each left out of its own; None without a neighbour."""
-        starts, terms, weights = self.bags
-        votes = []
+        starts, votes = self.starts, []
         for lo in range(0, len(examples), TOGETHER):
             part = examples[lo:lo + TOGETHER]
-            found, _ = self.search([(terms[starts[e]:starts[e + 1]], weights[starts[e]:starts[e + 1]]) for e in part], skip=part)
+            found, _ = self.search([(self.bag[starts[e]:starts[e + 1]], self.held[starts[e]:starts[e + 1]]) for e in part], skip=part)
             votes += [self.vote(*f) if len(f[0]) else None for f in found]
         return votes
 
     def calibrate(self, votes: list[float | None]) -> None:
-        """Fit slope and shift to the votes on the examples (by their order in the index); the bags are not needed any more."""
+        """Fit slope and shift to the votes on the examples (by their order in the index)."""
         bare = [y for v, y in zip(votes, self.labels) if v is None]
         self.alone = (sum(bare) + self.prior) / (len(bare) + 1) if self.ids else 0.0
         x = np.array([(v, 1.0) for v in votes if v is not None]).reshape(-1, 2)
@@ -171,7 +194,7 @@ class Index:
             b = b + move
             if np.abs(move).max() < 1e-8:
                 break
-        self.slope, self.shift, self.bags = float(b[0]), float(b[1]), None
+        self.slope, self.shift = float(b[0]), float(b[1])
 
     def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
         """Of each text the score and the nearest examples, nearest first."""
@@ -209,23 +232,13 @@ def assemble(ids: list, labels: np.ndarray, sizes: np.ndarray, terms: pa.Array,
     example = renumbered[example]
     sort = np.lexsort((term, example))  # by number, so that equal bags of words get equal norms
     term, example, counts = term[sort], example[sort], counts[sort]
-    weight = (1 + np.log(counts)) * weigh[term]
     starts = np.concatenate([[0], np.cumsum(np.bincount(example, minlength=n))]).astype(np.int64)
-    norms = np.array([np.sqrt((w * w).sum()) for w in np.split(weight, starts[1:-1])]) if n else np.zeros(0)
-    weight = weight / norms[example]
-    # the long lists by block
-    long = np.argsort(-seen, kind="stable")[:TERMS]
     row = np.full(len(vocabulary), -1)
+    long = np.argsort(-seen, kind="stable")[:TERMS]
     long = long[seen[long] >= COMMON * n]
     row[long] = np.arange(len(long))
-    often = row[term] >= 0
-    lists = np.zeros((-(-n // block), block, len(long)))
-    lists[example[often] // block, example[often] % block, row[term[often]]] = weight[often]
-    by = np.lexsort((example[~often], term[~often]))
-    short = term[~often][by]
-    return Index(dict(zip(vocabulary, range(len(vocabulary)))), weigh, [ids[i] for i in order], labels[order], order,
-                 np.searchsorted(short, np.arange(len(vocabulary) + 1)), example[~often][by], weight[~often][by],
-                 row, lists, lists.max(1).T.copy(), prior, (starts, term, weight), alone=prior)
+    return Index(dict(zip(vocabulary, range(len(vocabulary)))), weigh, [ids[i] for i in order], labels[order], order, row,
+                 starts, term.astype(np.int32), counts.astype(np.int32), prior, block, alone=prior)
 
 
 def build(examples: list[tuple], block: int = BLOCK) -> Index:
@@ -259,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     counts = np.concatenate([c.flatten().to_numpy(False) for c in found["counts"].chunks]) if len(found) else np.zeros(0)
     index = assemble(found["doc_id"].to_pylist(), found["y"].to_numpy().astype(float), pc.list_value_length(found["terms"]).to_numpy().astype(np.int64), terms, counts.astype(float))
     spark, n = docs.sparkSession, len(index.ids)
-    shared = spark.sparkContext.broadcast(index)
+    shared = index.shared = spark.sparkContext.broadcast(index)
 
     def own(batches):
         ix = shared.value
@@ -268,7 +281,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
 
     votes = dict(map(tuple, spark.range(0, n, 1, max(1, n // 250)).mapInArrow(own, "id long, vote double").collect())) if n else {}
     index.calibrate([votes[e] for e in range(n)])
-    shared.unpersist()
     return index
 
 
@@ -278,10 +290,12 @@ def score(docs: DataFrame, index: Index, keep: list[str], text: str = "text") ->
     new = ["score", "evidence"]
     held = [c for c in keep if c not in new]
     schema = extended(docs, held, "score double, evidence array<string>")
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = index.shared or docs.sparkSession.sparkContext.broadcast(index)
+    fitted = index.slope, index.shift, index.alone  # later than what ``fit`` has sent out
 
     def run(batches):
         ix = shared.value
+        ix.slope, ix.shift, ix.alone = fitted
         for batch in batches:
             texts = batch.column("__text").to_pylist()
             different = list(dict.fromkeys(texts))
