@@ -73,8 +73,9 @@ class Index:
     shift: float = 0.0
     alone: float = 0.0
     shared = None       # the broadcast of this index, if there is one
+    lists = None        # until the first search
 
-    def __post_init__(self):
+    def _arrange(self):
         n, block, term, row = len(self.ids), self.block, self.bag, self.row
         example = np.repeat(np.arange(n), np.diff(self.starts))
         weight = (1 + np.log(self.counts)) * self.weigh[term]
@@ -93,10 +94,6 @@ class Index:
     def __getstate__(self):
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.__post_init__()
-
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the known terms, ascending, and their weights; unknown terms count in the norm as seen in no example."""
         at = np.fromiter(map(self.terms.get, counts, repeat(-1)), np.int64, len(counts))
@@ -113,6 +110,8 @@ class Index:
 
         ``skip`` names one example for each query that is left out.
         """
+        if self.lists is None:
+            self._arrange()
         blocks, wide, _ = self.lists.shape
         scores = np.zeros((len(queries), blocks, wide))
         common = np.zeros((len(queries), len(self.tops)))
@@ -170,6 +169,8 @@ class Index:
 
     def own_votes(self, examples: list[int]) -> list[float | None]:
         """The votes on examples, each left out of its own; None without a neighbour."""
+        if self.lists is None:
+            self._arrange()
         starts, votes = self.starts, []
         for lo in range(0, len(examples), TOGETHER):
             part = examples[lo:lo + TOGETHER]
@@ -271,6 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     terms = pa.concat_arrays([c.flatten() for c in found["terms"].chunks]) if len(found) else pa.array([], pa.string())
     counts = np.concatenate([c.flatten().to_numpy(False) for c in found["counts"].chunks]) if len(found) else np.zeros(0)
     index = assemble(found["doc_id"].to_pylist(), found["y"].to_numpy().astype(float), pc.list_value_length(found["terms"]).to_numpy().astype(np.int64), terms, counts.astype(float))
+    del found, terms, counts
     spark, n = docs.sparkSession, len(index.ids)
     shared = index.shared = spark.sparkContext.broadcast(index)
 
