@@ -166,12 +166,25 @@ def test_jaccard(spark, docs, none):
             top[i] = top[j] = min(top[i], top[j])
     least = {t: min((sets[i][0] for i in range(len(sets)) if top[i] == t and sets[i][0] is not None), default=None) for t in top}
     want = Counter((d, len(s), least[top[i]]) for i, (d, s) in enumerate(sets))
-    for tile in (jaccard.TILE, 5):  # small tiles are dealt into blocks
-        got = jaccard.Join(every, tile=tile).members().collect()
+    # small tiles are dealt into blocks, those of shingles known to be frequent by bands of sizes
+    for tile, sample in ((jaccard.TILE, jaccard.SAMPLE), (5, jaccard.SAMPLE), (4, 1)):
+        join = jaccard.Join(every, tile=tile, sample=sample)
+        assert bool(join._dealt().count()) == (sample == 1)
+        got = join.members().collect()
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
     assert jaccard.groups(none).count() == 0
     kept = jaccard.keep_one(docs)
-    assert kept.columns == docs.columns and Counter(r.text for r in kept.collect())[BASE] == 3  # id 4 twice, and the row without an id
+    assert kept.columns == docs.columns and Counter(r.text for r in kept.collect())[BASE] == 1  # ids 4, 4, 5 and null
+
+
+def test_keep_one_by_any_id(spark):
+    rows = [("b", BASE, 1), ("a", BASE, 2), (None, BASE, 3), ("a", BASE + " extra", 4), ("c", None, 5), ("c", "", 6), (None, None, 7), (None, None, 7),
+            (None, ITEM, 8), (None, ITEM, 9), (None, ITEM + " pi", 10)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id string, text string, __other int"))
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got.pop(("a", BASE), 0) + got.pop(("a", BASE + " extra"), 0) == 1
+    assert got.pop((None, ITEM), 0) + got.pop((None, ITEM + " pi"), 0) == 1
+    assert got == Counter({("c", None): 1, ("c", ""): 1, (None, None): 2})
 
 
 def test_bitmaps_bound_the_difference():

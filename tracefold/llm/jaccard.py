@@ -2,33 +2,37 @@
 
 A document's shingles are 64-bit hashes in a sorted array; equal arrays are one class, and only classes are compared.  With a
 common order of shingles, rare before frequent, two sets that link share a shingle among the first of each (prefix filter), so a
-tile holds the classes that have one shingle there.  In a tile, rows are ordered by size, only sizes in a band can
-link, and the bits in which two parity bitmaps differ bound the overlap from above.  What passes is verified by
-intersecting the sorted arrays.
+tile holds the classes that have one shingle there.  Rows are ordered by size and stay only where another of the
+tile lies in their band of sizes; tiles of the same rows are one.  A shingle of very many classes has a tile for each
+band instead, which a row enters for its own size and the next.  In a tile, the bits in which two parity bitmaps
+differ bound the overlap from above.  What passes is verified by intersecting the sorted arrays.
 
 The first round keeps, per tile, a spanning forest of the pairs that pass, so a group of near copies makes rows in
-proportion to its size.  The second round tests every pair that passes between different components of verified
-links.  No link is lost and no tile, bucket or candidate list is capped.
+proportion to its size; a large tile is cut into blocks that each row enters once.  The second round tests every pair
+that passes between different components of verified links, all pairs of blocks included; tiles within one component
+are gone by then.  No link is lost and no tile, bucket or candidate list is capped.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.llm.components import components
-from tracefold.session import discard, materialize, recorded, remove
+from tracefold.session import discard, materialize, recorded, release_shuffles, remove
 
 WORDS, PERCENT = 4, 85
 #: Bits of a bitmap: the power of two from the number of shingles on, within these bounds.
 LEAST_BITS, MOST_BITS = 1024, 1 << 17
-#: Rows of a tile that one task holds; larger tiles are dealt into blocks, each pair of blocks a task of its own.
+#: Rows of a block; larger tiles are dealt into blocks.
 TILE = 4096
-#: The order of shingles: frequent are those seen this often in one document of SAMPLE; the most frequent of them are known.  It
-#: only orders work: any order gives the same links.
+#: The order of shingles: frequent are those seen this often in one text of SAMPLE; the most frequent of them are known.  It
+#: only orders and deals work: any order gives the same links.
 SAMPLE, FREQUENT, KNOWN = 16, 8, 1_000_000
 #: Ids that are broadcast to pick the texts to verify; more are joined by a shuffle.
 BROADCAST = 1_000_000
@@ -78,9 +82,9 @@ def _key():
     return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
-def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted frequent shingles and their counts, from every 16th document."""
-    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
+def _frequent(docs: DataFrame, words: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted frequent shingles and their counts in one of ``sample`` distinct texts."""
+    some = docs.select(F.col("text").cast("string").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).distinct()
 
     def run(batches):
         memo = {}
@@ -95,67 +99,105 @@ def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], rows.column("n").to_numpy()[order]
 
 
-def _measure(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(rid, doc_id, key, n, cls, prefix, short, sig): a row for each document; key is the text's digest."""
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
+def _measure(docs: DataFrame, words: int, percent: int, tile: int, sample: int) -> DataFrame:
+    """(rid, doc_id, key, n, cls, prefix, deal, short, sig): a row for each document; key is the text's digest.
+
+    ``deal`` has the blocks of the last shingles of ``prefix``, those expected in more than ``tile`` texts.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words, sample))
 
     def run(batches):
         keys, counts = shared.value
         memo = {}
         for batch in batches:
-            n, cls, prefix, short, sig = [], [], [], [], []
+            n, cls, prefix, deal, short, sig = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 a = shingles(text, words, memo)
                 size = len(a)
-                order = a
+                order, blocks = a, np.zeros(0, np.int64)
+                first = size - -(-percent * size // 100) + 1
                 if len(keys) and size:
                     at = np.minimum(np.searchsorted(keys, a), len(keys) - 1)
                     hot = keys[at] == a
-                    order = np.concatenate([a[~hot], a[hot][np.argsort(counts[at[hot]], kind="stable")]])
+                    seen = counts[at[hot]]
+                    by = np.argsort(seen, kind="stable")
+                    order = np.concatenate([a[~hot], a[hot][by]])
+                    blocks = -(-seen[by] * sample // tile)[:max(0, first - int((~hot).sum()))]
                 n.append(size)
                 cls.append(xxhash.xxh3_128_digest(a.tobytes()))
-                prefix.append(order[:size - -(-percent * size // 100) + 1].view(np.int64) if size else np.zeros(0, np.int64))
+                prefix.append(order[:first].view(np.int64) if size else np.zeros(0, np.int64))
+                deal.append(blocks[blocks > 1])
                 short.append(size - -(-2 * percent * size // (100 + percent)) + 1 if size else 0)
                 sig.append(bitmap(a))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int32()), pa.array(cls, pa.binary()), pa.array(prefix, pa.list_(pa.int64())),
-                                              pa.array(short, pa.int32()), pa.array(sig, pa.binary())], ["doc_id", "key", "n", "cls", "prefix", "short", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(prefix, pa.list_(pa.int64())),
+                                              pa.array(deal, pa.list_(pa.int64())), pa.array(short, pa.int32()), pa.array(sig, pa.binary())],
+                                             ["doc_id", "key", "n", "cls", "prefix", "deal", "short", "sig"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _key().alias("key"))
-    found = found.mapInArrow(run, "doc_id long, key string, n int, cls binary, prefix array<long>, short int, sig binary")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text"), _key().alias("key"))
+    kind = found.schema["doc_id"].dataType.simpleString()
+    found = found.mapInArrow(run, f"doc_id {kind}, key string, n long, cls binary, prefix array<long>, deal array<long>, short int, sig binary")
     return materialize(found.withColumn("rid", F.monotonically_increasing_id()), "shingles")
 
 
 class Join:
     """The measured documents of one table and what the rounds share."""
 
-    def __init__(self, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, tile: int = TILE):
+    def __init__(self, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, tile: int = TILE, sample: int = SAMPLE):
         self.docs, self.words, self.percent, self.tile = docs, words, percent, tile
-        self.rows = _measure(docs, words, percent)
+        self.rows = _measure(docs, words, percent, tile, sample)
         classes = self.rows.filter("n > 0").groupBy("cls").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("rep"))
         self.classes = materialize(classes, "classes")
-        first = self.rows.select("rid", "n", "prefix", "short").join(self.classes.select("cid"), F.col("rid") == F.col("cid"))
-        posted = first.select(F.posexplode("prefix").alias("at", "token"), "cid", "n", (F.col("at") < F.col("short")).alias("short"))
-        shared = (posted.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.max("short").alias("any"))
-                  .filter("many > 1 and any").select(F.col("token").alias("t"), "many"))
-        self.live = materialize(posted.join(shared, F.col("token") == F.col("t")).select("token", "many", "cid", "n", "short"), "tiles")
-        self.arrays = None
+        self.live = materialize(self._banded().unionByName(self._dealt()), "tiles")
+        release_shuffles(docs.sparkSession)
+
+    def _first(self) -> DataFrame:
+        """A row for each class; ``cold`` is how many shingles of its prefix are not dealt into blocks."""
+        rows = self.rows.select("rid", "n", "prefix", "deal", "short", (F.size("prefix") - F.size("deal")).alias("cold"))
+        return rows.join(self.classes.select("cid"), F.col("rid") == F.col("cid"))
+
+    def _banded(self) -> DataFrame:
+        """(token, block, cid, n, short, blocks) of the rows with another in their band, named by the tile's rows so that equal tiles meet."""
+        posted = self._first().select(F.posexplode(F.slice("prefix", F.lit(1), F.col("cold"))).alias("at", "token"), "cid", "n", (F.col("at") < F.col("short")).alias("short"))
+        tile = Window.partitionBy("token")
+        by_size = tile.orderBy("n", "cid")
+        posted = posted.withColumn("next", F.lead("n").over(by_size))
+        posted = posted.withColumn("last", F.max(F.when(F.col("short"), F.col("n"))).over(by_size.rowsBetween(Window.unboundedPreceding, -1)))
+        smaller = F.col("short") & (100 * F.col("n") >= self.percent * F.col("next"))
+        larger = 100 * F.col("last") >= self.percent * F.col("n")
+        live = posted.filter(F.coalesce(smaller, F.lit(False)) | F.coalesce(larger, F.lit(False))).select("token", "cid", "n", "short")
+        name = [F.bit_xor(F.xxhash64("cid", "short", F.lit(k))).over(tile) for k in (1, 2)]
+        return live.select(name[0].alias("name"), name[1].alias("block"), "cid", "n", "short").distinct().select(
+            F.col("name").alias("token"), "block", "cid", "n", "short", F.lit(1).cast("long").alias("blocks"))
+
+    def _dealt(self) -> DataFrame:
+        """The same columns for shingles of very many classes: a tile for each band of sizes, ``block`` being the band."""
+        size = F.size("deal")
+        hot = F.arrays_zip(F.slice("prefix", F.col("cold") + 1, size).alias("token"), F.sequence(F.col("cold"), F.col("cold") + size - 1).alias("at"), F.col("deal").alias("blocks"))
+        posted = self._first().filter(size > 0).select(F.explode(hot).alias("p"), "cid", "n", "short")
+        width = (1 - 1e-9) / math.log(100 / self.percent)  # a little wide, so that rounding never puts a pair two bands apart
+        band = F.floor(F.log(F.col("n")) * width).cast("long")
+        return posted.select(F.col("p.token").alias("token"), F.explode(F.array(band, band + 1)).alias("block"), "cid", "n",
+                             (F.col("p.at") < F.col("short")).alias("short"), F.col("p.blocks").alias("blocks"))
 
     def candidates(self, labels: DataFrame | None, every: bool) -> DataFrame:
-        """Distinct pairs (a, b) of classes that pass the bitmaps: a forest per tile, or all between different labels."""
+        """Distinct pairs (a, b) of classes that pass the bitmaps: a forest per block, or all between different labels."""
         live = self.live
         if labels is not None:
             live = live.join(labels, F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "cid")).drop("node", "root")
-            mixed = live.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("token").alias("t"))
-            live = live.join(mixed, F.col("token") == F.col("t"), "left_semi")
         else:
             live = live.withColumn("label", F.col("cid"))
-        blocks = F.ceil(F.col("many") / self.tile).cast("int")
-        own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
-        deal = F.when(blocks == 1, F.array(F.lit(0))).otherwise(
-            F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j)))
-        live = live.select("token", F.explode(deal).alias("block"), "cid", "n", "short", "label")
+        part = F.pmod(F.xxhash64("cid", "token"), F.col("blocks")).cast("long")
+        if every:
+            mixed = live.groupBy("token", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("many")).filter("lo <> hi")
+            mixed = mixed.select(F.col("token").alias("t"), F.col("block").alias("b"), F.ceil(F.col("many") / self.tile).cast("long").alias("blocks"))
+            live = live.drop("blocks").join(mixed, (F.col("token") == F.col("t")) & (F.col("block") == F.col("b"))).drop("t", "b")
+            deal = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
+                F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(part, j) * F.col("blocks") + F.greatest(part, j)))
+            live = live.select("token", "block", F.explode(deal).alias("part"), "cid", "n", "short", "label")
+        else:
+            live = live.select("token", "block", part.alias("part"), "cid", "n", "short", "label")
         sigs = self.rows.select("rid", "sig")
-        tiles = live.join(sigs, F.col("cid") == F.col("rid")).drop("rid").repartition("token", "block").sortWithinPartitions("token", "block")
+        tiles = live.join(sigs, F.col("cid") == F.col("rid")).drop("rid").repartition("token", "block", "part").sortWithinPartitions("token", "block", "part")
         percent = self.percent
 
         def run(batches):
@@ -178,7 +220,7 @@ class Join:
                 arrays = [shingles(t, words, memo).tobytes() for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(a) for a in arrays], pa.binary()), pa.array(arrays, pa.binary())], ["c", "arr"])
 
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        texts = self.docs.select("doc_id", F.col("text").cast("string").alias("text"))
         texts = texts.join(some, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
         arrays = texts.mapInArrow(read, "c binary, arr binary").join(need, F.col("c") == F.col("cls")).select("cid", "arr").dropDuplicates(["cid"])
         arrays = materialize(arrays, "arrays")
@@ -194,6 +236,7 @@ class Join:
                   .join(arrays.select(F.col("cid").alias("cb"), F.col("arr").alias("y")), F.col("b") == F.col("cb")))
         links = materialize(joined.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "links")
         discard(pairs, arrays)
+        release_shuffles(links.sparkSession)
         return links
 
     def links(self) -> DataFrame:
@@ -219,13 +262,13 @@ class Join:
         return labels
 
     def members(self) -> DataFrame:
-        """doc_id, key, n_shingles, component_id (null for a null doc_id alone; the document itself for an empty set)."""
+        """doc_id, key, n_shingles, component_id (null for a null doc_id alone; the document itself for an empty set), top (null for that)."""
         roots = self.classes.join(self.labels(), F.col("cid") == F.col("node"), "left").select("cls", F.coalesce("root", "cid").alias("top"), "rep")
         least = roots.groupBy("top").agg(F.min("rep").alias("component_id")).withColumnRenamed("top", "k")
-        known = roots.join(least, F.col("top") == F.col("k")).select(F.col("cls").alias("c"), "component_id")
+        known = roots.join(least, F.col("top") == F.col("k")).select(F.col("cls").alias("c"), "component_id", "top")
         found = self.rows.filter("n > 0").join(known, F.col("cls") == F.col("c"))
-        rest = self.rows.filter("n = 0").withColumn("component_id", F.col("doc_id"))
-        pick = ["doc_id", "key", F.col("n").cast("long").alias("n_shingles"), "component_id"]
+        rest = self.rows.filter("n = 0").withColumns({"component_id": F.col("doc_id"), "top": F.lit(None).cast("long")})
+        pick = ["doc_id", "key", F.col("n").cast("long").alias("n_shingles"), "component_id", "top"]
         return found.select(*pick).unionByName(rest.select(*pick))
 
 
@@ -242,7 +285,7 @@ def _tiles(batches, percent: int, every: bool):
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = t if rest is None else pa.concat_tables([rest, t])
-        key = np.stack([t.column("token").to_numpy(), t.column("block").to_numpy().astype(np.int64)])
+        key = np.stack([t.column(c).to_numpy() for c in ("token", "block", "part")])
         cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
         if not len(cuts):
             rest = t
@@ -326,15 +369,26 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     Sets link when 100 * intersection >= percent * union.  Fewer words than a shingle are one shingle; null and empty texts have
     none and link with nothing.  Repeated rows and ids stay rows.
     """
-    return Join(docs, words, percent).members().drop("key")
+    return Join(docs, words, percent).members().drop("key", "top")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The document with the smallest id of each group, with all columns.
+    """One document of each group, with all columns: that with the smallest id, the smallest digest of a text where all ids are null.
 
-    Rows that repeat both that id and its text all stay; so does a document without an id.
+    Ids may be of any type that has an order.  Of rows that repeat that id and its text one stays.  Documents without a word, null
+    and empty texts included, are no group: all of them stay.
     """
-    found = Join(docs, words, percent).members()
-    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), F.col("key").alias("__text")).distinct()
-    drop = materialize(drop, "dropped")  # of known size, so that few ids do not move all documents
-    return docs.join(drop, (F.col("doc_id") == F.col("__gone")) & (_key() == F.col("__text")), "left_anti")
+    found = materialize(Join(docs, words, percent).members().filter("top is not null").select("doc_id", "key", "top"), "members")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    best = found.groupBy(F.col("top").alias("k")).agg(F.min(rank).alias("best"))
+    gone = found.join(best, F.col("top") == F.col("k")).filter(rank != F.col("best")).select("doc_id", "key").distinct()
+    again = found.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("doc_id", "key")
+    # of known size, so that few ids do not move all documents
+    gone, again = (materialize(x.select(F.col("doc_id").alias("__id"), F.col("key").alias("__text")), "dropped") for x in (gone, again))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (_key() == F.col("__text"))
+    kept = docs.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return kept
+    repeats = kept.join(again, same, "left_semi").withColumn("__key", _key())
+    repeats = repeats.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    return kept.join(again, same, "left_anti").unionByName(repeats)
