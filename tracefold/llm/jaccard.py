@@ -148,6 +148,8 @@ class Join:
         classes = self.rows.filter("n > 0").groupBy("cls").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("rep"))
         self.classes = materialize(classes, "classes")
         self.live = materialize(self._banded().unionByName(self._dealt()), "tiles")
+        whole, self.rows = self.rows, materialize(self.rows.drop("prefix", "deal", "short"), "rows")
+        discard(whole)  # the prefixes were most of it
         release_shuffles(docs.sparkSession)
 
     def _first(self) -> DataFrame:
@@ -208,6 +210,7 @@ class Join:
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, by intersecting their arrays."""
         pairs = materialize(pairs, "pairs")
+        release_shuffles(pairs.sparkSession)
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         need = materialize(self.classes.join(ids, F.col("cid") == F.col("id"), "left_semi").select("cid", "cls", "rep"), "need")
         some = need.select("rep").distinct()
@@ -224,6 +227,7 @@ class Join:
         texts = texts.join(some, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
         arrays = texts.mapInArrow(read, "c binary, arr binary").join(need, F.col("c") == F.col("cls")).select("cid", "arr").dropDuplicates(["cid"])
         arrays = materialize(arrays, "arrays")
+        release_shuffles(pairs.sparkSession)
 
         def test(batches):
             for batch in batches:
