@@ -179,6 +179,25 @@ def test_three_edges_in_any_batch_order(spark):
         assert run_every(spark, [*batches, [beat(24 * 30)]], ["x", "y", "z"])[0][-1] == want
 
 
+def test_correlations_share_state_by_group(spark, monkeypatch):
+    monkeypatch.setattr(ops, "GROUPS", 3, raising=False)
+    log = [(c * 10 + s, c, s, e, at(c % 7 + s), (1,)) for c in range(40) for s, e in enumerate(["a", "b", "a"][: 1 + c % 3])]
+    # every second correlation starts in one batch and is completed in a later one
+    batches = [[r for r in log if r[0] % 2 == k] for k in (1, 0)]
+    assert run_every(spark, batches, ["a", "b"])[1] < 20  # one value and one timer a group, not one a correlation
+    seen, left = run_every(spark, [*batches, [beat(24 * 30)], [beat(24 * 31)]], ["a", "b"], lifetime_ms=3_600_000)
+    assert seen[-1] == [(c, 1, c * 10, c * 10 + 1) for c in range(40) if c % 3] and left == 0
+
+    path, out = fresh() + "/log", fresh()
+    for rows in [*batches, [beat(24 * 30)]]:
+        rows_of(spark, rows).coalesce(1).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    query = ops.timeout_race(ops.stream_log(spark, path, schema), ["a", "b"], 3_600_000, out, fresh(), "10 days", 3_600_000)
+    query.awaitTermination()
+    got = sorted(map(tuple, spark.read.schema("correlation_id bigint, outcome string").parquet(out).collect()))
+    assert got == [(c, "Ready" if c % 3 else "TimedOut") for c in range(40)]
+
+
 # -- tables kept by a stream --
 
 def changes(spark, *rows):

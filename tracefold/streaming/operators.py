@@ -22,6 +22,8 @@ from tracefold.streaming.tables import CurrentTable
 
 CORR = "correlation_id"
 AVAILABLE_NOW = {"availableNow": True}
+#: Groups that the correlations of a stateful stream are dealt into; a running checkpoint keeps to its number.
+GROUPS = 4096
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -134,12 +136,17 @@ def stream_every(stream: DataFrame, edges: list[str], path: str, checkpoint: str
         CORR, "edge", F.col("step").cast("int").alias("step"), "ts", F.unix_micros("ts").alias("micros"), F.col("id").cast("string").alias("id"),
         (F.to_json("payload") if body is None else body.cast("string")).alias("body"))
     key = stream.schema[CORR].dataType.simpleString()
-    ready = rows.groupBy(CORR).transformWithState(
+    ready = _grouped(rows).transformWithState(
         statefulProcessor=EveryProcessor(tuple(edges), lifetime_ms), outputStructType=every_schema(edges, key),
         outputMode="append", timeMode="EventTime")
     return _with_rocksdb(stream.sparkSession, lambda: _to_table(ready, path, checkpoint, trigger))
 
 
+def _grouped(rows: DataFrame):
+    """The rows by group of correlations: each group has one value of state and one timer."""
+    return rows.withColumn("__group", F.pmod(F.xxhash64(CORR), F.lit(GROUPS))).groupBy("__group")
+
+
 def every_schema(edges: list[str], key_type: str) -> str:
     columns = ", ".join(f"id_{i} string, step_{i} int, body_{i} string" for i in range(len(edges)))
     return f"{CORR} {key_type}, step int, {columns}"
@@ -154,7 +161,7 @@ def timeout_race(stream: DataFrame, edges: list[str], within_ms: int, path: str,
     """
     rows = of_edges(stream, edges, delay).select(CORR, "edge", "ts", F.unix_micros("ts").alias("micros"))
     key = stream.schema[CORR].dataType.simpleString()
-    decided = rows.groupBy(CORR).transformWithState(
+    decided = _grouped(rows).transformWithState(
         statefulProcessor=TimeoutProcessor(tuple(edges), within_ms, lifetime_ms), outputStructType=f"{CORR} {key}, outcome string",
         outputMode="append", timeMode="EventTime")
     return _with_rocksdb(stream.sparkSession, lambda: _to_table(decided, path, checkpoint, trigger))
