@@ -204,3 +204,25 @@ def test_quantiles_have_their_own_columns(spark):
     log = spark.createDataFrame(rows, "id int, causation_id int, edge string, ts int")
     got = lineage.latency(log, lambda a, b: (a - b).cast("bigint"), (0.5, 0.995, 0.9995)).first()
     assert (got.p50, got.p99_5, got.p99_95) == (1000, 1990, 1999)
+
+
+def test_a_joining_task_reads_little_however_large_the_tables(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        ids = spark.range(1_600_000).select(F.sha2(F.col("id").cast("string"), 256).alias("id"))  # 100 MB that do not compress well
+        assert ids.repartition("id").groupBy("id").count().rdd.getNumPartitions() >= 6
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_small_files_of_large_derived_rows_are_not_broadcast(spark):
+    from tracefold.session import materialize, tune
+    tune(spark)
+    # 300,000 numbers in about 1 MB of files, whose hashes take 20 MB
+    numbers = materialize(spark.range(300_000).coalesce(1), "numbers")
+    ids = numbers.select(F.sha2(F.col("id").cast("string"), 256).alias("id"), F.lit(1).alias("one"))
+    joined = ids.join(ids.select("id", F.lit(2).alias("two")), "id")
+    assert joined.count() == 300_000
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan

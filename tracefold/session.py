@@ -20,12 +20,33 @@ RUNTIME_CONF = {
 }
 
 
+BROADCAST, ADAPTIVE_BROADCAST = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+#: A file's size says little about derived rows, which may be fifty times as large (hashes for small numbers), and every task
+#: of a join holds a whole broadcast side: above this only sizes measured in a shuffle lead to a broadcast.
+BROADCAST_BY_FILE = 256 << 10
+#: A task sorts several sides of a join at once, and rows take several times their shuffled size.
+ADVISORY, PARTITION = "spark.sql.adaptive.advisoryPartitionSizeInBytes", 16 << 20
+
+
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    # limits on what one task holds; smaller ones that the session names stay
+    limit = _bytes(spark, BROADCAST)
+    if limit > BROADCAST_BY_FILE:
+        if spark.conf.get(ADAPTIVE_BROADCAST, None) is None:
+            spark.conf.set(ADAPTIVE_BROADCAST, str(limit))
+        spark.conf.set(BROADCAST, str(BROADCAST_BY_FILE))
+    if _bytes(spark, ADVISORY) > PARTITION:
+        spark.conf.set(ADVISORY, str(PARTITION))
     return spark
 
 
+def _bytes(spark: SparkSession, key: str) -> int:
+    value = spark.conf.get(key)
+    return -1 if value.strip().startswith("-") else spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(value)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder the cluster shares for intermediate tables.
 
