@@ -105,6 +105,15 @@ def test_personal_data(docs, none):
     assert pii.redact(none).count() == 0
 
 
+def test_personal_data_is_learnt_from_all_documents(spark):
+    rows = spark.range(0, 20_400, 1, 2).select(F.concat(F.lit("token=a"), F.col("id"), F.lit(" and b"), F.col("id")).alias("text"))
+    spans = pii.training_spans(rows)
+    assert {r["label"]: r["count"] for r in spans.groupBy("label").count().collect()} == {0: 20_400, 1: 20_400}
+    trees = pii.Selector(spans)
+    found = pii.find(rows.limit(5), ["text"], trees).select(F.explode("spans").alias("s"), F.col("row.text").alias("t")).collect()
+    assert len(found) == 5 and all(r.t.startswith("token=" + r.s.text) for r in found)
+
+
 def test_generators_take_whole_numbers_and_tokens(spark):
     whole = {"number": ["01234567890", "12345678901", "98765 43210", "07700 900123", "030 1234567", "0171 1234567", "1-800-555-1234", "(030) 1234567",
                         "+123 456", "1 2 3 4 5 6 7 8 9", "1234567890" * 30, "12"],

@@ -46,21 +46,22 @@ def paths(node, held: tuple = ()) -> list[tuple]:
     return ([held] if held else []) + paths(left, (*held, (feature, True, threshold))) + paths(right, (*held, (feature, False, threshold)))
 
 
-def assembled(sample: DataFrame, features: list[str], label: str) -> DataFrame:
+def assembled(sample: DataFrame, features: list[str], label: str, weight: str | None = None) -> DataFrame:
     v = VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="keep")
-    return v.transform(sample.select(*features, F.col(label).cast("double").alias("__label")))
+    return v.transform(sample.select(*features, F.col(label).cast("double").alias("__label"), *([weight] if weight else [])))
 
 
 class Boosted:
-    """Gradient boosted trees as one column: the chance of label 1."""
+    """Gradient boosted trees as one column: the chance of label 1.  ``weight`` names how many rows a row stands for."""
 
-    def __init__(self, sample: DataFrame, features: list[str], label: str, rounds: int = 20, depth: int = 4):
+    def __init__(self, sample: DataFrame, features: list[str], label: str, rounds: int = 20, depth: int = 4, weight: str | None = None):
         found = {r["l"] for r in sample.select(F.col(label).cast("int").alias("l")).distinct().collect()}
         if len(found) < 2:  # nothing to tell apart
             self.trees, self.weights, self.only = [], [], float(found == {1})
             return
-        model = GBTClassifier(featuresCol="__features", labelCol="__label", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7,
-                              maxBins=64, minInstancesPerNode=5).fit(assembled(sample, features, label))
+        trees = GBTClassifier(featuresCol="__features", labelCol="__label", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7,
+                              maxBins=64, minInstancesPerNode=1 if weight else 5)
+        model = (trees.setWeightCol(weight) if weight else trees).fit(assembled(sample, features, label, weight))
         self.trees, self.weights, self.only = parse(model), list(model.treeWeights), None
 
     def column(self, features: list[Column]) -> Column:
