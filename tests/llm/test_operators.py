@@ -196,6 +196,27 @@ def test_keep_one_by_any_id(spark):
     assert got == Counter({("c", None): 1, ("c", ""): 1, (None, None): 2})
 
 
+def test_documents_without_copies_stay_in_place(spark, monkeypatch):
+    """However large the files of the ids to drop: only documents that share a hash with one of them are moved."""
+    rows = [(i, f"{BASE} {i % 40} {' '.join(f'u{i % 40}_{k}' for k in range(30))}") for i in range(50)] + [(49, None), (50, ""), (1, "zz")]
+    rows += [(7, rows[7][1])] * 2  # a repeated row
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter([*rows[:40], *rows[50:53]])
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k in names:
+        spark.conf.set(k, "-1")
+    try:
+        for marks in (jaccard.MARKS, 0):
+            monkeypatch.setattr(jaccard, "MARKS", marks)
+            kept = jaccard.keep_one(docs)
+            assert Counter(tuple(r) for r in kept.collect()) == want
+            assert ("BroadcastHashJoin" in kept._jdf.queryExecution().executedPlan().toString()) == (marks > 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_bitmaps_bound_the_difference():
     rng = np.random.default_rng(1)
     for n in (1, 50, 1500, 4000):

@@ -36,6 +36,8 @@ TILE = 4096
 SAMPLE, FREQUENT, KNOWN = 16, 8, 1_000_000
 #: Ids that are broadcast to pick the texts to verify; more are joined by a shuffle.
 BROADCAST = 1_000_000
+#: Whole numbers that are broadcast to tell copies from the rows that stay in place; with more, all rows are moved.
+MARKS = 2_000_000
 MEMO = 200_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -78,6 +80,12 @@ def fold(sig: np.ndarray) -> np.ndarray:
     return sig[:half] ^ sig[half:]
 
 
+def _marks(df: DataFrame, name: str) -> DataFrame:
+    """The numbers of a table of one column, written, so that a few of them do not move the rows they are compared with."""
+    marks = materialize(df, name)
+    return F.broadcast(marks) if marks.count() <= MARKS else marks
+
+
 def _key():
     return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
@@ -147,6 +155,8 @@ class Join:
         self.rows = _measure(docs, words, percent, tile, sample)
         classes = self.rows.filter("n > 0").groupBy("cls").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("rep"))
         self.classes = materialize(classes, "classes")
+        copies = self.rows.filter("n > 0").select("rid").join(self.classes.select("cid"), F.col("rid") == F.col("cid"), "left_anti")
+        self.copies = _marks(copies.withColumnRenamed("rid", "copy"), "copies")
         self.live = materialize(self._banded().unionByName(self._dealt()), "tiles")
         whole, self.rows = self.rows, materialize(self.rows.drop("prefix", "deal", "short"), "rows")
         discard(whole)  # the prefixes were most of it
@@ -154,8 +164,8 @@ class Join:
 
     def _first(self) -> DataFrame:
         """A row for each class; ``cold`` is how many shingles of its prefix are not dealt into blocks."""
-        rows = self.rows.select("rid", "n", "prefix", "deal", "short", (F.size("prefix") - F.size("deal")).alias("cold"))
-        return rows.join(self.classes.select("cid"), F.col("rid") == F.col("cid"))
+        rows = self.rows.filter("n > 0").select(F.col("rid").alias("cid"), "n", "prefix", "deal", "short", (F.size("prefix") - F.size("deal")).alias("cold"))
+        return rows.join(self.copies, F.col("cid") == F.col("copy"), "left_anti")
 
     def _banded(self) -> DataFrame:
         """(token, block, cid, n, short, blocks) of the rows with another in their band, named by the tile's rows so that equal tiles meet."""
@@ -387,12 +397,14 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     best = found.groupBy(F.col("top").alias("k")).agg(F.min(rank).alias("best"))
     gone = found.join(best, F.col("top") == F.col("k")).filter(rank != F.col("best")).select("doc_id", "key").distinct()
     again = found.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("doc_id", "key")
-    # of known size, so that few ids do not move all documents
     gone, again = (materialize(x.select(F.col("doc_id").alias("__id"), F.col("key").alias("__text")), "dropped") for x in (gone, again))
+    # only documents with the hash of such an id and text are moved and compared; the others stay in place
+    odd = _marks(gone.unionByName(again).select(F.xxhash64("__id", "__text").alias("__mark")).distinct(), "marks")
+    marked = F.xxhash64("doc_id", _key()) == F.col("__mark")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (_key() == F.col("__text"))
-    kept = docs.join(gone, same, "left_anti")
+    rest, kept = docs.join(odd, marked, "left_anti"), docs.join(odd, marked, "left_semi").join(gone, same, "left_anti")
     if again.isEmpty():
-        return kept
+        return rest.unionByName(kept)
     repeats = kept.join(again, same, "left_semi").withColumn("__key", _key())
     repeats = repeats.dropDuplicates(["doc_id", "__key"]).drop("__key")
-    return kept.join(again, same, "left_anti").unionByName(repeats)
+    return rest.unionByName(kept.join(again, same, "left_anti")).unionByName(repeats)
