@@ -159,6 +159,25 @@ def test_bpe(docs, none):
     assert all(r.before == r.decoded_text for r in back) and bpe.encode(none).count() == 0
 
 
+def test_bpe_merges_the_new_words_of_many_texts_together(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    plain = tokenizers.Tokenizer.from_file(bpe.default_path())
+    texts = [*TEXTS, *(f"Word{i}, wörd{i}! x<|endoftext|>\u001cY{i}.\u1e9b\u0323 ΑΣ ΣΑΣ can't <|startoftext|> 'll{i}" for i in range(300)), None, "a " * 50]
+    want = [(len(e.ids), " ".join(map(str, e.ids)), plain.decode(e.ids, skip_special_tokens=False))
+            for e in (plain.encode(t or "", add_special_tokens=False) for t in texts)]
+    codec, merged = bpe.Bpe(bpe.default_path()), []
+    merge = codec.merge
+    monkeypatch.setattr(codec, "merge", lambda pieces: merged.append(pieces) or merge(pieces))
+    assert list(codec.encode_all(texts)) == want
+    assert len(merged) == 1 and len(set(merged[0])) == len(merged[0])
+    monkeypatch.setattr(bpe, "MEMO", 20)
+    for size in (1, 40, 2000):
+        monkeypatch.setattr(bpe, "GROUP", size)
+        assert list(codec.encode_all(texts)) == want
+    codec.forget()
+    assert [codec.encode(t) for t in texts] == want
+
+
 def test_jaccard(spark, docs, none):
     shared = [f"s{k}" for k in range(120)]
     rows = [(100 + i, " ".join([*shared[:120 - i], *(f"own{i}_{k}" for k in range(i))])) for i in range(40)]

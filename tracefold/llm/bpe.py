@@ -2,7 +2,7 @@
 
 The symbols of many words lie in one flat array.  A round looks up the rank of every adjacent pair by binary search
 over sorted pair keys, takes each word's lowest rank, and merges all its pairs of that rank at once.  Words are
-what white space separates; a bounded memo in each worker keeps their ids.  Vocabulary, merges and added tokens
+what white space separates; bounded memos in each worker keep the ids of words and of their pieces.  Vocabulary, merges and added tokens
 come from a tokenizer file; its text rules (NFC, white space, lower case, the split pattern) are applied here.
 """
 
@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,11 @@ from tracefold.llm.common import extended
 
 MEMO = 300_000
 LONG = 1 << 20
+#: Characters of the texts whose new words are merged together.
+GROUP = 1 << 20
 WHITE = regex.compile(r"\p{White_Space}+")
 ODD = regex.compile("[\x1c-\x1f]")
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+|\n")
 
 
 def default_path() -> str:
@@ -59,6 +63,7 @@ class Bpe:
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.memo: dict[str, str] = {}   # a word's ids as text
         self.shown: dict[str, str] = {}  # its tokens
+        self.forget_parts()              # the same of pieces
 
     def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece (none is empty)."""
@@ -96,47 +101,95 @@ class Bpe:
         cuts = np.searchsorted(owner, np.arange(1, len(pieces)))
         return np.split(symbols, cuts)
 
+    def pieces(self, chunks: list[str]) -> list[str]:
+        """The pieces of all words, a line feed between words; an added token is a piece that begins with one."""
+        found = []
+        for i, part in enumerate(self.added_re.split("\n".join(chunks))):
+            if i % 2:
+                found.append("\n" + part)
+            elif part:
+                text = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                found += PIECES.findall(text.lower())
+        return found
+
     def words(self, chunks: list[str]) -> None:
         """Put the ids of new white-space words into the memo."""
-        plan, pieces = [], []
-        for chunk in chunks:
-            parts = []
-            for i, part in enumerate(self.added_re.split(chunk)):
-                if i % 2:
-                    parts.append(self.added[part])
-                elif part:
-                    text = unicodedata.normalize("NFC", part)
-                    text = text.replace("Σ", "σ").lower()
-                    for piece in PIECES.findall(text):
-                        parts.append(None)
-                        pieces.append(piece.encode())
-            plan.append(parts)
-        done = iter(self.merge(pieces) if pieces else ())
-        for chunk, parts in zip(chunks, plan):
-            ids = [i for p in parts for i in ([p] if p is not None else next(done).tolist())]
-            self.memo[chunk] = " ".join(map(str, ids))
-            self.shown[chunk] = " ".join(map(self.names.__getitem__, ids))
+        pieces = self.pieces(chunks)
+        if len(self.parts) > MEMO:
+            self.forget_parts()
+        new = list(set(pieces).difference(self.parts))
+        if new:
+            for piece, ids in zip(new, self.merge([p.encode() for p in new])):
+                ids = ids.tolist()
+                self.parts[piece] = " ".join(map(str, ids))
+                self.shown_parts[piece] = " ".join(map(self.names.__getitem__, ids))
+        # every word has a piece, so the line feeds stand alone between words
+        self.memo.update(zip(chunks, " ".join(map(self.parts.__getitem__, pieces)).split(" \n ")))
+        self.shown.update(zip(chunks, " ".join(map(self.shown_parts.__getitem__, pieces)).split(" \n ")))
+
+    def forget_parts(self) -> None:
+        self.parts = {"\n": "\n"} | {"\n" + t: str(i) for t, i in self.added.items()}
+        self.shown_parts = {"\n": "\n"} | {"\n" + t: t for t in self.added}
+
+    def forget(self) -> None:
+        self.memo.clear()
+        self.shown.clear()
+        self.forget_parts()
 
     def split(self, text: str) -> list[str]:
         return [c for c in WHITE.split(text) if c] if ODD.search(text) else text.split()
 
+    def learn(self, chunks: Iterable[str]) -> None:
+        """See that the memo has all these words."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+            self.shown.clear()
+        new = set(chunks).difference(self.memo)
+        if new:
+            self.words(list(new))
+
+    def written(self, chunks: list[str]) -> tuple[str, str]:
+        return " ".join(map(self.memo.__getitem__, chunks)), " ".join(map(self.shown.__getitem__, chunks))
+
     def encode(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, the ids as text, and the decoded text."""
         chunks = self.split(text or "")
-        ids, decoded = [], []
+        done = []
         for lo in range(0, len(chunks), LONG):  # a very long text in parts
             part = chunks[lo:lo + LONG]
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-                self.shown.clear()
-            new = set(part).difference(self.memo)
-            if new:
-                self.words(list(new))
+            self.learn(part)
             # every word has an id, so the parts are never empty
-            ids.append(" ".join(map(self.memo.__getitem__, part)))
-            decoded.append(" ".join(map(self.shown.__getitem__, part)))
-        whole = " ".join(ids)
-        return whole.count(" ") + 1 if whole else 0, whole, " ".join(decoded)
+            done.append(self.written(part))
+        return _counted(*(" ".join(x) for x in zip(*done))) if done else (0, "", "")
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[tuple[int, str, str]]:
+        """The same of many texts; the new words of a group of texts are merged together."""
+        for group in _grouped(texts):
+            if len(group) == 1:
+                yield self.encode(group[0])
+                continue
+            split = [self.split(t or "") for t in group]
+            self.learn(chain.from_iterable(split))
+            for chunks in split:
+                yield _counted(*self.written(chunks))
+
+
+def _counted(ids: str, decoded: str) -> tuple[int, str, str]:
+    return ids.count(" ") + 1 if ids else 0, ids, decoded
+
+
+def _grouped(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """Texts in a row of GROUP characters together at most, longer ones alone."""
+    group, size = [], 0
+    for text in texts:
+        more = len(text or "")
+        if group and size + more > GROUP:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += more
+    if group:
+        yield group
 
 
 _loaded: dict[str, Bpe] = {}
@@ -166,7 +219,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, digest:
     def run(batches):
         bpe = codec(path)
         for batch in batches:
-            rows = [bpe.encode(t) for t in batch.column("__text").to_pylist()]
+            rows = list(bpe.encode_all(batch.column("__text").to_pylist()))
             out = [pa.array([r[0] for r in rows], pa.int64())]
             if digest:
                 out += [pa.array([hashlib.sha256(r[i].encode()).hexdigest() for r in rows], pa.string()) for i in (1, 2)]
@@ -175,8 +228,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, digest:
                         pa.array([r[2] for r in rows], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(held)], *out], [*held, *new])
         if forget:
-            bpe.memo.clear()
-            bpe.shown.clear()
+            bpe.forget()
 
     return source.mapInArrow(run, schema)
 
