@@ -24,7 +24,9 @@ from tracefold.llm.common import extended
 MEMO = 300_000
 LONG = 1 << 20
 #: Characters of the texts whose new words are merged together.
-GROUP = 1 << 20
+GROUP = 1 << 18
+#: Rows whose ids and decoded texts a worker holds at once.
+ROWS = 1000
 WHITE = regex.compile(r"\p{White_Space}+")
 ODD = regex.compile("[\x1c-\x1f]")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+|\n")
@@ -216,16 +218,18 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, digest:
     schema = extended(docs, held, ", ".join(extra))
     source = docs.select(*held, docs[text].alias("__text"))
 
+    def sha(whole: str) -> str:
+        return hashlib.sha256(whole.encode()).hexdigest()
+
     def run(batches):
-        bpe = codec(path)
-        for batch in batches:
-            rows = list(bpe.encode_all(batch.column("__text").to_pylist()))
-            out = [pa.array([r[0] for r in rows], pa.int64())]
-            if digest:
-                out += [pa.array([hashlib.sha256(r[i].encode()).hexdigest() for r in rows], pa.string()) for i in (1, 2)]
-            else:
-                out += [pa.array([[int(i) for i in r[1].split()] for r in rows], pa.list_(pa.int32())),
-                        pa.array([r[2] for r in rows], pa.string())]
+        bpe, none = codec(path), np.zeros(0, np.int32)
+        for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
+            n, ids, decoded = [], [], []
+            for many, whole, shown in bpe.encode_all(batch.column("__text").to_pylist()):
+                n.append(many)
+                ids.append(sha(whole) if digest else np.fromstring(whole, np.int32, sep=" ") if many else none)
+                decoded.append(sha(shown) if digest else shown)
+            out = [pa.array(n, pa.int64()), pa.array(ids, pa.string() if digest else pa.list_(pa.int32())), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(held)], *out], [*held, *new])
         if forget:
             bpe.forget()
